@@ -3,67 +3,75 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitext.operators.labels import class_weights
 from civitext.operators.tfidf import MAX_TERMS, numbered_terms, term_counts, top_terms, weigh
-from civitext.session import stage
+from civitext.session import stage, stage_path
 
 MAX_ITER = 1000
+ENTRIES_PER_TASK = 4_000_000
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, weight):
-    return SparseVector(size, idx, weight)
+def write_vectors(weights: DataFrame, labels: DataFrame, path: str, key: str = "row_id") -> None:
+    """Long-form weights as LIBSVM text, one line per row of `labels` (key, label).
+
+    A text without known terms becomes a line with its label alone.
+    """
+    items = F.transform(
+        F.array_sort(F.collect_list(F.struct("idx", "weight"))),
+        lambda t: F.concat((t["idx"] + 1).cast("string"), F.lit(":"), t["weight"].cast("string")),
+    )
+    lists = weights.groupBy(key).agg(F.array_join(items, " ").alias("_items"))
+    rows = labels.join(lists, key, "left")
+    rows.select(F.concat_ws(" ", F.col("label").cast("string"), "_items").alias("value")).write.text(path)
 
 
-def to_vectors(weights: DataFrame, docs: DataFrame, size: int, key: str = "row_id") -> DataFrame:
-    """`docs` with a sparse `features` column; a text without known terms gets the zero vector."""
-    lists = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_t"))
-    empty = F.array().cast("array<struct<idx:int,weight:double>>")
-    joined = docs.join(lists, key, "left").withColumn("_t", F.coalesce("_t", empty))
-    return joined.withColumn(
-        "features", _sparse(F.lit(size), F.col("_t.idx"), F.col("_t.weight"))
-    ).drop("_t")
+def read_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(label, features) with sparse vectors."""
+    return spark.read.format("libsvm").option("numFeatures", size).load(path)
 
 
 @dataclass
 class TextClassifier:
-    """Fitted term table and model; both save and load through Spark."""
+    """Fitted term table (idx, term, idf, coef) and model; both save and load through Spark."""
 
     terms: DataFrame
-    size: int
     model: LogisticRegressionModel
     key: str = "row_id"
 
-    def features(self, docs: DataFrame) -> DataFrame:
-        weights = weigh(term_counts(docs, self.key), self.terms, self.key)
-        return to_vectors(weights, docs, self.size, self.key)
+    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The columns of `docs` but the text, with `prediction` (int) and `prob` of class 1.
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """`docs` with `prediction` (int) and `prob` of class 1."""
-        scored = self.model.transform(self.features(docs))
-        return scored.select(
-            *docs.columns,
-            F.col("prediction").cast("int").alias("prediction"),
-            vector_to_array("probability")[1].alias("prob"),
-        )
+        The margin is a sum over the terms of a text, so scoring is one
+        aggregation on rows spread by key and builds no vectors.
+        """
+        weights = weigh(term_counts(docs, self.key, text), self.terms, self.key, keep=("coef",))
+        margins = weights.groupBy(self.key).agg(F.sum(F.col("weight") * F.col("coef")).alias("_margin"))
+        margin = F.coalesce("_margin", F.lit(0.0)) + float(self.model.intercept)
+        prob = 1.0 / (1.0 + F.exp(-margin))
+        scored = docs.drop(text).join(margins, self.key, "left").withColumn("prob", prob).drop("_margin")
+        return scored.withColumn("prediction", (F.col("prob") > self.model.getThreshold()).cast("int"))
 
     def save(self, path: str) -> None:
-        self.terms.withColumn("_size", F.lit(self.size)).write.mode("overwrite").parquet(f"{path}/terms")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.model.write().overwrite().save(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, key: str = "row_id") -> "TextClassifier":
-        terms = spark.read.parquet(f"{path}/terms")
-        model = LogisticRegressionModel.load(f"{path}/model")
-        return cls(terms.drop("_size"), model.numFeatures, model, key)
+        return cls(spark.read.parquet(f"{path}/terms"), LogisticRegressionModel.load(f"{path}/model"), key)
+
+
+def with_coefficients(terms: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """Adds `coef`: as many numbers as there are terms, which the term table bounds."""
+    pairs = [(i, float(x)) for i, x in enumerate(model.coefficients.toArray()) if x]
+    coefs = terms.sparkSession.createDataFrame(pairs, "idx int, coef double")
+    return terms.join(F.broadcast(coefs), "idx", "left").fillna(0.0, ["coef"])
 
 
 def fit_text_classifier(
@@ -79,13 +87,17 @@ def fit_text_classifier(
     loss with inverse strength `c`.
     """
     counts = stage(term_counts(train, key), "term_counts")
-    n_docs = train.count()
-    terms = stage(numbered_terms(top_terms(counts, max_terms), n_docs), "terms")
+    terms = stage(numbered_terms(top_terms(counts, max_terms), train.count()), "terms")
     size = max(terms.count(), 1)
-    balance = (weights or class_weights(train)).select(F.col("label").cast("int").alias("label"), "weight")
-    docs = train.select(key, F.col("label").cast("int").alias("label")).join(F.broadcast(balance), "label")
-    vectors = stage(to_vectors(weigh(counts, terms, key), docs, size, key), "train_vectors")
-    total = vectors.agg(F.sum("weight")).first()[0] or 1.0
+    spark = train.sparkSession
+    path = stage_path(spark, "train_vectors")
+    write_vectors(weigh(counts, terms, key), train.select(key, F.col("label").cast("int").alias("label")), path, key)
+    balance = stage(weights or class_weights(train), "class_weights").withColumnRenamed("label", "_label")
+    vectors = read_vectors(spark, path, size)
+    vectors = vectors.join(balance, vectors["label"] == balance["_label"]).select("label", "features", "weight")
+    # Every iteration reads all partitions, so few entries go into few of them.
+    vectors = vectors.coalesce(max(1, ceil(counts.count() / ENTRIES_PER_TASK)))
+    total = train.join(balance, F.col("label") == F.col("_label")).agg(F.sum("weight")).first()[0] or 1.0
     lr = LogisticRegression(
         labelCol="label",
         weightCol="weight",
@@ -93,7 +105,8 @@ def fit_text_classifier(
         standardization=False,
         maxIter=MAX_ITER,
     )
-    return TextClassifier(terms, size, lr.fit(vectors), key)
+    model = lr.fit(vectors)
+    return TextClassifier(stage(with_coefficients(terms, model), "model_terms"), model, key)
 
 
 def multiclass_scores(

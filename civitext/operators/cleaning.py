@@ -22,35 +22,33 @@ def with_cleaning(df: DataFrame, text: str = "text") -> DataFrame:
 
     Row-local and stateless, so it also takes a streaming DataFrame.
     """
-    once = compute_once(df, "_words", words(F.coalesce(F.col(text), F.lit(""))))
-    lower = F.sort_array(F.split(F.lower(F.concat_ws(" ", "_words")), " "))
-    known = F.array_remove(F.array_remove(F.col("_lower"), UNK_WORDS[0]), UNK_WORDS[1])
-    base = (
-        compute_once(once, "_lower", lower)
-        .withColumn("_n", F.size("_words"))
-        .withColumn("_left", F.when(F.col("_n") > 0, F.size(known)).otherwise(0))
-    )
+    rows = compute_once(df, "_words", words(F.coalesce(F.col(text), F.lit(""))))
+    rows = compute_once(rows, "_low", F.lower(F.concat_ws(" ", "_words")))
+    rows = compute_once(rows, "_sorted", F.sort_array(F.split("_low", " ")))
+    known = F.size(F.array_remove(F.array_remove("_sorted", UNK_WORDS[0]), UNK_WORDS[1]))
+    rows = rows.withColumn("_n", F.size("_words"))
     n = F.col("_n")
+    rows = compute_once(rows, "_unk", F.when((n > 0) & F.contains("_low", F.lit(UNK_WORDS[1])), n - known).otherwise(0))
+    left = n - F.col("_unk")
     # A word making up more than half of a sorted list sits in its middle.
-    middle = F.element_at("_lower", (F.floor(n / 2) + 1).cast("int"))
-    repeated = F.size("_lower") - F.size(F.array_remove("_lower", middle))
-    # Without digits and punctuation every word that holds a letter is one run.
-    letters = F.regexp_replace(F.concat_ws(" ", "_words"), "[^a-zA-Z ]+", "")
-    alpha = F.regexp_count(letters, F.lit("[a-zA-Z]+"))
+    middle = F.element_at("_sorted", (F.floor(n / 2) + 1).cast("int"))
+    repeated = n - F.size(F.array_remove("_sorted", middle))
+    # Words without any letter, between spaces or ends.
+    letterless = F.regexp_count(F.concat_ws(" ", "_words"), F.lit("(?<![^ ])[^a-zA-Z ]++(?![^ ])"))
     reason = (
         F.when(n == 0, REASONS[0])
         .when(n <= MAX_SHORT_WORDS, REASONS[1])
-        .when((n - F.col("_left")) / n > MAX_UNK_SHARE, REASONS[2])
+        .when(F.col("_unk") / n > MAX_UNK_SHARE, REASONS[2])
         .when(repeated / n > MAX_REPEAT_SHARE, REASONS[3])
-        .when(alpha / n < MIN_ALPHA_SHARE, REASONS[4])
-        .when(F.col("_left") <= MAX_SHORT_WORDS, REASONS[5])
+        .when((n - letterless) / n < MIN_ALPHA_SHARE, REASONS[4])
+        .when(left <= MAX_SHORT_WORDS, REASONS[5])
     )
     marked = F.filter("_words", lambda w: ~F.lower(w).isin(UNK_WORDS))
-    joined = F.when(F.col("_left") < n, F.array_join(marked, " ")).otherwise(F.concat_ws(" ", "_words"))
+    joined = F.when(F.col("_unk") > 0, F.array_join(marked, " ")).otherwise(F.concat_ws(" ", "_words"))
     return (
-        compute_once(base, "reason", reason)
+        compute_once(rows, "reason", reason)
         .withColumn("cleaned", F.when(F.col("reason").isNull(), joined))
-        .drop("_words", "_n", "_lower", "_left")
+        .drop("_words", "_low", "_sorted", "_n", "_unk")
     )
 
 

@@ -23,3 +23,15 @@ def exploded(df: DataFrame, keys: list[str], items: Column, pos: str, name: str)
     """
     out = df.select(*keys, F.posexplode_outer(items).alias(pos, name))
     return out.filter(F.col(pos).isNotNull())
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spreads a scan that has fewer splits than the cluster has cores for.
+
+    Costly text work right after a scan of one small or badly written file
+    would run in one task. A scan of many splits is left as it is.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)

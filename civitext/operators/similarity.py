@@ -8,7 +8,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Anchors that are sent to every task; more are cut into blocks of this size.
@@ -54,6 +54,10 @@ def max_anchor_cosine(
     return _blocked(cands, anch, key, vector, block, cell)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _small(cands: DataFrame, rows: list[list[float]], key: str, vector: str) -> DataFrame:
     key_type = cands.schema[key].dataType.simpleString()
     if not rows:
@@ -79,14 +83,14 @@ def _blocked(
     uniq = anch.groupBy(vector).agg(F.lit(0).alias("_c")).drop("_c")
     blocks = uniq.select(
         F.pmod(F.xxhash64(vector), F.lit(n_blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).cast("long").alias("_cell"),
+        F.explode(_numbers(n_cells)).alias("_cell"),
         vector,
     )
     cells = cands.select(
         key,
         vector,
-        F.pmod(F.xxhash64(key), F.lit(n_cells)).alias("_cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("_block"),
+        F.pmod(F.xxhash64(key, vector), F.lit(n_cells)).alias("_cell"),
+        F.explode(_numbers(n_blocks)).alias("_block"),
     )
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

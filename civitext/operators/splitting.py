@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civitext.session import stage
+
 PREFIX = 4  # hex digits of the hash that form the histogram: 65,536 bins per label
 
 
@@ -37,15 +39,18 @@ def cut_hashes(
         .filter((F.col("_upto") - F.col("_n") < F.col("_target")) & (F.col("_target") <= F.col("_upto")))
         .select("_label", "_bin", "_cut", (F.col("_target") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
+    # A few rows per label. Staged, so that Spark knows their size and sends them to the rows.
+    cut_bins = stage(cut_bins, "cut_bins")
     in_bin = Window.partitionBy("_label", "_cut").orderBy("_h", "_key")
     at_cut = (
         hashed.join(cut_bins, ["_label", "_bin"])
         .withColumn("_row", F.row_number().over(in_bin))
         .filter(F.col("_row") == F.col("_rank"))
     )
-    return at_cut.groupBy("_label").agg(
+    thresholds = at_cut.groupBy("_label").agg(
         *[F.max(F.when(F.col("_cut") == i, F.col("_h"))).alias(f"t{i}") for i in range(len(per_mille))]
     )
+    return stage(thresholds, "cut_hashes")
 
 
 def stratified_split(

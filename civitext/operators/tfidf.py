@@ -36,8 +36,10 @@ def numbered_terms(terms: DataFrame, n_docs: int) -> DataFrame:
     return terms.select(idx.alias("idx"), "term", idf.alias("idf"))
 
 
-def weigh(counts: DataFrame, terms: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, idx, term, weight) for the terms of a fitted table.
+def weigh(
+    counts: DataFrame, terms: DataFrame, key: str = "row_id", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, idx, term, weight, ...keep) for the terms of a fitted table.
 
     `terms` comes from a top-k, which bounds its size for the broadcast.
     """
@@ -45,4 +47,4 @@ def weigh(counts: DataFrame, terms: DataFrame, key: str = "row_id") -> DataFrame
         "_w", (1.0 + F.log(F.col("c").cast("double"))) * F.col("idf")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "idx", "term", (F.col("_w") / norm).alias("weight"))
+    return raw.select(key, "idx", "term", (F.col("_w") / norm).alias("weight"), *keep)

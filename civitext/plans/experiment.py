@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civitext.operators.classifier import TextClassifier, fit_text_classifier
 from civitext.operators.labels import class_weights
-from civitext.operators.metrics import binary_metrics
+from civitext.operators.metrics import METRICS, binary_metrics, compare
 from civitext.session import stage
 
 log = logging.getLogger(__name__)
@@ -84,3 +84,43 @@ def cross_dataset(
     if not parts:
         raise ValueError("no outside set could be read")
     return binary_metrics(reduce(DataFrame.unionByName, parts), ["model", "setting", "dataset"])
+
+
+def report(
+    train: DataFrame,
+    candidates: DataFrame,
+    test: DataFrame,
+    in_domain: DataFrame,
+    cross: DataFrame | None = None,
+) -> DataFrame:
+    """One nested row: set sizes, metric rows, deltas and outside-set metric rows.
+
+    The metric tables hold one row per model and setting, so listing them in
+    one row is bounded.
+    """
+    columns = ["tn", "fp", "fn", "tp", *METRICS]
+
+    def listed(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    in_domain = stage(in_domain, "in_domain")
+    parts = [
+        train.agg(
+            F.count(F.lit(1)).alias("train_original"),
+            F.count_if(F.col("label") == 1).alias("original_toxic"),
+            F.count_if(F.col("label") == 0).alias("original_nontoxic"),
+        ),
+        candidates.agg(F.count(F.lit(1)).alias("generated_cleaned")),
+        test.agg(F.count(F.lit(1)).alias("test_size")),
+        listed(in_domain, "in_domain", ["model", "setting", *columns]),
+        listed(compare(in_domain, by=["model"]), "improvement", ["model", "metric", "delta", "verdict"]),
+    ]
+    if cross is not None:
+        parts.append(listed(cross, "cross_dataset", ["model", "setting", "dataset", *columns]))
+    # Every part is a global aggregate of one row.
+    keyed = [part.withColumn("_one", F.lit(1)) for part in parts]
+    row = reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    added = F.col("generated_cleaned")
+    return row.withColumn("train_augmented", F.col("train_original") + added).withColumn(
+        "augmented_toxic", F.col("original_toxic") + added
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civitext.functions.text import lines_of, sentences_of
 from civitext.operators.cleaning import clean_generated
-from civitext.operators.common import exploded
+from civitext.operators.common import exploded, spread
 from civitext.operators.encoding import decode_tokens
 from civitext.operators.splitting import stratified_split
 from civitext.plans.corpus import Corpus, build_corpus
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) of a table, spread over the cores if its files are few."""
+    return spread(table(spark, sf, name).select(key, text), key)
+
+
 def big(name: str) -> Column:
     return F.col(name).cast("bigint").alias(name)
 
@@ -52,12 +57,12 @@ def with_stand_in(df: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return exploded(docs, ["doc_id"], lines_of(F.col("text")), "line_no", "text")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return exploded(docs, ["doc_id"], sentences_of(F.col("text")), "sent_no", "text")
 
 

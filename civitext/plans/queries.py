@@ -112,7 +112,7 @@ def gen_json_roundtrip(spark, sf):
 
 @query
 def read_text_robust(spark, sf):
-    docs = table(spark, sf, "documents").select("text")
+    docs = src.texts(spark, sf).select("text")
     utf8, latin = stage_path(spark, "utf8"), stage_path(spark, "latin")
     docs.write.text(utf8)
     one_byte = docs.filter(~F.col("text").rlike(r"[^\x00-\xff]"))
@@ -269,7 +269,7 @@ def encode_framed(spark, sf):
 
 @query
 def neutral_candidates(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    pages = src.texts(spark, sf, "pages", "page_id", "html").toDF("doc_id", "text")
     page_lines = src.exploded(pages, ["doc_id"], text.lines_of(F.col("text")), "line_no", "text")
     parts = [
         df.select(
@@ -342,7 +342,7 @@ def max_anchor_cosine(spark, sf):
 
 @query
 def token_counts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = src.texts(spark, sf)
     return vocabulary.token_counts(docs, text.words(F.lower("text")))
 
 
@@ -353,7 +353,7 @@ def vocab_first_seen(spark, sf):
 
 @query
 def vocab_topk(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = src.texts(spark, sf)
     return vocabulary.vocab_topk(docs, text.words(F.lower("text")), "doc_id", k=QUERY_WORDS)
 
 
@@ -650,12 +650,13 @@ def predictions_table(spark, sf):
 def experiment_report(spark, sf):
     rows, fitted = _fitted(spark, sf)
     test = rows.filter(F.col("split") == "test").select("row_id", "text", "label")
-    wide = experiment.evaluate(fitted, test)
+    train = rows.filter(F.col("split") == "train")
+    report = experiment.report(train, src.candidates(spark, sf), test, experiment.evaluate(fitted, test))
     path = stage_path(spark, "report")
-    reports.write_report(wide, path)
-    read = spark.read.schema(wide.schema).json(path)
-    long = metrics.long_metrics(read, ["setting"])
-    return long.select("setting", "metric", r6(F.col("value"), "value"))
+    reports.write_report(report, path)
+    read = spark.read.schema(report.schema).json(path)
+    long = metrics.long_metrics(read.select(F.inline("in_domain")), ["model", "setting"])
+    return long.select("model", "setting", "metric", r6(F.col("value"), "value"))
 
 
 @query

@@ -7,23 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """One JSON object per row; parent folders are made."""
+    """One JSON object per row, nested columns as nested objects; parent folders are made."""
     report.write.mode("overwrite").json(path)
 
 
-def nested_report(long: DataFrame, outer: str, inner: str = "metric", value: str = "value") -> DataFrame:
-    """(report): one JSON text {outer: {inner: value}} of a metric table, which has a few rows."""
-    inner_maps = long.groupBy(outer).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, value)))).alias("m")
-    )
-    entries = F.array_sort(F.collect_list(F.struct(F.col(outer), F.to_json("m").alias("m"))))
-    parts = F.transform(
-        F.col("e"), lambda e: F.concat(F.lit('"'), e[outer], F.lit('": '), e["m"])
-    )
-    listed = inner_maps.agg(entries.alias("e"))
-    return listed.select(F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")).alias("report"))
-
-
 def prediction_table(baseline: DataFrame, augmented: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, label, pred_b, prob_b, pred_a, prob_a), one row per example."""
     b = baseline.select(key, "label", F.col("prediction").alias("pred_b"), F.col("prob").alias("prob_b"))
