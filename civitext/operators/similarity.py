@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Anchors that are sent to every task; more are cut into blocks of this size.
-BLOCK_ANCHORS = 16_384
+# Most bytes of anchors that are sent to every task; more are cut into blocks of this size.
+BLOCK_BYTES = 32 << 20
 CELL_CANDIDATES = 65_536
 CHUNK = 4_096
 
@@ -36,7 +36,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def max_anchor_cosine(
-    candidates: DataFrame, anchors: DataFrame, key: str, vector: str, block: int = BLOCK_ANCHORS,
+    candidates: DataFrame, anchors: DataFrame, key: str, vector: str, block: int | None = None,
     cell: int = CELL_CANDIDATES,
 ) -> DataFrame:
     """(key, max_cos). Nothing is left out: every anchor meets every candidate.
@@ -48,6 +48,9 @@ def max_anchor_cosine(
     """
     cands = candidates.select(key, vector).filter(F.size(vector) > 0)
     anch = anchors.select(vector).filter(F.size(vector) > 0)
+    if block is None:
+        first = anch.first()
+        block = BLOCK_BYTES // (8 * len(first[0])) if first else 1
     if anch.limit(block + 1).count() <= block:
         rows = [r[0] for r in anch.collect()]
         return _small(cands, rows, key, vector)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions.text import ngram_terms, with_bigrams
+from civitext.operators.ordered import top_by_count
 
 # Fixed value: size of the term vocabulary.
 MAX_TERMS = 50_000
@@ -21,12 +22,8 @@ def term_counts(df: DataFrame, key: str = "row_id", text: str = "text") -> DataF
 
 def top_terms(counts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, tot, df): the `max_terms` most frequent terms, ties by term."""
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("c").alias("tot"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("tot").desc(), F.col("term").asc())
-        .limit(max_terms)
-    )
+    terms = counts.groupBy("term").agg(F.sum("c").alias("tot"), F.count(F.lit(1)).alias("df"))
+    return top_by_count(terms, max_terms, "tot", F.col("term").asc())
 
 
 def numbered_terms(terms: DataFrame, n_docs: int) -> DataFrame:

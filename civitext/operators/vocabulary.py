@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civitext.operators.common import exploded
-from civitext.operators.ordered import with_row_number
+from civitext.operators.ordered import top_by_count, with_row_number
 from civitext.schemas import MIN_FREQ_A, MIN_FREQ_B, SPECIALS_A, SPECIALS_B, TOP_WORDS_B
 
 
@@ -55,10 +55,10 @@ def vocab_topk(
 
     Ids follow the count, ties the first place seen.
     """
-    order = [F.col("n").desc(), F.col("first").asc()]
-    top = first_seen_counts(df, tokens, *keys).orderBy(*order).limit(k)
+    top = top_by_count(first_seen_counts(df, tokens, *keys), k, "n", F.col("first").asc())
     # At most k rows are left, so one task numbers them.
-    ranked = top.filter(F.col("n") >= min_freq).withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    order = Window.orderBy(F.col("n").desc(), F.col("first").asc())
+    ranked = top.filter(F.col("n") >= min_freq).withColumn("id", F.row_number().over(order))
     ids = ranked.select("word", (F.col("id") + len(SPECIALS_B) - 1).cast("bigint").alias("id"))
     return specials(df.sparkSession, SPECIALS_B).unionByName(ids)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -17,6 +18,8 @@ from civitext.session import stage
 
 log = logging.getLogger(__name__)
 
+PARALLEL_FITS = 2
+
 Fit = Callable[..., TextClassifier]
 
 # Models by name; a model is a function of (train, key, weights) with a `score` method.
@@ -40,11 +43,15 @@ def fit_settings(
     added = candidates.select(key, "text", F.lit(1).cast("int").alias("label"))
     augmented = stage(base.unionByName(added), "train_augmented")
     weights = class_weights(base) if shared_weights else None
-    fitted = {}
-    for name, fit in (models or MODELS).items():
-        fitted[name, "baseline"] = fit(base, key=key, weights=weights)
-        fitted[name, "augmented"] = fit(augmented, key=key, weights=weights)
-    return fitted
+    sets = {"baseline": base, "augmented": augmented}
+    # The fits do not depend on each other, so their jobs share the cluster.
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        running = {
+            (name, setting): pool.submit(fit, rows, key=key, weights=weights)
+            for name, fit in (models or MODELS).items()
+            for setting, rows in sets.items()
+        }
+        return {which: job.result() for which, job in running.items()}
 
 
 def score_all(

@@ -46,9 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/civitext/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/civitext/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application staged. Call it once no staged table is read any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

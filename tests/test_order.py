@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from civitext.operators import sampling, splitting
-from civitext.operators.ordered import with_row_number, with_running_sum
+from civitext.operators.ordered import top_by_count, with_row_number, with_running_sum
 
 
 def test_row_numbers_are_dense_and_ordered(spark):
@@ -58,3 +58,18 @@ def test_samples_and_caps(spark):
     assert len(set(first)) == 10 and first == [r.row_id for r in sampling.sample_k(df.repartition(5), 10).collect()]
     assert sampling.sample_k(df, 1_000).count() == 100
     assert sorted(r.row_id for r in sampling.quick_cap(df, {"train": 3}).collect()) == [0, 1, 2]
+
+
+def test_large_sample_is_the_plain_one(spark, monkeypatch):
+    df = spark.range(3_000).select(F.col("id").alias("row_id"))
+    plain = [r.row_id for r in sampling.sample_k(df, 500).collect()]
+    monkeypatch.setattr(sampling, "PLAIN_TOP_K", 10)
+    assert [r.row_id for r in sampling.sample_k(df, 500).collect()] == plain
+    assert sampling.sample_k(df, 5_000).count() == 3_000
+
+
+def test_top_by_count(spark):
+    df = spark.range(1_000).select(F.col("id"), (F.col("id") % 10).alias("n"))
+    top = [(r.n, r.id) for r in top_by_count(df, 150, "n", F.col("id").asc()).collect()]
+    assert top == [(9, i) for i in range(9, 1_000, 10)] + [(8, i) for i in range(8, 500, 10)]
+    assert top_by_count(df, 5_000, "n", F.col("id").asc()).count() == 1_000

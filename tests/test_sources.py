@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from civitext import session
 from civitext.plans import queries
 from civitext.session import shared_dir, stage
 from civitext.sources import comments, generated, splits, textlines
@@ -100,6 +101,14 @@ def test_staged_tables_live_in_the_shared_folder(spark):
     assert shared_dir(spark).split(":")[-1] in staged.inputFiles()[0]
 
 
+def test_staged_tables_can_be_dropped(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    stage(spark.range(3), "t")
+    assert list(tmp_path.iterdir())
+    session.drop_staged(spark)
+    assert not list((tmp_path / "civitext").iterdir())
+
+
 def test_stream_cleans_like_the_batch(spark, tmp_path):
     src = tmp_path / "in"
     rows = [("a b c", "0"), ("a", "0"), ("unk unk a b", "1"), ("x y <UNK> z w", "1")]
