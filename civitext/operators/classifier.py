@@ -95,8 +95,10 @@ def fit_text_classifier(
     balance = stage(weights or class_weights(train), "class_weights").withColumnRenamed("label", "_label")
     vectors = read_vectors(spark, path, size)
     vectors = vectors.join(balance, vectors["label"] == balance["_label"]).select("label", "features", "weight")
-    # Every iteration reads all partitions, so few entries go into few of them.
-    vectors = vectors.coalesce(max(1, ceil(counts.count() / ENTRIES_PER_TASK)))
+    # Every iteration visits all partitions: entries for a few tasks go into a few of them.
+    wanted = max(1, ceil(counts.count() / ENTRIES_PER_TASK))
+    if wanted < vectors.rdd.getNumPartitions():
+        vectors = vectors.repartition(wanted)
     total = train.join(balance, F.col("label") == F.col("_label")).agg(F.sum("weight")).first()[0] or 1.0
     lr = LogisticRegression(
         labelCol="label",
