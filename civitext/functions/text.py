@@ -102,11 +102,12 @@ def alpha_share(text: Column) -> Column:
 
 def is_good_neutral(text: Column, max_words: int = 20) -> Column:
     """Sentence-like text without markup or links; examples are excluded elsewhere."""
-    n = F.size(words(text))
+    # 3 to `max_words` words; one comparison, so that the words are counted once.
+    fits = F.abs(2 * F.size(words(text)) - (max_words + 3)) <= max_words - 3
     bad = "|".join(BAD_PATTERNS)
     return F.coalesce(
         (F.length(text) >= 5)
-        & n.between(3, max_words)
+        & fits
         & ~F.lower(text).rlike(bad)
         & (alpha_share(text) >= 0.55),
         F.lit(False),

@@ -263,7 +263,7 @@ FROM conversations, (VALUES ('rows'), ('columns')) t(form) GROUP BY ALL""",
   FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{ff}]'))
 SELECT encoding, md5(v) AS line_md5, count(*) AS n FROM l GROUP BY ALL""",
     "tagged_lines": f"""WITH {TURNS}
-SELECT role AS tag, list_position(['system', 'user', 'assistant'], role) - 1 AS tag_no, count(*) AS lines,
+SELECT role AS tag, CAST(list_position(['system', 'user', 'assistant'], role) - 1 AS BIGINT) AS tag_no, count(*) AS lines,
   count(*) FILTER (regexp_matches(text, '{NON_WS}')) AS nonblank_lines FROM turns GROUP BY ALL""",
     "class_export": f"""WITH {FLAGGED}, {TAGGED}
 SELECT tag, md5(text) AS text_md5, count(*) AS n FROM tagged GROUP BY ALL""",

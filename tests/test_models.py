@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from civitext.operators import classifier, similarity, tfidf
-from civitext.plans import experiment
+from civitext.plans import analysis, experiment
 
 DOCS = [
     (1, "bad awful words", 1), (2, "nice kind words", 0), (3, "awful bad bad", 1), (4, "kind nice day", 0),
@@ -88,6 +89,27 @@ def test_experiment_report_and_skipped_sets(spark, docs):
         experiment.cross_dataset(fitted, {"gone": missing})
 
 
+def test_full_analysis_and_saved_models(spark, docs, tmp_path):
+    rows = docs
+    for shift in range(1, 5):
+        rows = rows.unionByName(docs.withColumn("row_id", F.col("row_id") + 10 * shift))
+    gen = {"tweet": ["awful bad thing here", "bad", "bad awful unk day"], "class": ["0", "0", "1"]}
+    (tmp_path / "gen.json").write_text(json.dumps(gen))
+    posts = spark.createDataFrame(
+        [("1", "bad awful", 0), ("2", "nice day", 2), ("3", "", 1)], "row_id string, tweet string, class int"
+    )
+    outside = {"three_way": lambda: analysis.adapt("three_way", posts, carry=("row_id",))}
+    out = str(tmp_path / "out")
+    report = analysis.full_analysis(
+        spark, lambda: rows, str(tmp_path / "gen.json"), str(tmp_path / "splits"), out, outside, quick_test=True
+    ).first()
+    assert (report.train_original, report.generated_cleaned, report.test_size) == (24, 2, 4)
+    assert len(report.in_domain) == 2 and [r.dataset for r in report.cross_dataset] == ["three_way"]
+    assert spark.read.parquet(f"{out}/predictions/tfidf_lr").count() == 4
+    result = analysis.evaluate_saved(spark, f"{out}/models/tfidf_lr", posts, "three_way", out)
+    assert {r.metric: r.augmented for r in result.collect()}["accuracy"] == 1.0
+
+
 def test_anchor_cosine_small_and_blocked_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vecs = rng.normal(size=(90, 6)).astype("float32")
