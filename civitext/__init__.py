@@ -1 +1,8 @@
 """civitext: Spark-native data engine for text-moderation tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
