@@ -304,10 +304,17 @@ def contaminated(
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of `docs` that no item contaminates, with their columns as they came.
 
-    Rows with a null key are judged by themselves, as are repeated rows.
+    A key names one document: rows that repeat it go if one of them is contaminated.
+    Rows with a null key are judged one by one.
     """
-    numbered = stage(docs.select(as_row(docs), F.monotonically_increasing_id().alias("uid")), "numbered")
-    rows = numbered.select("uid", F.col(f"row.`{key}`").alias("key"), F.col(f"row.`{text}`").alias("text"))
-    found = contamination(rows, items, F.col("text"), threshold=threshold)
-    hit = found.select("uid").distinct()
-    return numbered.join(hit, "uid", "left_anti").select("row.*")
+    keyed = docs.filter(F.col(f"`{key}`").isNotNull())
+    hit = contaminated(keyed, items, key, text, threshold=threshold).select(F.col(key).alias("_key")).distinct()
+    kept = keyed.join(hit, F.col(f"`{key}`") == hit["_key"], "left_anti")
+    nameless = stage(
+        docs.filter(F.col(f"`{key}`").isNull()).select(as_row(docs), F.monotonically_increasing_id().alias("uid")), "nameless"
+    )
+    if nameless.isEmpty():
+        return kept
+    rows = nameless.select("uid", F.lit(None).cast("long").alias("key"), F.col(f"row.`{text}`").alias("text"))
+    hit = contamination(rows, items, F.col("text"), threshold=threshold).select("uid").distinct()
+    return kept.unionByName(nameless.join(hit, "uid", "left_anti").select("row.*"))

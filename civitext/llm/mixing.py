@@ -27,6 +27,8 @@ MOST_TIMES = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 20240607
+# Slots that one task makes of its counts.
+TASK_SLOTS = 1 << 17
 # Steps of the walk back into the range of a permutation. The walk leaves the range with a
 # probability of 1 / sqrt(blocks) at most and is over after blocks outside of it plus one.
 _WALK = 40
@@ -149,6 +151,9 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
 def mix_slots(sources: DataFrame) -> DataFrame:
     """(shard, number, index, pass, block): the block in every slot of the mix."""
     counts = slot_counts(sources).join(sources.select("number", "blocks"), "number")
+    # Few short rows become very many: without this they would do so in one task.
+    slots = sources.agg(F.sum("quota")).first()[0] or 0
+    counts = counts.repartition(1 + slots // TASK_SLOTS, "shard", "number")
     slots = counts.select(
         "shard", "number", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("index")
     )

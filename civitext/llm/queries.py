@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from civitext.llm.common import fold_of, table
 from civitext.llm.decontamination import contaminated
+from civitext.llm.licenses import known_digests, scan_licenses
 from civitext.llm.mixing import taken_words
+from civitext.llm.quality import judge_quality
 from civitext.llm.sharding import shard_rows
 from civitext.llm.simhash import as_hex, simhash_components
+from civitext.llm.token_files import read_token_files, token_folder, write_token_files
 from civitext.llm.toxicity import FOLDS, fit_toxicity, score_toxicity
+from civitext.llm.urls import judge_urls
+from civitext.llm.warc import archived_pages, page_records
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +35,15 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = table(spark, sf, "labels").filter("quality = 1")
+    judged = judge_quality(table(spark, sf, "documents").select("doc_id", "text"), trusted)
+    return judged.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return taken_words(table(spark, sf, "documents"))
 
@@ -34,6 +55,26 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rated.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = token_folder(spark)
+    listed = write_token_files(table(spark, sf, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    read = read_token_files(listed, folder, with_ids=False)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return page_records(archived_pages(table(spark, sf, "pages")))
+
+
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"))
+
+
+def op8_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Known licences in documents, whole or as one of their lines."""
+    return scan_licenses(table(spark, sf, "documents"), known_digests(spark)).drop("digest")
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = shard_rows(table(spark, sf, "documents"), F.col("doc_id"))
     return placed.select(
@@ -49,8 +90,13 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_token_files": op5_token_files,
+    "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
+    "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

@@ -179,20 +179,24 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows of `docs`, one for each component: the one with its smallest key.
 
-    Repeated rows are copies of each other, and one of them stays; the same holds for
-    components in which all keys are null. Columns are returned as they came, whatever
-    their names.
+    A key names one document: of rows that repeat it one stays. Rows with a null key
+    take part; of a component in which all keys are null one row stays. Columns are
+    returned as they came, whatever their names.
     """
-    marked = stage(
-        docs.select(
-            as_row(docs),
-            fingerprint(F.col(f"`{text}`")).alias("fp"),
-            F.monotonically_increasing_id().alias("uid"),
-        ),
-        "simhash",
-    )
-    narrow = marked.select(F.col(f"row.`{key}`").alias("key"), "fp", "uid")
-    groups = fingerprint_groups(narrow, "key", hot=hot)
-    first = narrow.join(groups, "fp").filter("key <=> component_id")
-    kept = first.groupBy("root").agg(F.min("uid").alias("uid")).select("uid")
-    return marked.join(kept, "uid", "left_semi").select("row.*")
+    own = F.col(f"`{key}`")
+    print_of = fingerprint(F.col(f"`{text}`")).alias("fp")
+    narrow = stage(docs.filter(own.isNotNull()).select(own.alias("key"), print_of), "simhash")
+    nameless = docs.filter(own.isNull()).select(as_row(docs), print_of, F.monotonically_increasing_id().alias("uid"))
+    nameless = stage(nameless, "nameless")
+    everyone = narrow.unionByName(nameless.select(F.lit(None).cast(narrow.schema["key"].dataType).alias("key"), "fp"))
+    groups = stage(fingerprint_groups(everyone, "key", hot=hot), "groups")
+    first = narrow.join(groups, "fp").filter("key = component_id").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    first = stage(first.select(F.col("key").alias("_key"), "rows"), "kept")
+    once, again = first.filter("rows = 1"), first.filter("rows > 1")
+    kept = docs.join(once, own == once["_key"], "left_semi")
+    if not again.isEmpty():
+        kept = kept.unionByName(docs.join(again, own == again["_key"], "left_semi").dropDuplicates([key]))
+    if not nameless.isEmpty():
+        alone = nameless.join(groups.filter("component_id is null"), "fp").groupBy("root").agg(F.min("uid").alias("uid"))
+        kept = kept.unionByName(nameless.join(alone, "uid", "left_semi").select("row.*"))
+    return kept
