@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of words, counted without keeping them."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]+", "w")
-    return (F.length(squeezed) - F.length(F.translate(squeezed, "w", ""))).cast("long")
+    return (F.length(squeezed) - F.length(F.replace(squeezed, F.lit("w"), F.lit("")))).cast("long")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civitext.operators.common import compute_once
 from civitext.session import broadcast_if_small
 
 # Licences and notices by name, in full.
@@ -99,10 +100,10 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null if that is empty."""
-    form = canonical(text)
-    return F.sha2(F.nullif(form, F.lit("")), 256)
+def with_digest(df: DataFrame, text: str) -> DataFrame:
+    """Adds `digest`, the SHA-256 of a text's canonical form; rows with an empty form are dropped."""
+    formed = compute_once(df, "_form", canonical(F.col(text))).filter("_form <> ''")
+    return formed.withColumn("digest", F.sha2("_form", 256)).drop("_form")
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
@@ -110,8 +111,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame
     if not isinstance(known, DataFrame):
         pairs = [F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in known or LICENCES]
         known = spark.range(1).select(F.inline(F.array(*pairs)))
-    rows = known.select(digest(F.col("text")).alias("digest"), F.col("name").alias("license"))
-    return rows.filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = with_digest(known.select("name", "text"), "text")
+    return rows.groupBy("digest").agg(F.min("name").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,5 +130,5 @@ def scan_licenses(docs: DataFrame, known: DataFrame, key: str = "doc_id", text:
     lines = docs.select(F.col(f"`{key}`").alias(key), F.posexplode(F.split(own, "\n", -1)).alias("line_no", "part"))
     lines = lines.select(key, F.lit("line").alias("unit"), "line_no", "part")
     units = whole.unionByName(lines)
-    found = units.withColumn("digest", digest(F.col("part"))).join(known, "digest")
+    found = with_digest(units, "part").join(known, "digest")
     return found.select(key, "unit", "line_no", "license", "digest")

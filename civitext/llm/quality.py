@@ -24,7 +24,8 @@ from civitext.operators.common import compute_once
 BUCKETS = 10_000
 MIN_SCORE = -0.1
 MIN_WORDS = 50
-SYMBOLS = "#*$%&|<>"
+_FEW = 32
+SYMBOLS = "[#*$%&|<>]"
 _TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+"
 
 
@@ -34,47 +35,48 @@ def _pairs_of(items: Column, combine: Callable[[Column, Column], Column]) -> Col
     return F.zip_with(F.slice(items, 1, size), F.slice(items, 2, size), combine)
 
 
-def _repeated_window_words(hashes: Column) -> tuple[Column, Column]:
-    """Positions of the windows whose hash occurs twice or more, and the words they cover.
+def _repeat_places(windows: Column, repeated: Column) -> Column:
+    """Positions, in order, of the windows whose hash is in the array `repeated`.
 
-    `hashes` is a column with an array of (hash, position), sorted, so that equal windows
-    are neighbours. A window covers three words, less where the next one starts before
-    that; the second expression takes the positions as a column `_at`.
+    A few repeated hashes are looked for one by one. Among many, all windows are sorted
+    with their positions, so that equal ones are neighbours. Both give the same.
     """
-    pairs = _pairs_of(hashes, lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
-    at = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
-    steps = _pairs_of(F.col("_at"), lambda a, b: F.least(b - a, F.lit(3)))
-    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + 3
-    return at, F.when(F.size("_at") > 0, covered).otherwise(0)
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    few = F.transform(F.filter(placed, lambda s: F.array_contains(repeated, s["h"])), lambda s: s["p"])
+    pairs = _pairs_of(F.sort_array(placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
+    many = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
+    return F.when(F.size(repeated) <= _FEW, few).otherwise(many)
 
 
 def base_figures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    A null or empty text has none of anything and fails.
+    A null or empty text has none of anything and fails. Windows of three words are
+    compared by 64-bit hashes within their text. A repeated window covers three words,
+    less where the next one starts before that.
     """
     own = F.coalesce(F.col(text), F.lit(""))
     df = compute_once(df, "_words", words(own))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
-    chars = F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w))
-    df = df.withColumn("word_chars", chars)
-    df = df.withColumn("n_symbols", (F.length(own) - F.length(F.translate(own, SYMBOLS, ""))).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(own, F.lit(SYMBOLS)).cast("long"))
     lines = F.filter(F.split(own, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = compute_once(df, "_lines", lines)
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    size = F.greatest(F.size("_words") - 2, F.lit(0))
-    three = F.zip_with(
-        _pairs_of(F.col("_words"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice("_words", 3, size),
-        lambda ab, c: F.when(c.isNotNull(), F.xxhash64(ab["a"], ab["b"], c)),
-    )
-    windows = F.transform(F.slice(three, 1, size), lambda h, i: F.struct(h.alias("h"), i.alias("p")))
-    df = compute_once(df, "_windows", F.sort_array(windows))
-    at, covered = _repeated_window_words(F.col("_windows"))
-    df = compute_once(df, "_at", at)
-    df = df.withColumn("n_repeat_words", covered.cast("long"))
+    df = compute_once(df, "_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    two = _pairs_of(F.col("_hashes"), lambda a, b: F.xxhash64(a, b))
+    size = F.greatest(F.size("_hashes") - 2, F.lit(0))
+    three = F.zip_with(F.slice(two, 1, size), F.slice("_hashes", 3, size), lambda ab, c: F.xxhash64(ab, c))
+    df = compute_once(df, "_windows", three)
+    df = compute_once(df, "_sorted", F.sort_array("_windows"))
+    twice = _pairs_of(F.col("_sorted"), lambda a, b: F.when(a == b, a))
+    df = compute_once(df, "_twice", F.array_distinct(F.array_compact(twice)))
+    df = compute_once(df, "_at", F.when(F.size("_twice") > 0, _repeat_places(F.col("_windows"), F.col("_twice"))))
+    steps = _pairs_of(F.col("_at"), lambda a, b: F.least(b - a, F.lit(3)))
+    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + 3
+    df = df.withColumn("n_repeat_words", F.when(F.col("_at").isNull(), 0).otherwise(covered).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_at")
+    return df.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_twice", "_at")
 
 
 def token_hashes(text: Column) -> Column:
@@ -93,19 +95,16 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", tex
     `trusted` has the keys of the trusted texts. Texts with a null key count for the
     corpus only.
     """
-    marked = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct().withColumn("_trusted", F.lit(1))
-    read = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    read = compute_once(read.select("_key", token_hashes(F.col("_text")).alias("_tokens")), "_hashed", F.col("_tokens"))
+    marked = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct().withColumn("_trusted", F.lit(True))
+    read = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(marked, "_key", "left")
+    read = compute_once(read.select("_trusted", "_text"), "_hashed", token_hashes(F.col("_text")))
     buckets = F.concat(
         F.transform("_hashed", _bucket), _pairs_of(F.col("_hashed"), lambda a, b: _bucket(F.xxhash64(a, b)))
     )
-    # Counts of a document by bucket first: what is joined with the trusted keys has no text.
-    counted = read.select("_key", F.explode(buckets).alias("bucket"))
-    corpus = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    known = read.join(marked, "_key", "left_semi").select(F.explode(buckets).alias("bucket"))
-    target = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    raw = dict(corpus.collect())
-    own = dict(target.collect())
+    counted = read.select("_trusted", F.explode(buckets).alias("bucket")).groupBy("bucket")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.count("_trusted").alias("own")).collect()
+    raw = {r["bucket"]: r["n"] for r in counted}
+    own = {r["bucket"]: r["own"] for r in counted}
     all_raw, all_own = sum(raw.values()) + BUCKETS, sum(own.values()) + BUCKETS
     return [
         math.log((own.get(b, 0) + 1) / all_own) - math.log((raw.get(b, 0) + 1) / all_raw) for b in range(BUCKETS)
