@@ -1,5 +1,65 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others rest on hashes or models that SQL has not: their tests compare them with
+brute force, an exact round trip or held-out accuracy.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from civitext.llm.common import UPPER
+from civitext.llm.licenses import COPYRIGHT_LINE, LICENCES, SPELLINGS
+from civitext.llm.urls import RULES, SOFT, SOFT_LIMIT, STRICT
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _hit(term: str) -> str:
+    return f"CAST(regexp_matches(lower(url), '(^|[^\\p{{L}}\\p{{N}}]){term}([^\\p{{L}}\\p{{N}}]|$)') AS INTEGER)"
+
+
+def _rule_rows() -> str:
+    return ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(v)})" for h, p, v in RULES)
+
+
+URL_FILTER = f"""WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES {_rule_rows()}),
+fits AS (
+  SELECT page_id, arg_max(struct_pack(rule := h || p, verdict := v), length(h || p)) AS best
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+hits AS (
+  SELECT page_id, {" + ".join(_hit(t) for t in STRICT)} AS strict_terms,
+    {" + ".join(f"{w} * {_hit(t)}" for t, w in SOFT.items())} AS soft_weight FROM parts)
+SELECT page_id, host, path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN strict_terms > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_weight AS INTEGER) AS soft_weight
+FROM parts JOIN hits USING (page_id) LEFT JOIN fits USING (page_id)"""
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    out = f"replace({out}, '&', ' and ')"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
+    for pair in SPELLINGS:
+        one, other = (" " + "  ".join(words.split()) + " " for words in pair)
+        out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
+    return f"trim({out})"
+
+
+LICENCE_SCAN = f"""WITH known AS (
+  SELECT sha256({_canonical("t")}) AS digest, min(name) AS license
+  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in LICENCES)}) AS v(name, t) GROUP BY 1),
+pieces AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+units AS (
+  SELECT doc_id, 'text' AS unit, CAST(NULL AS INTEGER) AS line_no, text AS part FROM documents
+  UNION ALL SELECT doc_id, 'line', CAST(line_no AS INTEGER), part FROM pieces),
+formed AS (SELECT doc_id, unit, line_no, {_canonical("part")} AS form FROM units)
+SELECT doc_id, unit, line_no, license FROM formed JOIN known ON sha256(form) = digest WHERE form <> ''"""
+
+ORACLES: dict[str, str] = {"op7_url_filter": URL_FILTER, "op8_licenses": LICENCE_SCAN}

@@ -96,7 +96,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", tex
     corpus only.
     """
     marked = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct().withColumn("_trusted", F.lit(True))
-    read = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(marked, "_key", "left")
+    # Trusted keys grow with the corpus: never broadcast, so that the plan is one at every size.
+    read = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    read = read.join(marked.hint("merge"), "_key", "left")
     read = compute_once(read.select("_trusted", "_text"), "_hashed", token_hashes(F.col("_text")))
     buckets = F.concat(
         F.transform("_hashed", _bucket), _pairs_of(F.col("_hashed"), lambda a, b: _bucket(F.xxhash64(a, b)))

@@ -86,11 +86,25 @@ class Encoder:
             yield b"".join([self.known[p] for p in pieces])
 
 
+def encoder_of(path: str, kind: str) -> Encoder:
+    """The Python worker's encoder for a file.
+
+    Workers serve one task after the other and what they have learned is good for all of
+    them. As functions come by value, the tokenizer library's module is what tasks share.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_civitext_encoders", {})
+    if (path, kind) not in held:
+        held[path, kind] = Encoder(path, kind)
+    return held[path, kind]
+
+
 def _writer(folder: str, tokenizer: str, kind: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer, kind)
+        encoder = encoder_of(tokenizer, kind)
         part, end = TaskContext.get().partitionId(), np.array([end_id], kind).tobytes()
         width = np.dtype(kind).itemsize
         store, path = store_of(folder)
@@ -137,7 +151,8 @@ def write_token_files(
     store.create_dir(path, recursive=True)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     parts = parts or max(docs.rdd.getNumPartitions(), 1)
-    ranged = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # By key alone: the sample that finds the ranges goes to the driver.
+    ranged = rows.repartitionByRange(parts, F.col("key").asc_nulls_first())
     ranged = ranged.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
     listed = stage(
         ranged.mapInArrow(_writer(folder, tokenizer, kind, end_id), "part int, name string, docs long, tokens long"), "token_files"
