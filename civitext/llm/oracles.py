@@ -23,11 +23,12 @@ def _rule_rows() -> str:
     return ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(v)})" for h, p, v in RULES)
 
 
-URL_FILTER = f"""WITH parts AS (
+URL_FILTER = f"""WITH cut AS (
   SELECT page_id, coalesce(url, '') AS url,
-    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
-  FROM pages),
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{UPPER.lower()}') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM cut),
 rules(h, p, v) AS (VALUES {_rule_rows()}),
 fits AS (
   SELECT page_id, arg_max(struct_pack(rule := h || p, verdict := v), length(h || p)) AS best

@@ -10,7 +10,7 @@ The line may have any length. The driver sees a summary of it: bins with their f
 and last group end. A greedy pass over a summary has a certain lower and upper reach,
 which settle most capacities; the bins around the cuts are then read in finer steps,
 until one capacity and its cuts are exact. A step returns at most `_STEPS` bins for
-each cut.
+each of at most four bins per cut.
 """
 
 from __future__ import annotations
@@ -25,27 +25,30 @@ from civitext.llm.common import as_row, octets
 from civitext.operators.ordered import with_row_number, with_running_sum
 
 SHARDS = 16
-_STEPS = 8192
+_STEPS = 2048
 
 Bins = list[tuple[int, int]]
 
 
-def _reach(bins: Bins, firsts: list[int], x: int) -> tuple[int, int]:
-    """Lower and upper bound of the last group end that is not above x."""
+def _reach(bins: Bins, firsts: list[int], x: int) -> tuple[int, int, int | None]:
+    """Lower and upper bound of the last group end that is not above x; the bin to read, if they differ."""
     at = bisect_right(firsts, x) - 1
     if at < 0:
-        return 0, 0 if not bins or x < bins[0][0] else x
+        return 0, 0, None
     first, last = bins[at]
-    return (last, last) if x >= last else (first, x)
+    return (last, last, None) if x >= last else (first, x, at)
 
 
-def _greedy(bins: Bins, firsts: list[int], shards: int, capacity: int, upper: bool) -> list[int]:
-    """Ends of the shards that a greedy pass fills, by lower or upper bounds."""
-    ends, at = [], 0
+def _greedy(bins: Bins, firsts: list[int], shards: int, capacity: int, upper: bool) -> tuple[list[int], set[int]]:
+    """Ends of the shards that a greedy pass fills, by lower or upper bounds, and the bins it was unsure in."""
+    ends, unsure, at = [], set(), 0
     for _ in range(shards):
-        at = _reach(bins, firsts, at + capacity)[upper]
+        *reach, bin_ = _reach(bins, firsts, at + capacity)
+        at = reach[upper]
         ends.append(at)
-    return ends
+        if bin_ is not None:
+            unsure.add(bin_)
+    return ends, unsure
 
 
 def _least(low: int, high: int, holds: Callable[[int], bool]) -> int:
@@ -64,26 +67,23 @@ def smallest_capacity(
     `read(windows, steps)` returns bins (first end, last end) of the line inside each
     of the disjoint windows, at most `steps` for a window.
     """
-    bins = read([(1, total)], steps)
+    bins = read([(1, total)], 16 * steps)
     low, high = max(largest, -(-total // shards)), total
     while True:
         firsts = [b[0] for b in bins]
-        high = _least(low, high, lambda c: _greedy(bins, firsts, shards, c, False)[-1] >= total)
-        low = _least(low, high, lambda c: _greedy(bins, firsts, shards, c, True)[-1] >= total)
-        under, over = _greedy(bins, firsts, shards, low, False), _greedy(bins, firsts, shards, high, True)
-        if low == high and under == over:
-            return low, under
-        windows: list[tuple[int, int]] = []
-        for a, b in zip(under, over):
-            # Whole bins, as bins inside a window are read again.
-            at, to = max(bisect_right(firsts, a) - 1, 0), max(bisect_right(firsts, b) - 1, 0)
-            a, b = bins[at][0], bins[to][1]
-            if windows and a <= windows[-1][1]:
-                windows[-1] = (windows[-1][0], max(b, windows[-1][1]))
-            else:
-                windows.append((a, b))
-        kept = [x for x in bins if not any(a <= x[0] <= b for a, b in windows)]
-        bins = sorted(kept + read(windows, steps))
+
+        def full(capacity: int, upper: bool) -> bool:
+            return _greedy(bins, firsts, shards, capacity, upper)[0][-1] >= total
+
+        high = _least(low, high, lambda c: full(c, False))
+        low = _least(low, high, lambda c: full(c, True))
+        passes = [_greedy(bins, firsts, shards, c, upper) for c in (low, high) for upper in (False, True)]
+        if low == high and passes[0][0] == passes[1][0]:
+            return low, passes[0][0]
+        # A pass without an unsure bin is exact, so there is one; two steps part its ends.
+        unsure = sorted(set().union(*(bins_ for _, bins_ in passes)))
+        windows = [bins[i] for i in unsure]
+        bins = sorted([x for i, x in enumerate(bins) if i not in set(unsure)] + read(windows, steps))
 
 
 def _reader(line: DataFrame) -> Callable[[list[tuple[int, int]], int], Bins]:

@@ -34,14 +34,20 @@ SOFT = {
 SOFT_LIMIT = 2
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ://, empty without one."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """Lower-cased (A to Z) part after the first :// up to / ? # or the end; else empty."""
-    return ascii_lower(F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+    return ascii_lower(F.regexp_extract(_after_scheme(url), "^[^/?#]*", 0))
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ? # or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_after_scheme(url), "^[^/?#]*(/[^?#]*)", 1)
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
