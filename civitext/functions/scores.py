@@ -12,9 +12,15 @@ def array_sum(values: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Exponentials of the scores less their maximum, scaled to sum to one."""
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    return F.transform(exps, lambda e: e / array_sum(exps))
+    # Maximum and sum are elements of one-element arrays, so that each is computed once.
+    exps = F.flatten(
+        F.transform(
+            F.array(F.array_max(scores)),
+            lambda top: F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double"))),
+        )
+    )
+    totals = F.transform(F.array(exps), lambda e: F.struct(e.alias("e"), array_sum(e).alias("total")))
+    return F.flatten(F.transform(totals, lambda t: F.transform(t["e"], lambda e: e / t["total"])))
 
 
 def argmax(scores: Column) -> Column:

@@ -102,8 +102,7 @@ def alpha_share(text: Column) -> Column:
 
 def is_good_neutral(text: Column, max_words: int = 20) -> Column:
     """Sentence-like text without markup or links; examples are excluded elsewhere."""
-    # 3 to `max_words` words; one comparison, so that the words are counted once.
-    fits = F.abs(2 * F.size(words(text)) - (max_words + 3)) <= max_words - 3
+    fits = F.size(words(text)).between(3, max_words)
     bad = "|".join(BAD_PATTERNS)
     return F.coalesce(
         (F.length(text) >= 5)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def augment(train: DataFrame, candidates: DataFrame, label: int = 1) -> DataFrame:
-    """Bag union of (text, label) rows; every candidate gets `label`."""
-    added = candidates.select("text", F.lit(label).cast("int").alias("label"))
-    return train.select("text", F.col("label").cast("int").alias("label")).unionByName(added)
+def augment(train: DataFrame, candidates: DataFrame, label: int = 1, key: str | None = None) -> DataFrame:
+    """Bag union of ([key,] text, label) rows; every candidate gets `label`."""
+    keys = [key] if key else []
+    added = candidates.select(*keys, "text", F.lit(label).cast("int").alias("label"))
+    return train.select(*keys, "text", F.col("label").cast("int").alias("label")).unionByName(added)
 
 
 def settings(train: DataFrame, candidates: DataFrame, label: int = 1) -> DataFrame:

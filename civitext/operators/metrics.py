@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civitext.functions.scores import verdict
 from civitext.operators.ordered import with_running_sum
 
+EPSILON = 1e-15
 METRICS = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
 
@@ -80,9 +81,15 @@ def binary_metrics(
 def log_loss(
     df: DataFrame, label: str = "label", score: str = "prob", weight: str | None = None
 ) -> DataFrame:
-    """(log_loss): mean of -ln p(label), weighted if `weight` is given."""
-    p = F.when(F.col(label) == 1, F.col(score)).otherwise(1.0 - F.col(score))
+    """(log_loss): mean of -ln p(label), weighted if `weight` is given.
+
+    Scores are clipped to EPSILON .. 1 - EPSILON, so that a score of 0 or 1 on the wrong
+    side counts with a large but finite loss. Rows without a score or label do not count.
+    """
+    score_ = F.least(F.greatest(F.col(score).cast("double"), F.lit(EPSILON)), F.lit(1.0 - EPSILON))
+    p = F.when(F.col(label) == 1, score_).otherwise(1.0 - score_)
     w = F.col(weight) if weight else F.lit(1.0)
+    df = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     return df.agg(F.sum(-w * F.log(p)).alias("_loss"), F.sum(w).alias("_w")).select(
         F.when(F.col("_w") > 0, F.col("_loss") / F.col("_w")).alias("log_loss")
     )

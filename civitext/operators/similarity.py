@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 # Most bytes of anchors that are sent to every task; more are cut into blocks of this size.
 BLOCK_BYTES = 32 << 20
-CELL_CANDIDATES = 65_536
-CHUNK = 4_096
+CELL_BYTES = 32 << 20
+# Most bytes of one product of candidates and anchors.
+PRODUCT_BYTES = 64 << 20
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -23,10 +24,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _best(vectors: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Row-wise maximum of the product, a chunk of rows at a time."""
-    out = np.empty(len(vectors))
-    for at in range(0, len(vectors), CHUNK):
-        out[at : at + CHUNK] = (_unit(vectors[at : at + CHUNK]) @ anchors.T).max(axis=1)
+    """Row-wise maximum of the product, in tiles of PRODUCT_BYTES at most."""
+    out = np.full(len(vectors), -np.inf)
+    side = max(1, int((PRODUCT_BYTES / 8) ** 0.5))
+    for at in range(0, len(vectors), side):
+        rows = _unit(vectors[at : at + side])
+        for to in range(0, len(anchors), side):
+            np.maximum(out[at : at + side], (rows @ anchors[to : to + side].T).max(axis=1), out=out[at : at + side])
     return out
 
 
@@ -37,20 +41,31 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def max_anchor_cosine(
     candidates: DataFrame, anchors: DataFrame, key: str, vector: str, block: int | None = None,
-    cell: int = CELL_CANDIDATES,
+    cell: int | None = None,
 ) -> DataFrame:
-    """(key, max_cos). Nothing is left out: every anchor meets every candidate.
+    """(key, max_cos), one row per candidate: every anchor meets every candidate.
+
+    Vectors are as wide as the widest usable anchor. A candidate of another width, with a
+    null element, empty or null has a null `max_cos`; such anchors are no anchors.
 
     Up to `block` anchors travel to the tasks as one matrix and candidates are
     not shuffled. More anchors are cut into blocks, candidates into cells, and
     each (cell, block) pair is one bounded matrix product; only the maximum per
     candidate and block comes out, never the single pairs.
     """
-    cands = candidates.select(key, vector).filter(F.size(vector) > 0)
-    anch = anchors.select(vector).filter(F.size(vector) > 0)
-    if block is None:
-        first = anch.first()
-        block = BLOCK_BYTES // (8 * len(first[0])) if first else 1
+    usable = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    anch = anchors.select(vector).filter(usable)
+    width = anch.agg(F.max(F.size(vector))).first()[0] or 0
+    anch = anch.filter(F.size(vector) == width)
+    fits = F.coalesce(usable & (F.size(vector) == width), F.lit(False))
+    every = candidates.select(key, vector)
+    cands, others = every.filter(fits), every.filter(~fits).select(key, F.lit(None).cast("double").alias("max_cos"))
+    block = block or max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    cell = cell or max(1, CELL_BYTES // (8 * max(width, 1)))
+    return _scored(cands, anch, key, vector, block, cell).unionByName(others)
+
+
+def _scored(cands: DataFrame, anch: DataFrame, key: str, vector: str, block: int, cell: int) -> DataFrame:
     if anch.limit(block + 1).count() <= block:
         rows = [r[0] for r in anch.collect()]
         return _small(cands, rows, key, vector)

@@ -12,7 +12,7 @@ from civitext.operators.augmentation import augmentation_impact
 from civitext.operators.classifier import TextClassifier
 from civitext.operators.cleaning import clean_generated
 from civitext.operators.metrics import binary_metrics, compare
-from civitext.operators.sampling import quick_cap
+from civitext.operators.sampling import QUICK_CAPS, quick_cap
 from civitext.operators.splitting import stratified_split
 from civitext.plans import experiment
 from civitext.session import stage
@@ -40,7 +40,9 @@ def full_analysis(
     """
     rows = load_or_compute(spark, splits_path, lambda: stratified_split(load(), seed=seed))
     if quick_test:
-        rows = quick_cap(rows)
+        # Fewer training rows only: metrics cover all validation and test rows.
+        fewer = quick_cap(rows, {"train": QUICK_CAPS["train"]})
+        rows = fewer.unionByName(rows.filter(F.col("split") != "train"))
     rows = rows.withColumn("row_id", F.col("row_id").cast("string"))
     train = rows.filter(F.col("split") == "train").drop("split")
     test = rows.filter(F.col("split") == "test").drop("split")
@@ -55,8 +57,9 @@ def full_analysis(
         table = prediction_table(fitted[model, "baseline"].score(test), fitted[model, "augmented"].score(test))
         write_predictions(table, f"{out}/predictions/{model}")
     write_report(augmentation_impact(train, added), f"{out}/impact")
-    cross = experiment.cross_dataset(fitted, outside) if outside else None
-    report = experiment.report(train, added, test, experiment.evaluate(fitted, test), cross)
+    skipped: list[str] = []
+    cross = experiment.cross_dataset(fitted, outside, skipped=skipped) if outside else None
+    report = experiment.report(train, added, test, experiment.evaluate(fitted, test), cross, skipped)
     write_report(report, f"{out}/report")
     return spark.read.schema(report.schema).json(f"{out}/report")
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civitext.operators.augmentation import augment
 from civitext.operators.classifier import TextClassifier, fit_text_classifier
 from civitext.operators.labels import class_weights
 from civitext.operators.metrics import METRICS, binary_metrics, compare
@@ -40,8 +41,8 @@ def fit_settings(
     `candidates` is (key, text); its keys must not occur in `train`.
     """
     base = stage(train.select(key, "text", F.col("label").cast("int").alias("label")), "train")
-    added = candidates.select(key, "text", F.lit(1).cast("int").alias("label"))
-    augmented = stage(base.unionByName(added), "train_augmented")
+    # The base texts are staged once; the augmented set reads them and the added ones.
+    augmented = augment(base, stage(candidates.select(key, "text"), "added"), key=key)
     weights = class_weights(base) if shared_weights else None
     sets = {"baseline": base, "augmented": augmented}
     # The fits do not depend on each other, so their jobs share the cluster.
@@ -75,19 +76,25 @@ def cross_dataset(
     fitted: dict[tuple[str, str], TextClassifier],
     sets: dict[str, Callable[[], DataFrame]],
     setting: str | None = "augmented",
+    skipped: list[str] | None = None,
 ) -> DataFrame:
-    """One metric row per (model, setting, dataset); a set that cannot be read is skipped.
+    """One metric row per (model, setting, dataset); a set whose source cannot be read is skipped.
 
-    Each loader gives (key, text, label). `setting` None evaluates both settings.
+    Each loader gives (key, text, label). `setting` None evaluates both settings. Names
+    of skipped sets are added to `skipped`. A job that fails on a set that could be
+    opened raises.
     """
     chosen = {k: v for k, v in fitted.items() if setting is None or k[1] == setting}
     parts = []
     for name, load in sets.items():
         try:
-            rows = load().withColumn("dataset", F.lit(name))
-            parts.append(stage(score_all(chosen, rows), "scored"))
-        except PySparkException as error:
+            rows = load()
+        except (AnalysisException, OSError) as error:
             log.warning("set %s skipped: %s", name, error)
+            if skipped is not None:
+                skipped.append(name)
+            continue
+        parts.append(stage(score_all(chosen, rows.withColumn("dataset", F.lit(name))), "scored"))
     if not parts:
         raise ValueError("no outside set could be read")
     return binary_metrics(reduce(DataFrame.unionByName, parts), ["model", "setting", "dataset"])
@@ -99,8 +106,9 @@ def report(
     test: DataFrame,
     in_domain: DataFrame,
     cross: DataFrame | None = None,
+    skipped: list[str] | None = None,
 ) -> DataFrame:
-    """One nested row: set sizes, metric rows, deltas and outside-set metric rows.
+    """One nested row: set sizes, metric rows, deltas, outside-set metric rows and skipped sets.
 
     The metric tables hold one row per model and setting, so listing them in
     one row is bounded.
@@ -125,6 +133,9 @@ def report(
     if cross is not None:
         parts.append(listed(cross, "cross_dataset", ["model", "setting", "dataset", *columns]))
     # Every part is a global aggregate of one row.
+    if cross is not None:
+        names = F.array(*[F.lit(s) for s in skipped or []]).cast("array<string>")
+        parts.append(train.sparkSession.range(1).select(names.alias("skipped_sets")))
     keyed = [part.withColumn("_one", F.lit(1)) for part in parts]
     row = reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
     added = F.col("generated_cleaned")

@@ -184,7 +184,7 @@ grams AS (
 counts AS (SELECT doc_id, term, count(*) AS c FROM grams GROUP BY ALL),
 terms AS (
   SELECT term, CAST(sum(c) AS BIGINT) AS tot, count(*) AS df FROM counts GROUP BY term
-  ORDER BY tot DESC, term LIMIT 5000)"""
+  ORDER BY tot DESC, term LIMIT 50000)"""
 
 POOL = f"""scored AS (
   SELECT doc_id, line_no, text,
@@ -213,8 +213,8 @@ TAGGED = """tagged AS (
   SELECT doc_id, text, 'toxic' AS tag FROM flagged WHERE toxic = 1
   UNION ALL SELECT doc_id, text, 'low_quality' FROM flagged WHERE low_quality = 1
   UNION ALL SELECT doc_id, text, 'nor' FROM flagged WHERE toxic = 0 AND low_quality = 0)"""
-EIGHT = "(SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) AS e FROM embeddings)"
-EXPS = f"(SELECT vec_id, label, e, list_transform(e, lambda x: exp(x - list_max(e))) AS x FROM {EIGHT})"
+VECTORS = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+EXPS = f"(SELECT vec_id, label, e, list_transform(e, lambda x: exp(x - list_max(e))) AS x FROM {VECTORS})"
 
 PADDED = """padded AS (
   SELECT doc_id, line_no,
@@ -328,7 +328,7 @@ FROM (SELECT unnest({words('lower(text)')}) AS word FROM documents) GROUP BY wor
     "vocab_first_seen": f"WITH {LINES}, {TOKS}, {VOCAB} SELECT word, CAST(id AS BIGINT) AS id FROM vocab",
     "vocab_topk": f"""WITH t AS ({numbered('documents', 'doc_id', words('lower(text)'), 'pos', 'word')}),
 c AS (SELECT word, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS f FROM t GROUP BY word),
-k AS (SELECT * FROM c ORDER BY n DESC, f LIMIT 5000)
+k AS (SELECT * FROM c ORDER BY n DESC, f LIMIT 50000)
 SELECT word, 1 + row_number() OVER (ORDER BY n DESC, f) AS id FROM k WHERE n >= 2
 UNION ALL SELECT * FROM (VALUES ('<PAD>', 0), ('<UNK>', 1)) s(word, id)""",
     "vocab_size": f"""WITH {LINES}, {TOKS}, c AS (SELECT word, count(*) AS n FROM ex GROUP BY word)
@@ -367,11 +367,11 @@ SELECT round((count(*) FILTER (p.prob > n.prob) + 0.5 * count(*) FILTER (p.prob
 FROM scored p, scored n WHERE p.label = 1 AND n.label = 0""",
     "log_loss": f"""WITH {LAB}, {SCORED}, l AS (
   SELECT label + 1.0 AS w, -ln(CASE WHEN label = 1 THEN p ELSE 1 - p END) AS loss
-  FROM (SELECT label, least(greatest(CAST(prob AS DOUBLE), 0.05), 0.95) AS p FROM scored))
+  FROM (SELECT label, least(greatest(CAST(prob AS DOUBLE), 1e-15), 1 - 1e-15) AS p FROM scored))
 SELECT 'plain' AS kind, round(avg(loss), 6) AS log_loss FROM l
 UNION ALL SELECT 'weighted', round(sum(w * loss) / sum(w), 6) FROM l""",
     "mean_score": f"""SELECT CAST(label AS BIGINT) AS label,
-  round(avg(1 - x[label % 8 + 1] / list_sum(x)), 6) AS mean_score FROM {EXPS} GROUP BY label""",
+  round(avg(1 - x[label + 1] / list_sum(x)), 6) AS mean_score FROM {EXPS} GROUP BY label""",
     "tfidf_terms": f"WITH {LAB}, {TERMS} SELECT term, tot, df FROM terms",
     "tfidf_weights": f"""WITH {LAB}, {TERMS}, raw AS (
   SELECT doc_id, term, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM lab)) / (1 + df)) + 1) AS w

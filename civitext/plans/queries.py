@@ -35,8 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ROLES = ["system", "user", "assistant"]
-QUERY_TERMS = 5_000
-QUERY_WORDS = 5_000
 QUERY_CAPS = {"train": 50, "val": 5, "test": 5}
 QUERY_SAMPLE = 50
 QUERY_FALLBACK = 100
@@ -57,7 +55,8 @@ def r6(col, name: str):
 
 @query
 def scan_labelled(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.length("text").cast("bigint").alias("text_length"))
+    docs = comments.read_comments(spark, f"{sf}/documents.parquet")
+    docs = docs.select("doc_id", F.length("text").cast("bigint").alias("text_length"))
     return docs.join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text_length", big("toxic"), big("quality")
     )
@@ -354,7 +353,7 @@ def vocab_first_seen(spark, sf):
 @query
 def vocab_topk(spark, sf):
     docs = src.texts(spark, sf)
-    return vocabulary.vocab_topk(docs, text.words(F.lower("text")), "doc_id", k=QUERY_WORDS)
+    return vocabulary.vocab_topk(docs, text.words(F.lower("text")), "doc_id")
 
 
 @query
@@ -383,7 +382,12 @@ def augmentation_impact(spark, sf):
 
 @query
 def augment_union(spark, sf):
-    return augmentation.setting_counts(src.train_rows(spark, sf), src.candidates(spark, sf))
+    train = src.split_texts(spark, sf).filter(F.col("split") == "train")
+    added = augmentation.augment(train.select("text", "label"), src.candidates(spark, sf))
+    both = train.select(F.lit("baseline").alias("setting"), "label").unionByName(
+        added.select(F.lit("augmented").alias("setting"), "label")
+    )
+    return both.groupBy("setting", big("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -412,7 +416,6 @@ def roc_auc(spark, sf):
 @query
 def log_loss(spark, sf):
     rows = src.with_stand_in(src.label_rows(spark, sf))
-    rows = rows.withColumn("prob", F.least(F.greatest("prob", F.lit(0.05)), F.lit(0.95)))
     rows = rows.withColumn("weight", F.col("label") + 1.0)
     plain, weighted = metrics.log_loss(rows), metrics.log_loss(rows, weight="weight")
     both = plain.select(F.lit("plain").alias("kind"), "log_loss").unionByName(
@@ -424,8 +427,8 @@ def log_loss(spark, sf):
 @query
 def mean_score(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    probs = vectors.select("label", scores.softmax(F.slice("embedding", 1, 8)).alias("p"))
-    missed = probs.withColumn("score", scores.miss_score(F.col("p"), F.col("label") % 8))
+    probs = vectors.select("label", scores.softmax(F.col("embedding")).alias("p"))
+    missed = probs.withColumn("score", scores.miss_score(F.col("p"), F.col("label")))
     return metrics.mean_score(missed, "label").select(big("label"), r6(F.col("mean_score"), "mean_score"))
 
 
@@ -435,14 +438,14 @@ def _term_counts(spark, sf):
 
 @query
 def tfidf_terms(spark, sf):
-    return tfidf.top_terms(_term_counts(spark, sf), QUERY_TERMS)
+    return tfidf.top_terms(_term_counts(spark, sf))
 
 
 @query
 def tfidf_weights(spark, sf):
     counts = _term_counts(spark, sf)
     n_docs = src.label_rows(spark, sf).count()
-    terms = tfidf.numbered_terms(tfidf.top_terms(counts, QUERY_TERMS), n_docs)
+    terms = tfidf.numbered_terms(tfidf.top_terms(counts), n_docs)
     weights = tfidf.weigh(counts, terms, "doc_id")
     return weights.select("doc_id", "term", r6(F.col("weight"), "weight"))
 
@@ -564,7 +567,7 @@ def one_hot(spark, sf):
 
 @query
 def softmax_argmax(spark, sf):
-    raw = F.slice("embedding", 1, 8)
+    raw = F.col("embedding")
     return table(spark, sf, "embeddings").select(
         "vec_id",
         scores.argmax(raw).cast("bigint").alias("best"),
@@ -609,12 +612,18 @@ def multiclass_table(spark, sf):
 # --- models ----------------------------------------------------------------
 
 
+def _outside_candidates(spark, sf):
+    """Candidates from documents without a label, so that no test text is trained on."""
+    return src.candidates(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
 def _fitted(spark, sf):
     """Split texts and the fitted baseline and augmented models."""
     rows = stage(
         src.split_texts(spark, sf).withColumn("row_id", F.col("doc_id").cast("string")), "split_texts"
     )
-    added = src.candidates(spark, sf).select(F.concat_ws(":", F.lit("added"), *LINE_KEYS).alias("row_id"), "text")
+    added = _outside_candidates(spark, sf)
+    added = added.select(F.concat_ws(":", F.lit("added"), *LINE_KEYS).alias("row_id"), "text")
     fitted = experiment.fit_settings(rows.filter(F.col("split") == "train"), added)
     return rows, fitted
 
@@ -651,7 +660,7 @@ def experiment_report(spark, sf):
     rows, fitted = _fitted(spark, sf)
     test = rows.filter(F.col("split") == "test").select("row_id", "text", "label")
     train = rows.filter(F.col("split") == "train")
-    report = experiment.report(train, src.candidates(spark, sf), test, experiment.evaluate(fitted, test))
+    report = experiment.report(train, _outside_candidates(spark, sf), test, experiment.evaluate(fitted, test))
     path = stage_path(spark, "report")
     reports.write_report(report, path)
     read = spark.read.schema(report.schema).json(path)
@@ -663,12 +672,14 @@ def experiment_report(spark, sf):
 def cross_dataset(spark, sf):
     rows, fitted = _fitted(spark, sf)
     langs = table(spark, sf, "documents").select("doc_id", "lang")
-    labelled = rows.join(langs, "doc_id")
+    # Only rows that no model was fitted on.
+    labelled = rows.filter(F.col("split") != "train").join(langs, "doc_id")
 
     def of(lang):
         return lambda: labelled.filter(F.col("lang") == lang).select("row_id", "text", "label")
 
-    sets = {lang: of(lang) for lang in ("en", "de", "fr", "es")}
+    # One set for each language that occurs.
+    sets = {r["lang"]: of(r["lang"]) for r in labelled.select("lang").distinct().collect()}
     sets["absent"] = lambda: spark.read.parquet(f"{sf}/no_such_table.parquet")
     long = metrics.long_metrics(experiment.cross_dataset(fitted, sets), ["model", "dataset"])
     return long.select("model", "dataset", "metric", r6(F.col("value"), "value"))

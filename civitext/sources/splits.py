@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civitext.sources.paths import path_exists
+from civitext.sources.paths import is_file, path_exists
 
 # Names of the splits.
 SPLITS = ["train", "val", "test"]
@@ -20,13 +20,15 @@ def save_splits(df: DataFrame, path: str) -> None:
 
 
 def load_splits(spark: SparkSession, path: str) -> DataFrame | None:
-    """All splits with a `split` column, or None if one is missing.
+    """All splits with a `split` column, or None if one is missing or was not finished.
 
+    A folder counts as finished with its `_SUCCESS` mark; a plain file is one.
     Takes the folders of `save_splits` and a folder of `<split>.parquet` files.
     """
-    if all(path_exists(spark, f"{path}/split={s}") for s in SPLITS):
+    if path_exists(spark, f"{path}/_SUCCESS") and all(path_exists(spark, f"{path}/split={s}") for s in SPLITS):
         return spark.read.parquet(path).withColumn("split", F.col("split").cast("string"))
-    if all(path_exists(spark, f"{path}/{s}.parquet") for s in SPLITS):
+    files = [f"{path}/{s}.parquet" for s in SPLITS]
+    if all(is_file(spark, f) or path_exists(spark, f"{f}/_SUCCESS") for f in files):
         parts = [
             spark.read.parquet(f"{path}/{s}.parquet").withColumn("split", F.lit(s)) for s in SPLITS
         ]
