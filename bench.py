@@ -47,6 +47,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
+    # Starts the session; not recorded.
+    QUERIES[HEADLINE[0]](spark, sf).write.format("noop").mode("overwrite").save()
     for name in HEADLINE:
         start = time.time()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
