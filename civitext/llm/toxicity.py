@@ -220,7 +220,8 @@ def fit_toxicity(
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     taught = marks.filter(F.col("fold") != CALIBRATION_FOLD).select("key", "toxic")
     own = fold_of(F.col("key"), FOLDS)
-    read = texts.filter((own != 0) & (own != CALIBRATION_FOLD)).join(taught, "key").select("text", "toxic")
+    # Labels grow with the corpus: never broadcast, so that the plan is one at every size.
+    read = texts.filter((own != 0) & (own != CALIBRATION_FOLD)).join(taught.hint("merge"), "key").select("text", "toxic")
     parts = read.mapInArrow(_count_grams, "gram int, toxic int, n long")
     counts = parts.groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
     # At most GRAM_SPACE rows for each class, whatever the corpus.
@@ -230,7 +231,8 @@ def fit_toxicity(
 
     some = marks.filter(F.col("fold") == CALIBRATION_FOLD).select("key", "toxic")
     some = some.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS)
-    tried = texts.filter(own == CALIBRATION_FOLD).join(some, "key")
+    # At most CALIBRATION_ROWS keys, so that the texts of this fold stay where they are.
+    tried = texts.filter(own == CALIBRATION_FOLD).join(F.broadcast(some), "key")
     tried = tried.select("toxic", _features(spark, model, F.col("text")).alias("f")).select("toxic", "f.*")
     rows = tried.filter("brief > 0").toPandas()
     if rows["toxic"].nunique() == 2:
