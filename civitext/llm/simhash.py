@@ -15,7 +15,7 @@ number: see `_hot_links`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +62,9 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """Long column with the fingerprint of each text; null texts have fingerprint 0."""
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_of(t.as_py(), shingle) for t in texts], pa.int64())
 
     return run(text)
 

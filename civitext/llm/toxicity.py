@@ -35,7 +35,7 @@ CALIBRATION_FOLD = 4
 # Labelled rows the three calibration weights are fitted on, at most.
 CALIBRATION_ROWS = 20_000
 RIDGE = 1e-3
-_BUFFER = 1 << 22  # grams counted at once
+_BUFFER = 1 << 21  # grams counted at once
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else (b if b >= 128 or chr(b).isalnum() else 32) for b in range(256))
 
@@ -79,7 +79,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(label: int) -> None:
         if waiting[label]:
             done[label].append(np.unique(np.concatenate(waiting[label]), return_counts=True))
-            if len(done[label]) > 8:
+            if len(done[label]) > 3:
                 done[label] = [_merge(done[label])]
         waiting[label], sizes[label] = [], 0
 
@@ -111,21 +111,27 @@ class ToxicModel:
     prior: float = 0.0
 
 
-def _dense(grams: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    out = np.full(GRAM_SPACE, np.nan, np.float32)
-    out[grams] = ratios
-    return out
+def _table_of(grams: np.ndarray, ratios: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each context, rows): the ratio of every symbol after every known context.
+
+    A symbol not seen after a known context has the context's own ratio. Row 0 is for
+    contexts that are not known, whose ratio is 0. Rows are as many as known contexts.
+    """
+    known, at = np.unique(grams >> SYMBOL_BITS, return_inverse=True)
+    rows = np.zeros((len(known) + 1, 1 << SYMBOL_BITS), np.float32)
+    rows[1:] = contexts[known][:, None]
+    rows[at + 1, grams & ((1 << SYMBOL_BITS) - 1)] = ratios
+    row_of = np.zeros(GRAM_SPACE >> SYMBOL_BITS, np.int32)
+    row_of[known] = np.arange(1, len(known) + 1)
+    return row_of, rows.reshape(-1)
 
 
-def features_of(text: str | None, dense: np.ndarray, contexts: np.ndarray) -> tuple[float, float, float]:
+def features_of(text: str | None, row_of: np.ndarray, rows: np.ndarray) -> tuple[float, float, float]:
     """Mean log-likelihood ratio, mean of what single ratios exceed 1 by, 1 / sqrt(length)."""
     grams = grams_of(text)
     if not len(grams):
         return 0.0, 0.0, 0.0
-    ratios = dense[grams]
-    unseen = np.isnan(ratios)
-    if unseen.any():
-        ratios[unseen] = contexts[grams[unseen] >> SYMBOL_BITS]
+    ratios = rows[(row_of[grams >> SYMBOL_BITS] << SYMBOL_BITS) + (grams & ((1 << SYMBOL_BITS) - 1))]
     n = len(grams)
     peaks = np.maximum(ratios - 1, 0).sum(dtype=np.float64)
     return float(ratios.sum(dtype=np.float64)) / n, float(peaks) / n, n**-0.5
@@ -176,13 +182,13 @@ def _model_of(counts: pd.DataFrame) -> ToxicModel:
 def _features(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
     shipped = spark.sparkContext.broadcast((model.grams, model.ratios, model.contexts))
 
-    @F.pandas_udf("mean double, peaks double, brief double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams, ratios, contexts = shipped.value
-        dense = _dense(grams, ratios)
+    @F.arrow_udf("mean double, peaks double, brief double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        row_of, rows = _table_of(*shipped.value)
         for texts in batches:
-            rows = [features_of(t, dense, contexts) for t in texts]
-            yield pd.DataFrame(rows, columns=["mean", "peaks", "brief"])
+            # One text at a time leaves the Arrow batch.
+            found = np.array([features_of(t.as_py(), row_of, rows) for t in texts], float).reshape(-1, 3)
+            yield pa.StructArray.from_arrays([pa.array(f) for f in found.T.copy()], ["mean", "peaks", "brief"])
 
     return run(text)
 
