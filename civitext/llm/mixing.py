@@ -200,7 +200,8 @@ def _mixed(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.greatest(F.lit(0), F.col("block") * BLOCK_WORDS - F.col("begin"))
     end = F.least(F.col("size"), (F.col("block") + 1) * BLOCK_WORDS - F.col("begin"))
     parts = parts.select("uid", "number", "block", start.alias("from_word"), (end - start).alias("n_words"))
-    pieces = parts.join(mix_slots(sources), ["number", "block"])
+    # Sides that grow with the corpus are merged at every size: none passes through the driver.
+    pieces = parts.join(mix_slots(sources).hint("merge"), ["number", "block"])
     pieces = pieces.select("uid", "shard", "index", "pass", "from_word", "n_words")
     documents = marked.join(broadcast_if_small(sources), marked["source"].eqNullSafe(sources["source"]))
     return documents.select(marked["*"], "source_size", "target"), pieces
@@ -219,7 +220,7 @@ def taken_words(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     )
     documents, pieces = _mixed(marked)
     taken = pieces.groupBy("uid").agg(F.sum("n_words").alias("taken"))
-    out = documents.join(taken, "uid", "left")
+    out = documents.join(taken.hint("merge"), "uid", "left")
     return out.select(
         F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
@@ -236,7 +237,7 @@ def mixed_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     spans = pieces.groupBy("uid", "pass").agg(
         F.sum("n_words").alias("taken"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans")
     )
-    chosen = documents.select("row", "uid", "size").join(spans, "uid")
+    chosen = documents.select("row", "uid", "size").join(spans.hint("merge"), "uid")
     own = F.col(f"row.`{text}`")
     cut = F.flatten(F.transform("spans", lambda s: F.slice(F.col("tokens"), (s["from_word"] + 1).cast("int"), s["n_words"].cast("int"))))
     tokens = F.when(F.col("taken") < F.col("size"), words(own))
