@@ -84,20 +84,21 @@ def _in_filter(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, tokens, n_tokens, seeds): items with at least MIN_MATCH tokens."""
+    """(item, tokens, n_tokens, seeds): items with at least MIN_MATCH tokens, each seed with its places in the item."""
     for batch in batches:
         rows = []
         for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
             tokens = tokens_of(text.as_py())
             if len(tokens) >= MIN_MATCH:
-                seeds = np.unique(rolling(_ids(tokens), MIN_MATCH)).view(np.int64)
+                seeds, times = np.unique(rolling(_ids(tokens), MIN_MATCH), return_counts=True)
+                seeds = [{"seed": s, "times": n} for s, n in zip(seeds.view(np.int64).tolist(), times.tolist())]
                 rows.append((item, b" ".join(tokens).decode("utf-8", "replace"), len(tokens), seeds))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.string()),
                 pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                pa.array([r[3] for r in rows], pa.list_(pa.struct([("seed", pa.int64()), ("times", pa.int32())]))),
             ],
             ["item", "tokens", "n_tokens", "seeds"],
         )
@@ -257,17 +258,17 @@ def contamination(
     `rows` has columns `uid`, which tells rows apart, and `key`, which is carried. Documents are read once, against a
     filter of fixed size; of each only the seeds that may be an item's and the passages
     under them go on. Seeds are joined with the items' seeds by value. A pair is tiled
-    if it shares enough seeds to reach the threshold: an item's tiles have at least one
-    seed for every MIN_MATCH tokens they cover.
+    if it shares enough seeds to reach the threshold, each counted at every place it has in
+    the item: an item's tiles have at least one place for every MIN_MATCH tokens they cover.
 
     Items under MIN_MATCH tokens have no seeds and contaminate nothing, nor do null or
     empty texts on either side. Repeated items are items of their own.
     """
     spark = rows.sparkSession
     known = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    known = known.mapInArrow(_item_rows, "item long, tokens string, n_tokens int, seeds array<long>")
+    known = known.mapInArrow(_item_rows, "item long, tokens string, n_tokens int, seeds array<struct<seed: long, times: int>>")
     known = stage(known.withColumn("at", F.monotonically_increasing_id()), "items")  # as items may repeat
-    owners = known.select(F.explode("seeds").alias("seed"), "at", "n_tokens")
+    owners = known.select(F.inline("seeds"), "at", "n_tokens")
     filled = spark.sparkContext.broadcast(_filter_of(owners.select("seed")))
     asked = rows.select("uid", F.col("key").cast("long").alias("key"), text.alias("text"))
     seeded = stage(
@@ -275,7 +276,7 @@ def contamination(
         "seeded",
     )
     met = seeded.select("uid", F.explode("seeds").alias("seed")).join(owners, "seed")
-    pairs = met.groupBy("uid", "at").agg(F.count(F.lit(1)).alias("shared"), F.first("n_tokens").alias("n"))
+    pairs = met.groupBy("uid", "at").agg(F.sum("times").alias("shared"), F.first("n_tokens").alias("n"))
     enough = pairs.filter(F.col("shared") * MIN_MATCH >= F.ceil(F.col("n") * threshold)).select("uid", "at")
     tried = enough.join(seeded.select("uid", "key", "passages", "places"), "uid")
     tried = tried.join(known.select("at", "item", "tokens", "n_tokens"), "at")

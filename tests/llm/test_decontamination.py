@@ -103,3 +103,18 @@ def test_against_coverage_by_brute_force(spark):
             if covered >= 0.5 * len(item.split()):
                 want.append((d, i, covered))
     assert found(spark, docs, items) == sorted(want, key=str)
+
+
+def test_items_that_repeat_themselves_against_brute_force(spark):
+    line = "round and round the garden goes"
+    items = [(1, " ".join([line] * 30)), (2, " ".join([line] * 4 + [ITEM])), (3, " ".join(["la"] * 50))]
+    docs = [(d, f"{FILL} {items[d - 1][1]} {FILL}") for d in (1, 2, 3)]
+    docs += [(4, " ".join([line] * 14)), (5, " ".join([line] * 15)), (6, f"{FILL} {line}"), (7, " ".join(["la"] * 25))]
+    want = []
+    for d, text in docs:
+        for i, item in items:
+            covered = sum(w for _, _, w in tiles(text.split(), item.split()))
+            if covered >= 0.5 * len(item.split()):
+                want.append((d, i, covered))
+    assert {(1, 1, 180), (5, 1, 90), (3, 3, 50), (7, 3, 25)} <= set(want) and (4, 1, 84) not in want
+    assert found(spark, docs, items) == sorted(want, key=str)
