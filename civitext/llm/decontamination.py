@@ -118,9 +118,9 @@ def _slot_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filter_of(seeds: DataFrame) -> np.ndarray:
     """Bit filter of the seeds: FILTER_BITS / 64 rows at most reach the driver."""
     words = seeds.mapInArrow(_slot_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()
     filled = np.zeros(FILTER_BITS >> 6, np.uint64)
-    filled[got["word"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    filled[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return filled
 
 

@@ -10,6 +10,14 @@ says nothing about the class has the same probability in both.
     P_c(x | h) = (max(n_c(hx) - D, 0) + D * followers_c(h) * P(x | h')) / n_c(h)
 
 `h'` is `h` without its first symbol, and P is the shared model of that order.
+
+Beside them stand two models of words, whose contexts have no bound: each byte of a
+word, and its end, is predicted from the whole word up to it, by the same formula; P is
+there the pooled model of both classes in that context, which goes to the three symbols
+before it. What they know is one row for each start of a word in the labelled texts and
+grows with these. The log-likelihood ratio of a word is a sum over its starts, so rows
+are joined by key and added; the HEAD_STARTS most frequent ones are broadcast, and of
+the others a bit filter of fixed size, which decides only what is asked for.
 """
 
 from __future__ import annotations
@@ -20,10 +28,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civitext.llm.common import as_row, fold_of
+from civitext.llm.decontamination import _filter_of, _in_filter, _powers
+from civitext.session import stage
 
 ORDER = 4
 SYMBOL_BITS = 6
@@ -36,6 +46,14 @@ CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 20_000
 RIDGE = 1e-3
 _BUFFER = 1 << 21  # grams counted at once
+# Starts of words, the most frequent ones, that are broadcast with their values; others are joined.
+HEAD_STARTS = 1 << 18
+_WORDS = 1 << 18  # bytes of words numbered at once
+# What a word's ratio has to exceed to count as a peak.
+WORD_PEAK = 1.5
+_FEATURES = ["mean", "peaks", "brief", "word_mean", "word_peaks", "word_sum"]
+_CODES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+_CODES = (_CODES ^ (_CODES >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else (b if b >= 128 or chr(b).isalnum() else 32) for b in range(256))
 
@@ -65,6 +83,58 @@ def grams_of(text: str | None) -> np.ndarray:
     return out
 
 
+def starts_of(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, the start it continues, its last three symbols) at every byte and end of the words of a text.
+
+    Starts are numbered by 64-bit Karp-Rabin values; what a word begins with continues 0.
+    """
+    plain = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    raw, at = b" ".join(plain) + b" ", 0
+    while plain and at < len(raw):
+        end = raw.rfind(b" ", at, at + _WORDS) + 1 or raw.find(b" ", at + _WORDS) + 1
+        block, at = raw[at:end], end
+        b = np.frombuffer(block, np.uint8)
+        up, down = _powers(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_CODES[b] * down, out=sums[1:])
+        ends = np.flatnonzero(b == 32)
+        first = np.concatenate(([0], ends[:-1] + 1))
+        own = np.repeat(first, ends - first + 1)
+        keys = (sums[1:] - sums[own]) * up[own]
+        keys = ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+        parents = np.concatenate(([0], keys[:-1]))
+        parents[first] = 0
+        s = np.frombuffer(block.translate(_SYMBOLS), np.uint8).astype(np.int32)
+        lows = s.copy()
+        lows[1:] |= s[:-1] << SYMBOL_BITS
+        lows[2:] |= s[:-2] << (2 * SYMBOL_BITS)
+        lows[first] = s[first]
+        yield keys, parents, lows
+
+
+def _count_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, parent, low, toxic, plain): how often each start is in toxic and in ordinary texts."""
+    waiting, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        keys, parents, lows, labels = (np.concatenate(c) for c in zip(*waiting))
+        keys, first, at, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        toxic = np.bincount(at, weights=labels, minlength=len(keys)).astype(np.int64)
+        cols = [keys, parents[first], lows[first], toxic, n - toxic]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "parent", "low", "toxic", "plain"])
+
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            for keys, parents, lows in starts_of(text.as_py()):
+                waiting.append((keys, parents, lows, np.full(len(keys), label, np.int8)))
+                size += len(keys)
+                if size > _BUFFER:
+                    yield flush()
+                    waiting, size = [], 0
+    if waiting:
+        yield flush()
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
@@ -100,6 +170,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@dataclass
+class WordModel:
+    """What each start of a word adds to its ratio: the most frequent ones, and a table of the others."""
+
+    head: tuple[np.ndarray, np.ndarray]
+    tail: DataFrame
+    filled: np.ndarray
+
+
 @dataclass
 class ToxicModel:
     """Log-likelihood ratios by gram and by known context, and the calibration."""
@@ -107,8 +186,9 @@ class ToxicModel:
     grams: np.ndarray
     ratios: np.ndarray
     contexts: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(_FEATURES) + 1))
     prior: float = 0.0
+    words: WordModel | None = None
 
 
 def _table_of(grams: np.ndarray, ratios: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +219,15 @@ def features_of(text: str | None, row_of: np.ndarray, rows: np.ndarray) -> tuple
 
 def _shared_orders(grams: np.ndarray) -> np.ndarray:
     """P(x | h') for each of the full-length grams, from pooled continuation counts."""
-    levels, counts = [], []
-    keys = grams
-    for order in range(ORDER - 1, 0, -1):
+    mask = (1 << (SYMBOL_BITS * (ORDER - 1))) - 1
+    keys, n = np.unique(grams & mask, return_counts=True)
+    return _shared_of(keys, n.astype(float))[np.searchsorted(keys, grams & mask)]
+
+
+def _shared_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(x | h') for each of the sorted `keys` of ORDER - 1 symbols, n times continued to."""
+    levels, counts = [keys], [n]
+    for order in range(ORDER - 2, 0, -1):
         keys, n = np.unique(keys & ((1 << (SYMBOL_BITS * order)) - 1), return_counts=True)
         levels.append(keys)
         counts.append(n.astype(float))
@@ -156,7 +242,7 @@ def _shared_orders(grams: np.ndarray) -> np.ndarray:
             p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * followers[at] * shorter) / total[at]
         space = (below[2] if below else 1) << SYMBOL_BITS
         below = (keys, p, space)
-    return below[1][np.searchsorted(below[0], grams & (int(below[2]) - 1))]
+    return below[1]
 
 
 def _model_of(counts: pd.DataFrame) -> ToxicModel:
@@ -179,23 +265,150 @@ def _model_of(counts: pd.DataFrame) -> ToxicModel:
     return ToxicModel(grams.astype(np.int32), (logs[0] - logs[1]).astype(np.float32), by_context)
 
 
-def _features(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
+def _word_model(read: DataFrame) -> WordModel:
+    """Values of all starts of words of the labelled texts `read`."""
+    spark = read.sparkSession
+    parts = read.mapInArrow(_count_starts, "key long, parent long, low int, toxic long, plain long")
+    n = {c: F.sum(c).alias(c) for c in ("toxic", "plain")}
+    starts = stage(parts.groupBy("key").agg(F.first("parent").alias("parent"), F.first("low").alias("low"), *n.values()), "starts")
+    # At most 2^18 rows, whatever the corpus.
+    low = starts.groupBy("low").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("low")
+    p = _shared_of(low["low"].to_numpy(np.int64), low["n"].to_numpy(float)) if len(low) else np.zeros(0)
+    shared = pd.DataFrame({"low": low["low"].to_numpy(np.int32), "shared": p})
+    shared = F.broadcast(spark.createDataFrame(shared, "low int, shared double"))
+    # A start is continued by 256 bytes at most.
+    same = Window.partitionBy("parent")
+
+    def parts_of(n: Column) -> tuple[Column, Column]:
+        """Share of a start by its own count after discount, and the share left for the order below."""
+        total, followers = F.sum(n).over(same), F.sum((n > 0).cast("int")).over(same)
+        own = F.when(total > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
+        return own, F.when(total > 0, F.lit(DISCOUNT) * followers / total).otherwise(1.0)
+
+    own, left = parts_of(F.col("toxic") + F.col("plain"))
+    (toxic, toxic_left), (plain, plain_left) = parts_of(F.col("toxic")), parts_of(F.col("plain"))
+    valued = starts.join(shared, "low").select(
+        "key", "parent", (F.col("toxic") + F.col("plain")).alias("n"), (own + left * F.col("shared")).alias("pooled"),
+        toxic.alias("toxic"), toxic_left.alias("toxic_left"), plain.alias("plain"), plain_left.alias("plain_left"),
+    )
+    logs = [F.log(F.col(c) + F.col(f"{c}_left") * F.col("pooled")) for c in ("toxic", "plain")]
+    valued = stage(
+        valued.select(
+            "key", "parent", "n", (logs[0] - logs[1]).alias("ratio"),
+            (F.log("toxic_left") - F.log("plain_left")).alias("miss"),
+        ),
+        "ratios",
+    )
+    missed = valued.groupBy(F.col("parent").alias("key")).agg(F.first("miss").alias("next"))
+    # A word ends in the miss of its longest known start, so a longer start takes that of the shorter one back.
+    before = F.when(F.col("parent") == 0, 0.0).otherwise(F.col("miss"))
+    value = F.col("ratio") + F.coalesce("next", F.lit(0.0)) - before
+    table = stage(valued.hint("merge").join(missed, "key", "left").select("key", "n", value.cast("float").alias("value")), "words")
+    # At most 2^16 rows; the head takes whole counts from the top as long as they fit.
+    sizes = table.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
+    fit = sizes["n"][sizes["count"].cumsum() <= HEAD_STARTS]
+    least = int(fit.min()) if len(fit) else None
+    in_head = F.col("n") >= least if least is not None else F.lit(False)
+    head = table.filter(in_head).select("key", "value").toArrow().sort_by("key")
+    tail = table.filter(~in_head).select("key", "value")
+    columns = head["key"].to_numpy().astype(np.int64), head["value"].to_numpy().astype(np.float32)
+    return WordModel(columns, tail, _filter_of(tail.select(F.col("key").alias("seed"))))
+
+
+def _word_features(text: str | None, head: tuple, filled: np.ndarray) -> tuple[float, float, int, list[np.ndarray]]:
+    """Sum of the words' ratios and of their peaks by the head, number of words, and what to ask the tail for.
+
+    That is (key, word, base, times): a start that may be in the tail, its word, and this
+    word's ratio by the head and number.
+    """
+    keys, values = head
+    value, peak, words, asked = 0.0, 0.0, 0, []
+    for starts, parents, _ in starts_of(text):
+        at = np.minimum(np.searchsorted(keys, starts), max(len(keys) - 1, 0))
+        known = keys[at] == starts if len(keys) else np.zeros(len(starts), bool)
+        gains = np.zeros(len(starts))
+        gains[known] = values[at[known]]
+        first = np.flatnonzero(parents == 0)
+        ratios = np.add.reduceat(gains, first)
+        value += float(ratios.sum())
+        peak += float(np.maximum(ratios - WORD_PEAK, 0).sum())
+        others = np.flatnonzero(~known)
+        others = others[_in_filter(starts[others].view(np.uint64), filled)]
+        if len(others):
+            # A word is named by its last start, its end; each different one asks once.
+            ends = np.r_[first[1:], len(starts)] - 1
+            names, one, times = np.unique(starts[ends], return_index=True, return_counts=True)
+            of = np.searchsorted(first, others, "right") - 1
+            kept = np.isin(of, one)
+            others, of = others[kept], of[kept]
+            asked.append((starts[others], starts[ends[of]], ratios[of], times[np.searchsorted(names, starts[ends[of]])]))
+        words += len(first)
+    cols = [np.concatenate(c) for c in zip(*asked)] if asked else [np.zeros(0)] * 4
+    return value, peak, words, [c.astype(t) for c, t in zip(cols, (np.int64, np.int64, np.float32, np.int32))]
+
+
+def _local_features(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
+    """Features of a text without what the tail of the word model adds, and what to ask it for."""
     shipped = spark.sparkContext.broadcast((model.grams, model.ratios, model.contexts))
+    words_at = spark.sparkContext.broadcast((model.words.head, model.words.filled))
+    figures, lists = ["mean", "peaks", "brief", "value", "peak"], {"key": "long", "word": "long", "base": "float", "times": "int"}
+    kinds = [f"{c} double" for c in figures] + ["words int"] + [f"{c} array<{t}>" for c, t in lists.items()]
+    arrow = (pa.int64(), pa.int64(), pa.float32(), pa.int32())
 
-    @F.arrow_udf("mean double, peaks double, brief double")
+    @F.arrow_udf(", ".join(kinds))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         row_of, rows = _table_of(*shipped.value)
+        head, filled = words_at.value
         for texts in batches:
             # One text at a time leaves the Arrow batch.
-            found = np.array([features_of(t.as_py(), row_of, rows) for t in texts], float).reshape(-1, 3)
-            yield pa.StructArray.from_arrays([pa.array(f) for f in found.T.copy()], ["mean", "peaks", "brief"])
+            found, asked = [], []
+            for t in texts:
+                plain = t.as_py()
+                value, peak, words, more = _word_features(plain, head, filled)
+                found.append((*features_of(plain, row_of, rows), value, peak, words))
+                asked.append(more)
+            cols = np.array(found, float).reshape(-1, 6).T.copy()
+            arrays = [pa.array(f) for f in cols[:5]] + [pa.array(cols[5].astype(np.int32))]
+            arrays += [pa.array([a[k] for a in asked], pa.list_(kind)) for k, kind in enumerate(arrow)]
+            yield pa.StructArray.from_arrays(arrays, [*figures, "words", *lists])
 
     return run(text)
 
 
+def _names(text: Column) -> list[Column]:
+    """Two hashes, 128 bits, that stand for a text; a null one counts as empty."""
+    plain = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(plain).alias("_a"), F.xxhash64(F.lit(1), plain).alias("_b")]
+
+
+def _features(texts: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
+    """(_a, _b, features): one row for each different text of `texts`."""
+    spark, own = texts.sparkSession, F.col(f"`{text}`")
+    seen = texts.select(*_names(own), F.monotonically_increasing_id().alias("uid"), _local_features(spark, model, own).alias("f"))
+    seen = stage(seen.select("_a", "_b", "uid", "f.*"), "features")
+    asked = seen.select("uid", F.inline(F.arrays_zip("key", "word", "base", "times")))
+    met = asked.hint("merge").join(model.words.tail, "key").groupBy("uid", "word", "base", "times")
+    met = met.agg(F.sum(F.col("value").cast("double")).alias("added"))
+
+    def peak(ratio: Column) -> Column:
+        return F.greatest(ratio - WORD_PEAK, F.lit(0.0))
+
+    base = F.col("base").cast("double")
+    more = met.groupBy("uid").agg(
+        F.sum(F.col("times") * F.col("added")).alias("more"),
+        F.sum(F.col("times") * (peak(base + F.col("added")) - peak(base))).alias("more_peak"),
+    )
+    full = seen.drop("key", "word", "base", "times").hint("merge").join(more, "uid", "left")
+    peaks = F.greatest(F.col("peak") + F.coalesce("more_peak", F.lit(0.0)), F.lit(0.0))
+    each = F.greatest("words", F.lit(1))
+    full = full.withColumn("word_mean", (F.col("value") + F.coalesce("more", F.lit(0.0))) / each)
+    full = full.withColumn("word_peaks", peaks / each).withColumn("word_sum", F.log1p(peaks))
+    return full.groupBy("_a", "_b").agg(F.max(F.struct(*_FEATURES)).alias("features"))
+
+
 def _logistic(rows: pd.DataFrame) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept's."""
-    x = rows[["mean", "peaks", "brief"]].to_numpy(float)
+    x = rows[_FEATURES].to_numpy(float)
     y = rows["toxic"].to_numpy(float)
     centre, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - centre) / scale, np.ones(len(x))]
@@ -219,7 +432,6 @@ def fit_toxicity(
     key or label teach nothing. With no labelled texts every score is the share of
     toxic labels (0 without any).
     """
-    spark = docs.sparkSession
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
     marks = marks.filter("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("fold", fold_of(F.col("key"), FOLDS)).filter("fold <> 0")
@@ -232,20 +444,21 @@ def fit_toxicity(
     counts = parts.groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
     # At most GRAM_SPACE rows for each class, whatever the corpus.
     model = _model_of(counts.toPandas())
+    model.words = _word_model(read)
     share = marks.agg(F.avg("toxic")).first()[0]
     model.prior = float(share or 0.0)
 
     some = marks.filter(F.col("fold") == CALIBRATION_FOLD).select("key", "toxic")
     some = some.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS)
     # At most CALIBRATION_ROWS keys, so that the texts of this fold stay where they are.
-    tried = texts.filter(own == CALIBRATION_FOLD).join(F.broadcast(some), "key")
-    tried = tried.select("toxic", _features(spark, model, F.col("text")).alias("f")).select("toxic", "f.*")
-    rows = tried.filter("brief > 0").toPandas()
+    tried = stage(texts.filter(own == CALIBRATION_FOLD).join(F.broadcast(some), "key").select("toxic", "text"), "tried")
+    rated = tried.select("toxic", *_names(F.col("text"))).hint("merge").join(_features(tried, model), ["_a", "_b"])
+    rows = rated.select("toxic", "features.*").filter("brief > 0").toPandas()
     if rows["toxic"].nunique() == 2:
         model.weights = _logistic(rows)
     else:
         odds = min(max(model.prior, 1e-6), 1 - 1e-6)
-        model.weights = np.array([1.0, 0.0, 0.0, np.log(odds / (1 - odds))])
+        model.weights = np.array([1.0, *[0.0] * (len(_FEATURES) - 1), np.log(odds / (1 - odds))])
     return model
 
 
@@ -255,9 +468,9 @@ def _score(model: ToxicModel) -> Column:
     A logistic function of the length-normalised ratio. A text without letters or
     digits, an empty one or a null one scores the share of toxic labels.
     """
-    mean, peaks, brief, offset = (float(w) for w in model.weights)
+    *weights, offset = (float(w) for w in model.weights)
     f = F.col("features")
-    margin = f["mean"] * mean + f["peaks"] * peaks + f["brief"] * brief + offset
+    margin = sum((f[name] * w for name, w in zip(_FEATURES, weights)), F.lit(offset))
     return F.when(f["brief"] == 0, F.lit(model.prior)).otherwise(1 / (1 + F.exp(-margin)))
 
 
@@ -267,7 +480,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> Da
     Rows are neither dropped nor merged: repeated rows get equal scores. An empty
     table gives no rows.
     """
-    rated = docs.select(as_row(docs), _features(docs.sparkSession, model, F.col(f"`{text}`")).alias("features"))
+    own = F.col(f"`{text}`")
+    rated = docs.select(as_row(docs), *_names(own)).hint("merge").join(_features(docs.select(own), model, text), ["_a", "_b"])
     rated = rated.select("row", _score(model).alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

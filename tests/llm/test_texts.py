@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
+from civitext.llm import toxicity
 from civitext.llm.licenses import LICENCES, MIT, known_digests, scan_licenses
 from civitext.llm.quality import BUCKETS, base_figures, judge_quality
 from civitext.llm.toxicity import fit_toxicity, fold_of, score_toxicity
@@ -191,3 +193,33 @@ def test_without_labels_nothing_is_toxic(spark):
     docs, marks = labelled(spark, 20)
     got = score_toxicity(docs, fit_toxicity(docs, marks.limit(0)))
     assert {r["predicted"] for r in got.collect()} == {0}
+
+
+def test_held_out_recall_per_language(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rated = score_toxicity(docs, fit_toxicity(docs, marks)).select("row.doc_id", "row.lang", "predicted")
+    held = rated.join(marks.select("doc_id", "toxic"), "doc_id").filter(fold_of(F.col("doc_id")) == 0).collect()
+    found = {lang: [r["predicted"] for r in held if r["lang"] == lang and r["toxic"] == 1] for lang in ("en", "de", "fr", "es")}
+    share = {lang: sum(p) / len(p) for lang, p in found.items()}
+    assert share["en"] >= 0.85 and min(share["de"], share["fr"], share["es"]) >= 0.25, share
+    assert sum(r["predicted"] for r in held if r["toxic"] == 0) <= 0.01 * len(held)
+
+
+def test_joined_starts_score_as_broadcast_ones(spark, monkeypatch):
+    docs, marks = labelled(spark)
+
+    def scores():
+        model = fit_toxicity(docs, marks)
+        rows = score_toxicity(docs, model).select("row.doc_id", "row.text", "score").collect()
+        return model.words, sorted((str(r["doc_id"]), str(r["text"]), r["score"]) for r in rows)
+
+    words, want = scores()
+    starts = words.tail.count() + len(words.head[0])
+    monkeypatch.setattr(toxicity, "HEAD_STARTS", 10)
+    words, got = scores()
+    assert len(words.head[0]) <= 10 and words.tail.count() == starts - len(words.head[0]) > 50
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
