@@ -148,16 +148,18 @@ def hamming_links(fps: DataFrame, fp: str = "fp", hot: int = HOT) -> DataFrame:
     return found if links is None else found.unionByName(links)
 
 
-def fingerprint_groups(fps: DataFrame, key: str = "doc_id", fp: str = "fp", hot: int = HOT) -> DataFrame:
+def fingerprint_groups(
+    fps: DataFrame, key: str = "doc_id", fp: str = "fp", hot: int = HOT, links: DataFrame | None = None
+) -> DataFrame:
     """(fp, root, component_id, links): for every distinct fingerprint its component.
 
     `component_id` is the smallest `key` reachable from it, null if all keys of the
     component are null; `root` names the component also then. Copies share one
-    fingerprint and never meet in pairs.
+    fingerprint and never meet in pairs. `links` stand in for those by Hamming distance.
     """
     classes = fps.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("first"))
     classes = stage(classes, "fingerprints")
-    links = stage(hamming_links(classes, hot=hot), "hamming")
+    links = stage(hamming_links(classes, hot=hot) if links is None else links, "links")
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
     grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -176,20 +178,24 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return fps.join(groups, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, print_of: Column | None = None,
+    links: DataFrame | None = None,
+) -> DataFrame:
     """Rows of `docs`, one for each component: the one with its smallest key.
 
     A key names one document: of rows that repeat it one stays. Rows with a null key
     take part; of a component in which all keys are null one row stays. Columns are
-    returned as they came, whatever their names.
+    returned as they came, whatever their names. `print_of` and `links` stand in for
+    fingerprints and their links by Hamming distance.
     """
     own = F.col(f"`{key}`")
-    print_of = fingerprint(F.col(f"`{text}`")).alias("fp")
+    print_of = (fingerprint(F.col(f"`{text}`")) if print_of is None else print_of).alias("fp")
     narrow = stage(docs.filter(own.isNotNull()).select(own.alias("key"), print_of), "simhash")
     nameless = docs.filter(own.isNull()).select(as_row(docs), print_of, F.monotonically_increasing_id().alias("uid"))
     nameless = stage(nameless, "nameless")
     everyone = narrow.unionByName(nameless.select(F.lit(None).cast(narrow.schema["key"].dataType).alias("key"), "fp"))
-    groups = stage(fingerprint_groups(everyone, "key", hot=hot), "groups")
+    groups = stage(fingerprint_groups(everyone, "key", hot=hot, links=links), "groups")
     first = narrow.join(groups, "fp").filter("key = component_id").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     first = stage(first.select(F.col("key").alias("_key"), "rows"), "kept")
     once, again = first.filter("rows = 1"), first.filter("rows > 1")
