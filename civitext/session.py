@@ -56,10 +56,27 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application staged. Call it once no staged table is read any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    _delete(spark, app_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the table that `stage` returned as `df`, once nothing reads it any more.
+
+    For loops that stage a table per round: the next round's table is committed before
+    this one goes, so a lost executor still finds what it has to read.
+    """
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if "/civitext/" not in folder:
+            raise ValueError(f"{folder} is not a staged table")
+        _delete(df.sparkSession, folder)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
