@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civitext.llm.common import fold_of, table
+from civitext.llm.compression import fit_compression, score_quality
 from civitext.llm.decontamination import contaminated
+from civitext.llm.filter_audit import audit_filters
 from civitext.llm.licenses import known_digests, scan_licenses
 from civitext.llm.mixing import taken_words
 from civitext.llm.quality import judge_quality
@@ -17,6 +19,7 @@ from civitext.llm.simhash import as_hex, simhash_components
 from civitext.llm.token_files import read_token_files, token_folder, write_token_files
 from civitext.llm.toxicity import FOLDS, fit_toxicity, score_toxicity
 from civitext.llm.urls import judge_urls
+from civitext.llm.vector_codes import compress_vectors
 from civitext.llm.warc import archived_pages, page_records
 
 
@@ -88,6 +91,21 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return compress_vectors(table(spark, sf, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rated = score_quality(docs, fit_compression(docs, table(spark, sf, "labels")))
+    held_out = F.coalesce(fold_of(F.col("row.doc_id")) == 0, F.lit(False))
+    return rated.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -99,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_classifier": op13_quality_classifier,
 }
