@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from civitext.llm.common import table
 from civitext.llm.decontamination import decontaminate
 from civitext.llm.mixing import mixed_rows
-from civitext.llm.near_copies import drop_near_copies
 from civitext.llm.sharding import shard_documents
+from civitext.llm.simhash import drop_near_duplicates
 from civitext.llm.toxicity import drop_toxic
 from civitext.session import stage
 
@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-copies (5-word shingles, similarity 0.8), that with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """One document of each SimHash component (3-word shingles, 3 bits), that with the smallest doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
