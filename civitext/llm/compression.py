@@ -1,20 +1,20 @@
 """Quality classifier by compression: two zstandard dictionaries and one calibrated difference.
 
-One dictionary is trained on blocks of texts labelled good, one on blocks of texts
+One dictionary is trained on samples of texts labelled good, one on samples of texts
 labelled bad. A text is cut into blocks of BLOCK bytes, so that it does not become its own
 dictionary, and every block of the whole text is compressed with both. The difference of
 the two sizes over their sum is between -1 and 1 and does not depend on length; a logistic
 curve, fitted on labelled texts that the dictionaries have not seen, makes it a score.
 
 The fit takes a bounded sample of the labelled rows: FIT_ROWS and CALIBRATION_ROWS of each
-class, by hash of the key, and BLOCKS blocks of each class. All rows are scored.
+class, by hash of the key, and SAMPLES samples of each class. All rows are scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp
 
 import numpy as np
@@ -24,18 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civitext.llm.common import as_row, fold_of
-from civitext.session import stage
+from civitext.session import stage, unstage
 
 FOLDS = 5
 CALIBRATION_FOLD = 4
 # Most labelled rows of a class that make the dictionaries, and that make the curve.
 FIT_ROWS = 4096
 CALIBRATION_ROWS = 4096
-# Most blocks of a class that the dictionaries are trained on.
-BLOCKS = 16_384
-BLOCK = 512
-# Bytes of a dictionary: a tenth of what it is trained on, within these bounds.
-DICT_BYTES = (1 << 10, 112 << 10)
+# Most samples of a class that the dictionaries are trained on, and their bytes.
+SAMPLES = 16_384
+SAMPLE = 1024
+# Bytes of a text that are compressed at once.
+BLOCK = 256
+DICT_BYTES = 112 << 10
 LEVEL = 3
 CUT = 0.3
 _SPACE = 1 << 60
@@ -67,12 +68,12 @@ def difference_of(text: str | None, good: bytes, bad: bytes) -> float:
     return (b - g) / (b + g)
 
 
-def train_dictionary(blocks: list[bytes], size: int) -> bytes:
-    """Dictionary of about `size` bytes; blocks too few to train on become one as they are."""
+def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """Dictionary of `size` bytes at most; samples too few to train on become one as they are."""
     try:
-        return zstandard.train_dictionary(size, blocks).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(blocks)[-size:]
+        return b"".join(samples)[-size:]
 
 
 def fit_curve(xs: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
@@ -131,43 +132,41 @@ class CompressionModel:
         return run(text)
 
 
+def _drawn(rows: DataFrame, drawn: Column, most: int) -> Column:
+    """True for about 95 percent of `most` rows of each class, for all where there are no more than `most`."""
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    limits = {y: _SPACE if n <= most else int(_SPACE * 0.95 * most / n) for y, n in sizes.items()}
+    return reduce(lambda a, b: a | b, [(F.col("y") == y) & (drawn < limit) for y, limit in limits.items()], F.lit(False))
+
+
 def _sampled(labels: DataFrame, most: int) -> DataFrame:
-    """(key, y): about and never more than `most` rows of each class, by hash of the key."""
-    sizes = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
+    """(key, y): about and never more than twice `most` rows in all, by hash of the key."""
     drawn = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(_SPACE))
-    chosen = F.lit(False)
-    for y, n in sizes.items():
-        chosen |= (F.col("y") == y) & (drawn < int(_SPACE * min(1.0, 0.95 * most / n) if n > most else _SPACE))
-    few = labels.filter(chosen).orderBy(drawn, "key").limit(2 * most)
-    return few.select("key", "y")
+    return labels.filter(_drawn(labels, drawn, most)).orderBy(drawn, "key").limit(2 * most).select("key", "y")
 
 
-def _blocks(texts: DataFrame) -> DataFrame:
-    """(y, at, block): the blocks of texts, with a hash to draw by."""
+def _samples(texts: DataFrame) -> DataFrame:
+    """(y, drawn, sample): all texts in pieces of SAMPLE bytes, with a hash to draw by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text")):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                cut = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([y] * len(cut), pa.int32()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary())],
-                    ["y", "at", "block"],
-                )
+                cut = [data[at : at + SAMPLE] for at in range(0, len(data), SAMPLE)]
+                columns = [pa.array([y] * len(cut), pa.int32()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["y", "at", "sample"])
 
-    cut = texts.select("y", "text").mapInArrow(run, "y int, at long, block binary")
-    return cut.select("y", F.pmod(F.xxhash64("at", "block"), F.lit(_SPACE)).alias("drawn"), "block")
+    cut = texts.select("y", "text").mapInArrow(run, "y int, at long, sample binary")
+    return cut.select("y", F.pmod(F.xxhash64("at", "sample"), F.lit(_SPACE)).alias("drawn"), "sample")
 
 
-def _training_blocks(texts: DataFrame) -> dict[int, list[bytes]]:
-    """Blocks of each class in a fixed order, BLOCKS at most."""
-    blocks = stage(_blocks(texts), "blocks")
-    sizes = {r["y"]: r["count"] for r in blocks.groupBy("y").count().collect()}
-    chosen = F.lit(False)
-    for y, n in sizes.items():
-        chosen |= (F.col("y") == y) & (F.col("drawn") < int(_SPACE * min(1.0, 0.95 * BLOCKS / n) if n > BLOCKS else _SPACE))
-    rows = sorted((r["y"], r["drawn"], bytes(r["block"])) for r in blocks.filter(chosen).limit(2 * BLOCKS).collect())
-    return {y: [b for c, _, b in rows if c == y][:BLOCKS] for y in (0, 1)}
+def _training_samples(texts: DataFrame) -> dict[int, list[bytes]]:
+    """Samples of each class in a fixed, mixed order, SAMPLES at most."""
+    samples = stage(_samples(texts), "samples")
+    rows = samples.filter(_drawn(samples, F.col("drawn"), SAMPLES)).limit(2 * SAMPLES).collect()
+    unstage(samples)
+    rows = sorted((r["drawn"], bytes(r["sample"]), r["y"]) for r in rows)
+    return {y: [b for _, b, c in rows if c == y][:SAMPLES] for y in (0, 1)}
 
 
 def fit_compression(
@@ -185,10 +184,8 @@ def fit_compression(
     known = stage(known.withColumn("fold", fold).filter("fold > 0"), "known")
     bodies = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     teaching = _sampled(known.filter(F.col("fold") != CALIBRATION_FOLD), FIT_ROWS)
-    blocks = _training_blocks(bodies.join(F.broadcast(stage(teaching, "teaching")), "key"))
-    held = min((sum(map(len, b)) for b in blocks.values() if b), default=0)
-    size = min(max(held // 10, DICT_BYTES[0]), DICT_BYTES[1])
-    good, bad = (train_dictionary(blocks[y], size) if blocks[y] else b"" for y in (1, 0))
+    samples = _training_samples(bodies.join(F.broadcast(stage(teaching, "teaching")), "key"))
+    good, bad = (train_dictionary(samples[y]) if samples[y] else b"" for y in (1, 0))
     checked = _sampled(known.filter(F.col("fold") == CALIBRATION_FOLD), CALIBRATION_ROWS)
 
     @F.arrow_udf("double")

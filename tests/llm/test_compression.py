@@ -96,7 +96,7 @@ def test_curve():
     assert fit_curve(np.array([]), np.array([])) == (10.0, 0.0)
 
 
-def test_few_blocks_make_a_dictionary_as_they_are():
+def test_few_samples_make_a_dictionary_as_they_are():
     assert train_dictionary([b"abc", b"def"], 4) == b"cdef"
 
 
