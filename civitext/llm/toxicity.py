@@ -14,10 +14,12 @@ says nothing about the class has the same probability in both.
 Beside them stand two models of words, whose contexts have no bound: each byte of a
 word, and its end, is predicted from the whole word up to it, by the same formula; P is
 there the pooled model of both classes in that context, which goes to the three symbols
-before it. What they know is one row for each start of a word in the labelled texts and
-grows with these. The log-likelihood ratio of a word is a sum over its starts, so rows
-are joined by key and added; the HEAD_STARTS most frequent ones are broadcast, and of
-the others a bit filter of fixed size, which decides only what is asked for.
+before it. What they know is one row for each start of a word that the labelled texts
+have LEAST_SEEN times or more, and grows with these; rarer starts are left to the shared
+orders. The log-likelihood ratio of a word is a sum over its starts. The HEAD_STARTS
+most frequent rows are broadcast, a proven bound. Rows beyond them are joined by key and
+added, and of these a bit filter of fixed size is broadcast, which decides only what is
+asked for. Without such rows scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from civitext.llm.common import as_row, fold_of
 from civitext.llm.decontamination import _filter_of, _in_filter, _powers
-from civitext.session import stage
+from civitext.session import stage, unstage
 
 ORDER = 4
 SYMBOL_BITS = 6
@@ -46,8 +48,11 @@ CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 20_000
 RIDGE = 1e-3
 _BUFFER = 1 << 21  # grams counted at once
-# Starts of words, the most frequent ones, that are broadcast with their values; others are joined.
-HEAD_STARTS = 1 << 18
+# Count below which a start of a word has no row of its own. No start is rarer than what continues it,
+# so what is left holds every start of its starts.
+LEAST_SEEN = 2
+# Starts of words, the most frequent ones, that are broadcast with their values (12 bytes each); others are joined.
+HEAD_STARTS = 1 << 21
 _WORDS = 1 << 18  # bytes of words numbered at once
 # What a word's ratio has to exceed to count as a peak.
 WORD_PEAK = 1.5
@@ -172,11 +177,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class WordModel:
-    """What each start of a word adds to its ratio: the most frequent ones, and a table of the others."""
+    """What each start of a word adds to its ratio: the most frequent ones, and a table of the others, if any."""
 
     head: tuple[np.ndarray, np.ndarray]
-    tail: DataFrame
-    filled: np.ndarray
+    tail: DataFrame | None = None
+    filled: np.ndarray | None = None
 
 
 @dataclass
@@ -245,15 +250,14 @@ def _shared_of(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return below[1]
 
 
-def _model_of(counts: pd.DataFrame) -> ToxicModel:
-    grams = np.unique(counts["gram"].to_numpy(np.int64))
+def _model_of(rows: np.ndarray, by_class: tuple[np.ndarray, np.ndarray]) -> ToxicModel:
+    """Model of the sorted, different grams `rows` with their counts in ordinary and in toxic texts."""
+    grams = rows.astype(np.int64)
     contexts, at = np.unique(grams >> SYMBOL_BITS, return_inverse=True)
     shorter = _shared_orders(grams) if len(grams) else np.zeros(0)
     logs, misses = [], []
     for label in (1, 0):
-        mine = counts[counts["toxic"] == label]
-        n = np.zeros(len(grams))
-        n[np.searchsorted(grams, mine["gram"].to_numpy(np.int64))] = mine["n"].to_numpy(float)
+        n = by_class[label].astype(float)
         total = np.bincount(at, weights=n, minlength=len(contexts))
         followers = np.bincount(at, weights=n > 0, minlength=len(contexts))
         left = np.where(total > 0, DISCOUNT * followers / np.maximum(total, 1), 1.0)
@@ -265,12 +269,13 @@ def _model_of(counts: pd.DataFrame) -> ToxicModel:
     return ToxicModel(grams.astype(np.int32), (logs[0] - logs[1]).astype(np.float32), by_context)
 
 
-def _word_model(read: DataFrame) -> WordModel:
-    """Values of all starts of words of the labelled texts `read`."""
+def _word_model(read: DataFrame, head_starts: int = HEAD_STARTS) -> WordModel:
+    """Values of the starts of words of the labelled texts `read`."""
     spark = read.sparkSession
     parts = read.mapInArrow(_count_starts, "key long, parent long, low int, toxic long, plain long")
     n = {c: F.sum(c).alias(c) for c in ("toxic", "plain")}
-    starts = stage(parts.groupBy("key").agg(F.first("parent").alias("parent"), F.first("low").alias("low"), *n.values()), "starts")
+    starts = parts.groupBy("key").agg(F.first("parent").alias("parent"), F.first("low").alias("low"), *n.values())
+    starts = stage(starts.filter(F.col("toxic") + F.col("plain") >= LEAST_SEEN), "starts")
     # At most 2^18 rows, whatever the corpus.
     low = starts.groupBy("low").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("low")
     p = _shared_of(low["low"].to_numpy(np.int64), low["n"].to_numpy(float)) if len(low) else np.zeros(0)
@@ -306,16 +311,21 @@ def _word_model(read: DataFrame) -> WordModel:
     table = stage(valued.hint("merge").join(missed, "key", "left").select("key", "n", value.cast("float").alias("value")), "words")
     # At most 2^16 rows; the head takes whole counts from the top as long as they fit.
     sizes = table.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fit = sizes["n"][sizes["count"].cumsum() <= HEAD_STARTS]
+    fit = sizes["n"][sizes["count"].cumsum() <= head_starts]
     least = int(fit.min()) if len(fit) else None
     in_head = F.col("n") >= least if least is not None else F.lit(False)
     head = table.filter(in_head).select("key", "value").toArrow().sort_by("key")
-    tail = table.filter(~in_head).select("key", "value")
     columns = head["key"].to_numpy().astype(np.int64), head["value"].to_numpy().astype(np.float32)
+    unstage(starts)
+    unstage(valued)
+    if len(fit) == len(sizes):
+        unstage(table)
+        return WordModel(columns)
+    tail = table.filter(~in_head).select("key", "value")
     return WordModel(columns, tail, _filter_of(tail.select(F.col("key").alias("seed"))))
 
 
-def _word_features(text: str | None, head: tuple, filled: np.ndarray) -> tuple[float, float, int, list[np.ndarray]]:
+def _word_features(text: str | None, head: tuple, filled: np.ndarray | None) -> tuple[float, float, int, list[np.ndarray]]:
     """Sum of the words' ratios and of their peaks by the head, number of words, and what to ask the tail for.
 
     That is (key, word, base, times): a start that may be in the tail, its word, and this
@@ -332,6 +342,9 @@ def _word_features(text: str | None, head: tuple, filled: np.ndarray) -> tuple[f
         ratios = np.add.reduceat(gains, first)
         value += float(ratios.sum())
         peak += float(np.maximum(ratios - WORD_PEAK, 0).sum())
+        words += len(first)
+        if filled is None:
+            continue
         others = np.flatnonzero(~known)
         others = others[_in_filter(starts[others].view(np.uint64), filled)]
         if len(others):
@@ -342,7 +355,6 @@ def _word_features(text: str | None, head: tuple, filled: np.ndarray) -> tuple[f
             kept = np.isin(of, one)
             others, of = others[kept], of[kept]
             asked.append((starts[others], starts[ends[of]], ratios[of], times[np.searchsorted(names, starts[ends[of]])]))
-        words += len(first)
     cols = [np.concatenate(c) for c in zip(*asked)] if asked else [np.zeros(0)] * 4
     return value, peak, words, [c.astype(t) for c, t in zip(cols, (np.int64, np.int64, np.float32, np.int32))]
 
@@ -381,12 +393,20 @@ def _names(text: Column) -> list[Column]:
     return [F.xxhash64(plain).alias("_a"), F.xxhash64(F.lit(1), plain).alias("_b")]
 
 
-def _features(texts: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
-    """(_a, _b, features): one row for each different text of `texts`."""
+def _combined(f: Column, more: Column, more_peak: Column) -> Column:
+    """All features from a text's local ones and what the tail of the word model adds."""
+    peaks = F.greatest(f["peak"] + more_peak, F.lit(0.0))
+    each = F.greatest(f["words"], F.lit(1))
+    word = {"word_mean": (f["value"] + more) / each, "word_peaks": peaks / each, "word_sum": F.log1p(peaks)}
+    return F.struct(*[(word[c] if c in word else f[c]).alias(c) for c in _FEATURES]).alias("features")
+
+
+def _tail_features(texts: DataFrame, model: ToxicModel, text: str) -> DataFrame:
+    """(_a, _b, features): one row for each different text of `texts`, the tail joined by key."""
     spark, own = texts.sparkSession, F.col(f"`{text}`")
     seen = texts.select(*_names(own), F.monotonically_increasing_id().alias("uid"), _local_features(spark, model, own).alias("f"))
-    seen = stage(seen.select("_a", "_b", "uid", "f.*"), "features")
-    asked = seen.select("uid", F.inline(F.arrays_zip("key", "word", "base", "times")))
+    seen = stage(seen, "features")
+    asked = seen.select("uid", F.inline(F.arrays_zip("f.key", "f.word", "f.base", "f.times")))
     met = asked.hint("merge").join(model.words.tail, "key").groupBy("uid", "word", "base", "times")
     met = met.agg(F.sum(F.col("value").cast("double")).alias("added"))
 
@@ -398,12 +418,20 @@ def _features(texts: DataFrame, model: ToxicModel, text: str = "text") -> DataFr
         F.sum(F.col("times") * F.col("added")).alias("more"),
         F.sum(F.col("times") * (peak(base + F.col("added")) - peak(base))).alias("more_peak"),
     )
-    full = seen.drop("key", "word", "base", "times").hint("merge").join(more, "uid", "left")
-    peaks = F.greatest(F.col("peak") + F.coalesce("more_peak", F.lit(0.0)), F.lit(0.0))
-    each = F.greatest("words", F.lit(1))
-    full = full.withColumn("word_mean", (F.col("value") + F.coalesce("more", F.lit(0.0))) / each)
-    full = full.withColumn("word_peaks", peaks / each).withColumn("word_sum", F.log1p(peaks))
-    return full.groupBy("_a", "_b").agg(F.max(F.struct(*_FEATURES)).alias("features"))
+    local = seen.select("_a", "_b", "uid", F.col("f").dropFields("key", "word", "base", "times").alias("f"))
+    full = local.hint("merge").join(more, "uid", "left")
+    added = [F.coalesce(c, F.lit(0.0)) for c in ("more", "more_peak")]
+    return full.select("_a", "_b", _combined(F.col("f"), *added)).groupBy("_a", "_b").agg(F.max("features").alias("features"))
+
+
+def _with_features(docs: DataFrame, model: ToxicModel, text: str) -> DataFrame:
+    """(row, features): every row of `docs` as a struct, with the features of its text."""
+    own = F.col(f"`{text}`")
+    if model.words.tail is None:
+        local = docs.select(as_row(docs), _local_features(docs.sparkSession, model, own).alias("f"))
+        return local.select("row", _combined(F.col("f"), F.lit(0.0), F.lit(0.0)))
+    found = _tail_features(docs.select(own), model, text)
+    return docs.select(as_row(docs), *_names(own)).hint("merge").join(found, ["_a", "_b"]).select("row", "features")
 
 
 def _logistic(rows: pd.DataFrame) -> np.ndarray:
@@ -424,36 +452,41 @@ def _logistic(rows: pd.DataFrame) -> np.ndarray:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic"
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    head_starts: int = HEAD_STARTS,
 ) -> ToxicModel:
-    """Models from all labelled rows whose key's fold is neither held out nor the calibration's.
+    """Models from all labelled rows that are neither of the held-out fold nor among the calibration's.
 
+    The calibration takes CALIBRATION_ROWS keys of its fold at most; the others of that
+    fold teach the models. `head_starts` bounds the broadcast and changes no score but
+    for rounding.
     A key labelled more than once is toxic if any of its labels is. Rows with a null
     key or label teach nothing. With no labelled texts every score is the share of
     toxic labels (0 without any).
     """
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
     marks = marks.filter("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
-    marks = marks.withColumn("fold", fold_of(F.col("key"), FOLDS)).filter("fold <> 0")
+    marks = stage(marks.withColumn("fold", fold_of(F.col("key"), FOLDS)).filter("fold <> 0"), "marks")
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    taught = marks.filter(F.col("fold") != CALIBRATION_FOLD).select("key", "toxic")
+    some = marks.filter(F.col("fold") == CALIBRATION_FOLD).select("key", "toxic")
+    # At most CALIBRATION_ROWS keys, so that the texts of this fold stay where they are.
+    some = stage(some.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS), "calibration")
+    taught = marks.join(F.broadcast(some.select("key")), "key", "left_anti").select("key", "toxic")
     own = fold_of(F.col("key"), FOLDS)
     # Labels grow with the corpus: never broadcast, so that the plan is one at every size.
-    read = texts.filter((own != 0) & (own != CALIBRATION_FOLD)).join(taught.hint("merge"), "key").select("text", "toxic")
+    read = texts.filter(own != 0).join(taught.hint("merge"), "key").select("text", "toxic")
+    read = stage(read, "taught")
     parts = read.mapInArrow(_count_grams, "gram int, toxic int, n long")
-    counts = parts.groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
-    # At most GRAM_SPACE rows for each class, whatever the corpus.
-    model = _model_of(counts.toPandas())
-    model.words = _word_model(read)
-    share = marks.agg(F.avg("toxic")).first()[0]
-    model.prior = float(share or 0.0)
-
-    some = marks.filter(F.col("fold") == CALIBRATION_FOLD).select("key", "toxic")
-    some = some.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS)
-    # At most CALIBRATION_ROWS keys, so that the texts of this fold stay where they are.
-    tried = stage(texts.filter(own == CALIBRATION_FOLD).join(F.broadcast(some), "key").select("toxic", "text"), "tried")
-    rated = tried.select("toxic", *_names(F.col("text"))).hint("merge").join(_features(tried, model), ["_a", "_b"])
-    rows = rated.select("toxic", "features.*").filter("brief > 0").toPandas()
+    # At most GRAM_SPACE rows, whatever the corpus.
+    sums = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    counts = parts.groupBy("gram").agg(*sums).toArrow().sort_by("gram")
+    model = _model_of(counts["gram"].to_numpy(), (counts["n0"].to_numpy(), counts["n1"].to_numpy()))
+    model.words = _word_model(read, head_starts)
+    unstage(read)
+    model.prior = float(marks.agg(F.avg("toxic")).first()[0] or 0.0)
+    tried = texts.filter(own == CALIBRATION_FOLD).join(F.broadcast(some), "key").select("toxic", "text")
+    rated = _with_features(tried, model, "text")
+    rows = rated.select("row.toxic", "features.*").filter("brief > 0").toPandas()
     if rows["toxic"].nunique() == 2:
         model.weights = _logistic(rows)
     else:
@@ -480,9 +513,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> Da
     Rows are neither dropped nor merged: repeated rows get equal scores. An empty
     table gives no rows.
     """
-    own = F.col(f"`{text}`")
-    rated = docs.select(as_row(docs), *_names(own)).hint("merge").join(_features(docs.select(own), model, text), ["_a", "_b"])
-    rated = rated.select("row", _score(model).alias("score"))
+    rated = _with_features(docs, model, text).select("row", _score(model).alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

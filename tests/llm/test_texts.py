@@ -3,6 +3,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -208,18 +209,105 @@ def test_held_out_recall_per_language(spark):
     assert sum(r["predicted"] for r in held if r["toxic"] == 0) <= 0.01 * len(held)
 
 
-def test_joined_starts_score_as_broadcast_ones(spark, monkeypatch):
+def test_joined_starts_score_as_broadcast_ones(spark):
     docs, marks = labelled(spark)
 
-    def scores():
-        model = fit_toxicity(docs, marks)
+    def scores(**bound):
+        model = fit_toxicity(docs, marks, **bound)
         rows = score_toxicity(docs, model).select("row.doc_id", "row.text", "score").collect()
         return model.words, sorted((str(r["doc_id"]), str(r["text"]), r["score"]) for r in rows)
 
     words, want = scores()
-    starts = words.tail.count() + len(words.head[0])
-    monkeypatch.setattr(toxicity, "HEAD_STARTS", 10)
-    words, got = scores()
+    assert words.tail is None
+    starts = len(words.head[0])
+    words, got = scores(head_starts=10)
     assert len(words.head[0]) <= 10 and words.tail.count() == starts - len(words.head[0]) > 50
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-5)
+
+
+def slow_shared(keys):
+    """P(last symbol | the symbols before) for tuples of symbols `keys`, by continuation counts."""
+    levels = [Counter(keys)]
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append(Counter(k[1:] for k in levels[-1]))
+
+    def p(key):
+        counts = levels[len(next(iter(levels[0]))) - len(key)]
+        if len(key) == 1:
+            return counts[key] / sum(counts.values())
+        same = {k: n for k, n in counts.items() if k[:-1] == key[:-1]}
+        total = sum(same.values())
+        return (max(counts[key] - 0.75, 0) + 0.75 * len(same) * p(key[1:])) / total
+
+    return p
+
+
+def slow_class(counts, context, symbol, below):
+    """P(symbol | context) of counts {(context, symbol): n} after discount, and the share left for `below`."""
+    same = {k: n for k, n in counts.items() if k[0] == context and n}
+    total = sum(same.values())
+    if not total:
+        return below, 1.0
+    left = 0.75 * len(same) / total
+    return max(counts.get((context, symbol), 0) - 0.75, 0) / total + left * below, left
+
+
+RATED = [
+    ("the cat sat on the mat", 0), ("a vile cat, a vile mat!", 1), ("vilest the the 42 mats", 1), ("sat sat on mats", 0),
+    ("\u00e9t\u00e9 cat on", 0), ("vile vilest \u00e9t\u00e9", 1),
+]
+
+
+def test_gram_ratios_match_brute_force():
+    grams = {label: Counter(g for t, y in RATED if y == label for g in toxicity.grams_of(t).tolist()) for label in (0, 1)}
+    every = sorted(set(grams[0]) | set(grams[1]))
+    counts = tuple(np.array([grams[c][g] for g in every]) for c in (0, 1))
+    model = toxicity._model_of(np.array(every), counts)
+
+    def symbols(g):
+        return tuple(g >> shift & 63 for shift in (18, 12, 6, 0))
+
+    shared = slow_shared([symbols(g)[1:] for g in every])
+    for g, ratio in zip(every, model.ratios):
+        s = symbols(g)
+        ps = [slow_class({(symbols(k)[:3], symbols(k)[3]): n for k, n in grams[c].items()}, s[:3], s[3], shared(s[1:]))[0] for c in (1, 0)]
+        assert math.log(ps[0] / ps[1]) == pytest.approx(ratio, abs=1e-5)
+
+
+def test_word_ratios_match_brute_force(spark):
+    read = spark.createDataFrame(RATED, "text string, toxic int").repartition(2)
+    words = toxicity._word_model(read)
+    counts = {0: Counter(), 1: Counter()}
+    for text, label in RATED:
+        for word in re.findall(r"[^\W_]+", text.lower()):
+            raw = word.encode() + b" "
+            counts[label].update(raw[: i + 1] for i in range(len(raw)))
+    kept = {s for s in counts[0] | counts[1] if counts[0][s] + counts[1][s] >= toxicity.LEAST_SEEN}
+    assert len(kept) == len(words.head[0])
+
+    def low(start):
+        last = [toxicity._symbol(b) for b in start[-3:]]
+        return tuple([0] * (3 - len(last)) + last)
+
+    shared = slow_shared([low(s) for s in kept])
+    tables = {c: {(s[:-1], s[-1:]): counts[c][s] for s in kept} for c in (0, 1)}
+    tables[2] = {k: tables[0][k] + tables[1][k] for k in tables[0]}
+
+    def ratio(word):
+        total, raw = 0.0, word.encode() + b" "
+        for i in range(len(raw)):
+            context, symbol = raw[:i], raw[i : i + 1]
+            if raw[: i + 1] not in kept:
+                if i:
+                    left = [slow_class(tables[c], context, b"", 0.0)[1] for c in (1, 0)]
+                    total += math.log(left[0] / left[1])
+                break
+            pooled = slow_class(tables[2], context, symbol, shared(low(raw[: i + 1])))[0]
+            ps = [slow_class(tables[c], context, symbol, pooled)[0] for c in (1, 0)]
+            total += math.log(ps[0] / ps[1])
+        return total
+
+    for word in ("vile", "vilest", "vilified", "the", "cat", "mats", "zebra", "\u00e9t\u00e9", "42"):
+        value, *_ = toxicity._word_features(word, words.head, None)
+        assert value == pytest.approx(ratio(word), abs=1e-5), word
