@@ -10,7 +10,10 @@ Files of lost or repeated tasks are not listed and not read.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,13 +29,14 @@ from civitext.session import stage, stage_path
 END_ID = 0
 # A missing key in a file of keys.
 NO_KEY = -(1 << 63)
-# Pieces of text with known ids that a task keeps; beyond that it starts anew.
-KNOWN_PIECES = 400_000
+# Bytes of pieces of text and their ids that a task keeps; beyond that it starts anew.
+KNOWN_BYTES = 64 << 20
 _SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # White space and what follows it up to the next white space. A byte-level tokenizer never
 # joins a character with white space that comes after it, so pieces are encoded alone.
 _PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-_MARK = "<|endoftext|>"
+# A piece that keeps its units behind another one and a newline.
+_JOINED = f"[{_SPACE}]?[^{_SPACE}]+"
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -41,60 +45,89 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of whole texts as bytes, by a tokenizer file of the tokenizers library.
+    """Ids of whole texts as bytes, as the tokenizers library's plain call on each text gives them.
 
-    Words recur: every distinct piece is encoded once, many in one call, with a mark
-    between them that the tokenizer knows as a single id. Marks in a text are text.
+    With a byte-level tokenizer words recur, so each different piece is learned once: the
+    library's own pre-tokenizer cuts it into units, and its model turns each different unit
+    into ids. Texts that hold one of the tokenizer's added tokens, and all texts of other
+    kinds of tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        self.marking, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.mark = self.marking.token_to_id(_MARK)
-        self.kind, self.known = kind, {}
-        self.pieces = re.compile(_PIECE).findall
+        self.whole = Tokenizer.from_file(path)
+        parts = json.loads(self.whole.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        by_piece = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        self.by_piece = by_piece and parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not parts["model"]["dropout"]
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.units_of, self.tokenize = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
+        self.kind, self.known, self.units, self.held = kind, {}, {}, 0
+        self.pieces, self.joined = re.compile(_PIECE).findall, re.compile(_JOINED).fullmatch
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit as the pre-tokenizer spells it."""
+        if unit not in self.units:
+            self.units[unit] = self._ids([t.id for t in self.tokenize(unit)])
+            self.held += len(unit) + len(self.units[unit]) + 100
+        return self.units[unit]
+
+    def _keep(self, piece: str, units: list[str]) -> None:
+        self.known[piece] = b"".join([self._unit(u) for u in units])
+        self.held += len(piece) + len(self.known[piece]) + 100
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        plain = [p for p in pieces if "<|" not in p and p not in self.known]
-        for start in range(0, len(plain), 2000):
-            some = plain[start : start + 2000]
-            got = self.marking.encode_batch_fast([_MARK.join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(got, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-            begin = 0
-            for piece, end in zip(some, [*cuts.tolist(), len(ids)]):
-                self.known[piece] = raw[begin * width : end * width]
-                begin = end + 1
+        together = []
         for piece in pieces:
-            if piece not in self.known:
-                ids = self.plain.encode(piece, add_special_tokens=False).ids
-                self.known[piece] = np.array(ids, self.kind).tobytes()
+            if self.joined(piece):
+                together.append(piece)
+            else:
+                self._keep(piece, [u for u, _ in self.units_of(piece)])
+        for start in range(0, len(together), 2000):
+            some = together[start : start + 2000]
+            # A newline before each piece stays a unit of its own.
+            found, mine, end = iter(self.units_of("\n" + "\n".join(some))), [], 0
+            for piece in some:
+                next(found)
+                end += 1 + len(piece)
+                for unit, (_, to) in found:
+                    mine.append(unit)
+                    if to == end:
+                        break
+                self._keep(piece, mine)
+                mine = []
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if self.held > KNOWN_BYTES:
+            self.known.clear()
+            self.units.clear()
+            self.held = 0
         cut, waiting = [], set()
         for text in texts:
-            pieces = self.pieces(text)
-            cut.append(pieces)
-            waiting.update(pieces)
-        self.learn([p for p in waiting if p not in self.known] if len(self.known) <= KNOWN_PIECES else [*waiting])
-        for pieces in cut:
-            yield b"".join([self.known[p] for p in pieces])
+            alone = not self.by_piece or any(t in text for t in self.added)
+            cut.append(text if alone else self.pieces(text))
+            if not alone:
+                waiting.update(cut[-1])
+        self.learn([p for p in waiting if p not in self.known])
+        for found in cut:
+            if isinstance(found, str):
+                yield self._ids(self.whole.encode(found, add_special_tokens=False).ids)
+            else:
+                yield b"".join([self.known[p] for p in found])
 
 
 def encoder_of(path: str, kind: str) -> Encoder:
     """The Python worker's encoder for a file.
 
     Workers serve one task after the other and what they have learned is good for all of
-    them. As functions come by value, the tokenizer library's module is what tasks share.
+    them. Functions come by value, so what tasks share is a module made for it.
     """
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_civitext_encoders", {})
+    shared = sys.modules.setdefault("_civitext_worker", types.ModuleType("_civitext_worker"))
+    held = shared.__dict__.setdefault("encoders", {})
     if (path, kind) not in held:
         held[path, kind] = Encoder(path, kind)
     return held[path, kind]
@@ -142,8 +175,9 @@ def write_token_files(
 ) -> DataFrame:
     """(part, name, docs, tokens, first_doc, first_token): the files of all tokens, in order.
 
-    Documents are in ascending order of key, null keys first, equal keys by text. A null
-    text is an empty one, which has the end id alone. An empty table has no files.
+    Documents are in ascending order of key, null keys first, equal keys by a hash of the
+    text and then the text; keys are whole numbers or become such. A null text is an empty
+    one, which has the end id alone. An empty table has no files.
     """
     spark = docs.sparkSession
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -151,9 +185,9 @@ def write_token_files(
     store.create_dir(path, recursive=True)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     parts = parts or max(docs.rdd.getNumPartitions(), 1)
-    # By key alone: the sample that finds the ranges goes to the driver.
-    ranged = rows.repartitionByRange(parts, F.col("key").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # By key and a hash, not the text: the sample that finds the ranges goes to the driver.
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     listed = stage(
         ranged.mapInArrow(_writer(folder, tokenizer, kind, end_id), "part int, name string, docs long, tokens long"), "token_files"
     )
@@ -164,12 +198,13 @@ def write_token_files(
     ).withColumn("kind", F.lit(kind))
 
 
-def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file's numbers: memory-mapped where it is local, else read."""
+def _mapped(store: fs.FileSystem, path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """Numbers `first` to `last` of a file: memory-mapped where it is local, else read as asked for."""
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with store.open_input_file(path) as file:
-        return np.frombuffer(file.read(), kind)
+        numbers = np.memmap(path, kind, "r")
+        return lambda first, last: numbers[first:last]
+    file, width = store.open_input_file(path), np.dtype(kind).itemsize
+    return lambda first, last: np.frombuffer(file.read_at((last - first) * width, first * width), kind)
 
 
 def _reader(folder: str, with_ids: bool) -> Callable:
@@ -181,19 +216,22 @@ def _reader(folder: str, with_ids: bool) -> Callable:
                     _mapped(store, f"{path}/{row['name']}.{what}", kind)
                     for what, kind in (("tokens", row["kind"]), ("ends", "<i8"), ("keys", "<i8"))
                 )
-                starts = np.concatenate(([0], ends[:-1]))
-                for begin in range(0, len(ends), 2000):
-                    some = slice(begin, begin + 2000)
-                    ids = [np.asarray(tokens[a:b], "<u4") for a, b in zip(starts[some], ends[some])]
-                    names = pa.array(keys[some], mask=keys[some] == NO_KEY)
+                first = 0
+                for begin in range(0, row["docs"], 2000):
+                    last = min(begin + 2000, row["docs"])
+                    stops, named = ends(begin, last), keys(begin, last)
+                    starts = np.concatenate(([first], stops[:-1]))
+                    body = np.asarray(tokens(first, int(stops[-1])), "<u4")
+                    ids = [body[a - first : b - first] for a, b in zip(starts, stops)]
                     columns = [
-                        names, pa.array(starts[some] + row["first_token"]), pa.array(ends[some] - starts[some]),
+                        pa.array(named, mask=named == NO_KEY), pa.array(starts + row["first_token"]), pa.array(stops - starts),
                         pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
                     ]
+                    first = int(stops[-1])
                     if with_ids:
                         columns.append(pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64())))
-                    named = ["key", "start", "n_tokens", "ids_crc32", "ids"]
-                    yield pa.RecordBatch.from_arrays(columns, named[: len(columns)])
+                    names = ["key", "start", "n_tokens", "ids_crc32", "ids"]
+                    yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     return run
 

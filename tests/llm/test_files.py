@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
+from civitext.llm import token_files
 from civitext.llm.queries import tokenizer_path
-from civitext.llm.token_files import read_token_files, write_token_files
+from civitext.llm.token_files import Encoder, read_token_files, write_token_files
 from civitext.llm.warc import CHUNK, archived_pages, page_records, payload_chunks, read_warc, write_warc
 
 TOKENIZERS = pytest.importorskip("tokenizers")
@@ -21,16 +23,19 @@ def texts():
     return out + ["".join(rng.choice(parts) + rng.choice(spaces) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
 
 
+def hashed(text):
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).astype(np.int64))
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_tokens_come_back_as_encoded(spark, tmp_path, parts):
     rows = [(i * 3 - 50, t, "x") for i, t in enumerate(texts())] + [(None, "no key", "x"), (7, "tie b", "x"), (7, "tie a", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
     path = tokenizer_path("byte_bpe_50k.json")
     whole = TOKENIZERS.Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     listed = write_token_files(docs, str(tmp_path), path, parts=parts)
     got = sorted(read_token_files(listed, str(tmp_path)).collect(), key=lambda r: r["start"])
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]), r[1] or ""))
     assert [r["key"] for r in got] == [r[0] for r in order]
     start = 0
     for r, (_, text, _) in zip(got, order):
@@ -40,6 +45,32 @@ def test_tokens_come_back_as_encoded(spark, tmp_path, parts):
         start += len(ids)
 
 
+def test_encoder_starts_anew_and_takes_every_space(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 1000)
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole, encoder = TOKENIZERS.Tokenizer.from_file(path), Encoder(path, "<u2")
+    assert encoder.by_piece
+    spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    rng = random.Random(9)
+    for _ in range(200):
+        some = ["".join(rng.choice(("a", "b1", "'s", "?", "é")) + rng.choice(spaces) * rng.randrange(3) for _ in range(12)) for _ in range(5)]
+        for text, ids in zip(some, encoder.encode(some)):
+            assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_off_local_disk_are_read_in_parts(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(4500)], "doc_id long, text string").coalesce(1)
+    listed = write_token_files(docs, str(tmp_path), tokenizer_path("byte_bpe_50k.json"), parts=1)
+    row = listed.collect()[0].asDict()
+    batch = token_files.pa.RecordBatch.from_pylist([row])
+    local = [r for b in token_files._reader(str(tmp_path), True)(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(token_files.fs, "LocalFileSystem", int)
+    store, path = token_files.fs.FileSystem.from_uri(f"file://{tmp_path}")
+    monkeypatch.setattr(token_files, "store_of", lambda uri: (store, path))
+    assert [r for b in token_files._reader(str(tmp_path), True)(iter([batch])) for r in b.to_pylist()] == local
+    assert len(local) == 4500
+
+
 def test_no_documents_make_no_files(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     listed = write_token_files(docs, str(tmp_path), tokenizer_path("byte_bpe_50k.json"))
