@@ -29,14 +29,24 @@ from civitext.session import stage, stage_path
 END_ID = 0
 # A missing key in a file of keys.
 NO_KEY = -(1 << 63)
-# Bytes of pieces of text and their ids that a task keeps; beyond that it starts anew.
-KNOWN_BYTES = 64 << 20
+# Bytes of pieces of text and their ids that a Python worker keeps; beyond that it starts anew.
+KNOWN_BYTES = 96 << 20
 _SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # White space and what follows it up to the next white space. A byte-level tokenizer never
 # joins a character with white space that comes after it, so pieces are encoded alone.
 _PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-# A piece that keeps its units behind another one and a newline.
-_JOINED = f"[{_SPACE}]?[^{_SPACE}]+"
+# Pieces whose units the pattern below gives: one blank at most, then characters of blocks
+# where what is a letter or a number has long been settled. The library cuts all others.
+_PLAIN = f"[{_SPACE}]?[^{_SPACE}\\u0530-\\U0010ffff]+"
+# The units of a byte-level tokenizer within such a piece.
+_UNIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+
+
+def _byte_signs() -> dict[str, str]:
+    """How a byte-level tokenizer spells bytes: printable ones as themselves, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return str.maketrans({chr(b): chr(256 + n) for n, b in enumerate(others)})
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -44,16 +54,29 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if re.match(r"[a-z0-9+.-]+:/", uri) else f"file://{uri}")
 
 
+class _Known(dict):
+    """Ids of pieces and their units as bytes; one that is asked for and not known is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn, self.held = learn, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        self.held += len(piece) + len(ids) + 100
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as bytes, as the tokenizers library's plain call on each text gives them.
 
-    With a byte-level tokenizer words recur, so each different piece is learned once: the
-    library's own pre-tokenizer cuts it into units, and its model turns each different unit
-    into ids. Texts that hold one of the tokenizer's added tokens, and all texts of other
-    kinds of tokenizer, are encoded whole.
+    With a byte-level tokenizer words recur, so each different piece is learned once: it is
+    cut into units, and the library's model turns each different unit into ids. Texts that
+    hold one of the tokenizer's added tokens, and all texts of other kinds of tokenizer,
+    are encoded whole.
     """
 
     def __init__(self, path: str, kind: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -62,62 +85,29 @@ class Encoder:
         by_piece = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
         self.by_piece = by_piece and parts["normalizer"] is None and parts["model"]["type"] == "BPE" and not parts["model"]["dropout"]
         self.added = [t["content"] for t in parts["added_tokens"]]
-        self.units_of, self.tokenize = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
-        self.kind, self.known, self.units, self.held = kind, {}, {}, 0
-        self.pieces, self.joined = re.compile(_PIECE).findall, re.compile(_JOINED).fullmatch
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a unit as the pre-tokenizer spells it."""
-        if unit not in self.units:
-            self.units[unit] = self._ids([t.id for t in self.tokenize(unit)])
-            self.held += len(unit) + len(self.units[unit]) + 100
-        return self.units[unit]
-
-    def _keep(self, piece: str, units: list[str]) -> None:
-        self.known[piece] = b"".join([self._unit(u) for u in units])
-        self.held += len(piece) + len(self.known[piece]) + 100
-
-    def learn(self, pieces: list[str]) -> None:
-        together = []
-        for piece in pieces:
-            if self.joined(piece):
-                together.append(piece)
-            else:
-                self._keep(piece, [u for u, _ in self.units_of(piece)])
-        for start in range(0, len(together), 2000):
-            some = together[start : start + 2000]
-            # A newline before each piece stays a unit of its own.
-            found, mine, end = iter(self.units_of("\n" + "\n".join(some))), [], 0
-            for piece in some:
-                next(found)
-                end += 1 + len(piece)
-                for unit, (_, to) in found:
-                    mine.append(unit)
-                    if to == end:
-                        break
-                self._keep(piece, mine)
-                mine = []
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if self.held > KNOWN_BYTES:
-            self.known.clear()
-            self.units.clear()
-            self.held = 0
-        cut, waiting = [], set()
-        for text in texts:
-            alone = not self.by_piece or any(t in text for t in self.added)
-            cut.append(text if alone else self.pieces(text))
-            if not alone:
-                waiting.update(cut[-1])
-        self.learn([p for p in waiting if p not in self.known])
-        for found in cut:
-            if isinstance(found, str):
-                yield self._ids(self.whole.encode(found, add_special_tokens=False).ids)
-            else:
-                yield b"".join([self.known[p] for p in found])
+        if self.by_piece:
+            self.cut, self.tokenize = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
+        self.kind, self.signs, self.known = kind, _byte_signs(), _Known(self._learn)
+        self.pieces, self.is_plain, self.units = re.compile(_PIECE).findall, re.compile(_PLAIN).fullmatch, regex.compile(_UNIT).findall
+
+    def _ids(self, spelled: list[str]) -> bytes:
+        """Ids of units in the tokenizer's spelling of bytes."""
+        return np.array([t.id for unit in spelled for t in self.tokenize(unit)], self.kind).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        if not self.is_plain(piece):
+            return self._ids([u for u, _ in self.cut(piece)])
+        units = self.units(piece)
+        if len(units) > 1:  # a unit is a piece of its own
+            return b"".join(map(self.known.__getitem__, units))
+        return self._ids([piece.encode().decode("latin-1").translate(self.signs)])
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece or any(t in text for t in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.known.held > KNOWN_BYTES:
+            self.known = _Known(self._learn)
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
 def encoder_of(path: str, kind: str) -> Encoder:
@@ -149,18 +139,17 @@ def _writer(folder: str, tokenizer: str, kind: str, end_id: int) -> Callable:
             store.open_output_stream(f"{path}/{name}.keys") as keys,
         ):
             for batch in batches:
-                texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-                for start in range(0, len(texts), 500):
-                    some = texts[start : start + 500]
-                    at = []
-                    for ids in encoder.encode(some):
-                        out.write(ids + end)
-                        tokens += len(ids) // width + 1
-                        at.append(tokens)
-                    ends.write(np.array(at, "<i8").tobytes())
+                at = []
+                # One text at a time leaves the Arrow batch.
+                for text in batch.column("text"):
+                    ids = encoder.encode(text.as_py() or "")
+                    out.write(ids + end)
+                    tokens += len(ids) // width + 1
+                    at.append(tokens)
+                ends.write(np.array(at, "<i8").tobytes())
                 names = batch.column("key").fill_null(NO_KEY).to_numpy(zero_copy_only=False)
                 keys.write(names.astype("<i8").tobytes())
-                docs += len(texts)
+                docs += len(at)
         if docs:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([name]), pa.array([docs]), pa.array([tokens])], ["part", "name", "docs", "tokens"]

@@ -53,9 +53,12 @@ def test_encoder_starts_anew_and_takes_every_space(monkeypatch):
     spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
     rng = random.Random(9)
     for _ in range(200):
-        some = ["".join(rng.choice(("a", "b1", "'s", "?", "é")) + rng.choice(spaces) * rng.randrange(3) for _ in range(12)) for _ in range(5)]
-        for text, ids in zip(some, encoder.encode(some)):
-            assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        text = "".join(rng.choice(("a", "b1", "'s", "?", "é", "'llé", "½", "Ωж", "ا", "_")) + rng.choice(spaces) * rng.randrange(3) for _ in range(60))
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    every = [chr(c) for c in range(0x2FF0) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 40):  # each character after a blank, a letter, a number and another sign
+        text = "".join(f" {c} a{c}1{c}?{c}b" for c in every[at : at + 40])
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_files_off_local_disk_are_read_in_parts(spark, tmp_path, monkeypatch):
