@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from civitext.llm.common import as_row, fold_of
 from civitext.llm.decontamination import _filter_of, _in_filter, _powers
-from civitext.session import stage, unstage
+from civitext.session import broadcast_if_small, stage, unstage
 
 ORDER = 4
 SYMBOL_BITS = 6
@@ -88,33 +88,69 @@ def grams_of(text: str | None) -> np.ndarray:
     return out
 
 
-def starts_of(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, the start it continues, its last three symbols) at every byte and end of the words of a text.
+def words_of(text: str | None) -> tuple[bytes, int]:
+    """(the lower-cased words of a text, each closed by a blank, their number)."""
+    plain = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+    return (b" ".join(plain) + b" " if plain else b""), len(plain)
+
+
+def _blocks(raw: bytes) -> Iterator[bytes]:
+    """Whole words of about _WORDS bytes at a time."""
+    at = 0
+    while at < len(raw):
+        end = raw.rfind(b" ", at, at + _WORDS) + 1 or raw.find(b" ", at + _WORDS) + 1
+        yield raw[at:end]
+        at = end
+
+
+def starts_in(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, the start it continues, its last three symbols) at every byte and end of words closed by blanks.
 
     Starts are numbered by 64-bit Karp-Rabin values; what a word begins with continues 0.
     """
-    plain = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-    raw, at = b" ".join(plain) + b" ", 0
-    while plain and at < len(raw):
-        end = raw.rfind(b" ", at, at + _WORDS) + 1 or raw.find(b" ", at + _WORDS) + 1
-        block, at = raw[at:end], end
-        b = np.frombuffer(block, np.uint8)
-        up, down = _powers(len(b))
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_CODES[b] * down, out=sums[1:])
-        ends = np.flatnonzero(b == 32)
-        first = np.concatenate(([0], ends[:-1] + 1))
-        own = np.repeat(first, ends - first + 1)
-        keys = (sums[1:] - sums[own]) * up[own]
-        keys = ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-        parents = np.concatenate(([0], keys[:-1]))
-        parents[first] = 0
-        s = np.frombuffer(block.translate(_SYMBOLS), np.uint8).astype(np.int32)
-        lows = s.copy()
-        lows[1:] |= s[:-1] << SYMBOL_BITS
-        lows[2:] |= s[:-2] << (2 * SYMBOL_BITS)
-        lows[first] = s[first]
-        yield keys, parents, lows
+    b = np.frombuffer(block, np.uint8)
+    up, down = _powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_CODES[b] * down, out=sums[1:])
+    ends = np.flatnonzero(b == 32)
+    first = np.concatenate(([0], ends[:-1] + 1))
+    own = np.repeat(first, ends - first + 1)
+    keys = (sums[1:] - sums[own]) * up[own]
+    keys = ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+    parents = np.concatenate(([0], keys[:-1]))
+    parents[first] = 0
+    s = np.frombuffer(block.translate(_SYMBOLS), np.uint8).astype(np.int32)
+    lows = s.copy()
+    lows[1:] |= s[:-1] << SYMBOL_BITS
+    lows[2:] |= s[:-2] << (2 * SYMBOL_BITS)
+    lows[first] = s[first]
+    return keys, parents, lows
+
+
+class _Values:
+    """Values by 64-bit key. Keys are spread evenly, so their first bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys.view(np.uint64))
+        self.keys = np.append(keys.view(np.uint64)[order], np.uint64(2**64 - 1))
+        self.values = np.append(values[order], np.float32(0))
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        sizes = np.bincount((self.keys[:-1] >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = np.concatenate(([0], np.cumsum(sizes[:-1]))).astype(np.int32)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, value) of each key, 0 where it is not known."""
+        asked = asked.view(np.uint64)
+        at = self.begin[(asked >> self.shift).astype(np.int64)]
+        seen = self.keys[at]
+        further = np.flatnonzero(seen < asked)
+        while len(further):
+            at[further] += 1
+            seen[further] = self.keys[at[further]]
+            further = further[seen[further] < asked[further]]
+        known = (seen == asked) & (at < len(self.keys) - 1)
+        return known, np.where(known, self.values[at], np.float32(0))
 
 
 def _count_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +166,7 @@ def _count_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            for keys, parents, lows in starts_of(text.as_py()):
+            for keys, parents, lows in map(starts_in, _blocks(words_of(text.as_py())[0])):
                 waiting.append((keys, parents, lows, np.full(len(keys), label, np.int8)))
                 size += len(keys)
                 if size > _BUFFER:
@@ -211,15 +247,31 @@ def _table_of(grams: np.ndarray, ratios: np.ndarray, contexts: np.ndarray) -> tu
     return row_of, rows.reshape(-1)
 
 
-def features_of(text: str | None, row_of: np.ndarray, rows: np.ndarray) -> tuple[float, float, float]:
-    """Mean log-likelihood ratio, mean of what single ratios exceed 1 by, 1 / sqrt(length)."""
-    grams = grams_of(text)
-    if not len(grams):
-        return 0.0, 0.0, 0.0
-    ratios = rows[(row_of[grams >> SYMBOL_BITS] << SYMBOL_BITS) + (grams & ((1 << SYMBOL_BITS) - 1))]
-    n = len(grams)
-    peaks = np.maximum(ratios - 1, 0).sum(dtype=np.float64)
-    return float(ratios.sum(dtype=np.float64)) / n, float(peaks) / n, n**-0.5
+def gram_features(texts: list[str | None], row_of: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(mean log-likelihood ratio, mean of what single ratios exceed 1 by, 1 / sqrt(length)) of each text."""
+    forms = [(t or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split() for t in texts]
+    forms = [b" " + b" ".join(f) + b" " if f else b"" for f in forms]
+    sizes = np.array([len(f) for f in forms])
+    out, has = np.zeros((len(texts), 3)), np.flatnonzero(sizes >= ORDER)
+    if not len(has):
+        return out
+    s = np.frombuffer(b"".join(forms).translate(_SYMBOLS), np.uint8).astype(np.int32)
+    grams = np.zeros(len(s), np.int32)
+    for k in range(ORDER):
+        grams[: len(s) - ORDER + 1] <<= SYMBOL_BITS
+        grams[: len(s) - ORDER + 1] |= s[k : len(s) - ORDER + 1 + k]
+    ratios = rows[(row_of[grams >> SYMBOL_BITS] << SYMBOL_BITS) + (grams & ((1 << SYMBOL_BITS) - 1))].astype(np.float64)
+    ends = np.cumsum(sizes)
+    for k in range(1, ORDER):  # what begins there would reach into the next text
+        ratios[ends[sizes >= k] - k] = 0
+    begins, n = (ends - sizes)[has], sizes[has] - ORDER + 1
+    within = np.zeros(len(s) + 1)
+    within[:-1] = ratios
+    spans = np.stack([begins, ends[has]], 1).ravel()
+    out[has, 0] = np.add.reduceat(within, spans)[::2] / n
+    out[has, 1] = np.add.reduceat(np.maximum(within - 1, 0), spans)[::2] / n
+    out[has, 2] = n**-0.5
+    return out
 
 
 def _shared_orders(grams: np.ndarray) -> np.ndarray:
@@ -325,64 +377,87 @@ def _word_model(read: DataFrame, head_starts: int = HEAD_STARTS) -> WordModel:
     return WordModel(columns, tail, _filter_of(tail.select(F.col("key").alias("seed"))))
 
 
-def _word_features(text: str | None, head: tuple, filled: np.ndarray | None) -> tuple[float, float, int, list[np.ndarray]]:
-    """Sum of the words' ratios and of their peaks by the head, number of words, and what to ask the tail for.
-
-    That is (key, word, base, times): a start that may be in the tail, its word, and this
-    word's ratio by the head and number.
-    """
-    keys, values = head
-    value, peak, words, asked = 0.0, 0.0, 0, []
-    for starts, parents, _ in starts_of(text):
-        at = np.minimum(np.searchsorted(keys, starts), max(len(keys) - 1, 0))
-        known = keys[at] == starts if len(keys) else np.zeros(len(starts), bool)
-        gains = np.zeros(len(starts))
-        gains[known] = values[at[known]]
+_ASKED = {"key": "long", "word": "long", "base": "float", "times": "int"}
+
+
+def _asked(starts: np.ndarray, first: np.ndarray, known: np.ndarray, ratios: np.ndarray, filled: np.ndarray) -> list[np.ndarray]:
+    """(key, word, base, times): starts of a text's words that may be in the tail, their words, these words' ratios and numbers."""
+    others = np.flatnonzero(~known)
+    others = others[_in_filter(starts[others].view(np.uint64), filled)]
+    if not len(others):
+        return []
+    # A word is named by its last start, its end; each different one asks once.
+    ends = np.r_[first[1:], len(starts)] - 1
+    names, one, times = np.unique(starts[ends], return_index=True, return_counts=True)
+    of = np.searchsorted(first, others, "right") - 1
+    kept = np.isin(of, one)
+    others, of = others[kept], of[kept]
+    return [starts[others], starts[ends[of]], ratios[of], times[np.searchsorted(names, starts[ends[of]])]]
+
+
+def word_features(texts: list[str | None], head: _Values, filled: np.ndarray | None = None) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """(sum of the words' ratios by the head, of their peaks, number of words) of each text, and what each asks the tail for."""
+    forms = [words_of(t) for t in texts]
+    out, asked = np.zeros((len(texts), 3)), [[] for _ in texts]
+    out[:, 2] = [n for _, n in forms]
+    has = np.flatnonzero(out[:, 2])
+    if sum(len(raw) for raw, _ in forms) <= 2 * _WORDS:  # all in one
+        blocks = [(has, b"".join(raw for raw, _ in forms))] if len(has) else []
+    else:
+        blocks = [(np.array([i]), block) for i in has for block in _blocks(forms[i][0])]
+    for of, block in blocks:
+        starts, parents, _ = starts_in(block)
+        known, gains = head.find(starts)
         first = np.flatnonzero(parents == 0)
-        ratios = np.add.reduceat(gains, first)
-        value += float(ratios.sum())
-        peak += float(np.maximum(ratios - WORD_PEAK, 0).sum())
-        words += len(first)
-        if filled is None:
-            continue
-        others = np.flatnonzero(~known)
-        others = others[_in_filter(starts[others].view(np.uint64), filled)]
-        if len(others):
-            # A word is named by its last start, its end; each different one asks once.
-            ends = np.r_[first[1:], len(starts)] - 1
-            names, one, times = np.unique(starts[ends], return_index=True, return_counts=True)
-            of = np.searchsorted(first, others, "right") - 1
-            kept = np.isin(of, one)
-            others, of = others[kept], of[kept]
-            asked.append((starts[others], starts[ends[of]], ratios[of], times[np.searchsorted(names, starts[ends[of]])]))
-    cols = [np.concatenate(c) for c in zip(*asked)] if asked else [np.zeros(0)] * 4
-    return value, peak, words, [c.astype(t) for c, t in zip(cols, (np.int64, np.int64, np.float32, np.int32))]
+        ratios = np.add.reduceat(gains.astype(np.float64), first)
+        begins = np.cumsum(np.r_[0, out[of[:-1], 2]]).astype(np.int64)  # of the texts, in words
+        out[of, 0] += np.add.reduceat(ratios, begins)
+        out[of, 1] += np.add.reduceat(np.maximum(ratios - WORD_PEAK, 0), begins)
+        if filled is not None:
+            cuts = np.r_[begins, len(first)]
+            for i, a, b in zip(of, cuts, cuts[1:]):
+                span = slice(first[a], first[b] if b < len(first) else len(starts))
+                asked[i].append(_asked(starts[span], first[a:b] - first[a], known[span], ratios[a:b], filled))
+    return out, asked
+
+
+def _grouped(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, about _WORDS characters at a time."""
+    group, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        if size + len(text or "") > _WORDS and group:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
 
 
 def _local_features(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
     """Features of a text without what the tail of the word model adds, and what to ask it for."""
     shipped = spark.sparkContext.broadcast((model.grams, model.ratios, model.contexts))
     words_at = spark.sparkContext.broadcast((model.words.head, model.words.filled))
-    figures, lists = ["mean", "peaks", "brief", "value", "peak"], {"key": "long", "word": "long", "base": "float", "times": "int"}
-    kinds = [f"{c} double" for c in figures] + ["words int"] + [f"{c} array<{t}>" for c, t in lists.items()]
+    figures = ["mean", "peaks", "brief", "value", "peak"]
+    kinds = [f"{c} double" for c in figures] + ["words int"] + [f"{c} array<{t}>" for c, t in _ASKED.items()]
     arrow = (pa.int64(), pa.int64(), pa.float32(), pa.int32())
 
     @F.arrow_udf(", ".join(kinds))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         row_of, rows = _table_of(*shipped.value)
         head, filled = words_at.value
+        head = _Values(*head)
         for texts in batches:
-            # One text at a time leaves the Arrow batch.
             found, asked = [], []
-            for t in texts:
-                plain = t.as_py()
-                value, peak, words, more = _word_features(plain, head, filled)
-                found.append((*features_of(plain, row_of, rows), value, peak, words))
-                asked.append(more)
-            cols = np.array(found, float).reshape(-1, 6).T.copy()
+            for group in _grouped(texts):
+                words, more = word_features(group, head, filled)
+                found.append(np.c_[gram_features(group, row_of, rows), words])
+                asked += [[np.concatenate(c) for c in zip(*filter(None, m))] or [()] * 4 for m in more]
+            cols = np.concatenate(found).T.copy() if found else np.zeros((6, 0))
             arrays = [pa.array(f) for f in cols[:5]] + [pa.array(cols[5].astype(np.int32))]
             arrays += [pa.array([a[k] for a in asked], pa.list_(kind)) for k, kind in enumerate(arrow)]
-            yield pa.StructArray.from_arrays(arrays, [*figures, "words", *lists])
+            yield pa.StructArray.from_arrays(arrays, [*figures, "words", *_ASKED])
 
     return run(text)
 
@@ -473,9 +548,9 @@ def fit_toxicity(
     some = stage(some.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS), "calibration")
     taught = marks.join(F.broadcast(some.select("key")), "key", "left_anti").select("key", "toxic")
     own = fold_of(F.col("key"), FOLDS)
-    # Labels grow with the corpus: never broadcast, so that the plan is one at every size.
-    read = texts.filter(own != 0).join(taught.hint("merge"), "key").select("text", "toxic")
-    read = stage(read, "taught")
+    # Up to BROADCAST_ROWS labels go to the texts; more of them meet the texts by key.
+    taught = broadcast_if_small(stage(taught, "labels"))
+    read = stage(texts.filter(own != 0).join(taught, "key").select("text", "toxic"), "taught")
     parts = read.mapInArrow(_count_grams, "gram int, toxic int, n long")
     # At most GRAM_SPACE rows, whatever the corpus.
     sums = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]

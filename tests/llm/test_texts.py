@@ -275,6 +275,25 @@ def test_gram_ratios_match_brute_force():
         assert math.log(ps[0] / ps[1]) == pytest.approx(ratio, abs=1e-5)
 
 
+def test_groups_of_texts_have_the_features_of_single_ones(monkeypatch):
+    rng, words = np.random.default_rng(3), ["one", "two", "thr\u00e9\u00e9", "4", "a-b", "Five!"]
+    texts = [None, "", "x", " . ", *(" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(40)), "seven " * 500]
+    keys = np.unique(np.concatenate([toxicity.starts_in(w.encode() + b" ")[0] for w in ("one", "two", "threx", "five")]))
+    head = toxicity._Values(keys, rng.normal(size=len(keys)).astype(np.float32))
+    row_of = rng.integers(0, 3, toxicity.GRAM_SPACE >> toxicity.SYMBOL_BITS).astype(np.int32)
+    rows = rng.normal(size=3 * 64).astype(np.float32)
+    single = np.concatenate([np.c_[toxicity.gram_features([t], row_of, rows), toxicity.word_features([t], head)[0]] for t in texts])
+    for size in (1 << 18, 100):
+        monkeypatch.setattr(toxicity, "_WORDS", size)
+        groups = list(toxicity._grouped(toxicity.pa.array(texts)))
+        assert [t for g in groups for t in g] == texts
+        got = [np.c_[toxicity.gram_features(g, row_of, rows), toxicity.word_features(g, head)[0]] for g in groups]
+        assert np.concatenate(got) == pytest.approx(single)
+    grams = toxicity.grams_of(texts[20])
+    ratios = rows[row_of[grams >> 6] * 64 + (grams & 63)]
+    assert single[20, :3] == pytest.approx([ratios.mean(), np.maximum(ratios - 1, 0).mean(), len(grams) ** -0.5], abs=1e-6)
+
+
 def test_word_ratios_match_brute_force(spark):
     read = spark.createDataFrame(RATED, "text string, toxic int").repartition(2)
     words = toxicity._word_model(read)
@@ -309,5 +328,6 @@ def test_word_ratios_match_brute_force(spark):
         return total
 
     for word in ("vile", "vilest", "vilified", "the", "cat", "mats", "zebra", "\u00e9t\u00e9", "42"):
-        value, *_ = toxicity._word_features(word, words.head, None)
-        assert value == pytest.approx(ratio(word), abs=1e-5), word
+        got, _ = toxicity.word_features([word, None, f"{word} the", "."], toxicity._Values(*words.head))
+        assert got[:, 2].tolist() == [1, 0, 2, 0] and got[[1, 3], :2].any() == False  # noqa: E712
+        assert got[[0, 2], 0] == pytest.approx([ratio(word), ratio(word) + ratio("the")], abs=1e-5), word
