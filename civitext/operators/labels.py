@@ -75,17 +75,39 @@ def class_table(
     return per_class(df, flags, text, carry).unionByName(neutral)
 
 
+def class_training_table(
+    real: DataFrame, synthetic: DataFrame | None, tags: list[str], key: str = "row_id", neutral: str = NEUTRAL_TAG
+) -> DataFrame:
+    """(key, text, class_idx): the K-class training table, blank texts dropped.
+
+    `real` is (key, tag, text): the neutral tag is class 0, the others follow in the order
+    of `tags`; rows of other tags are no class and are dropped. `synthetic` (key, text) is a
+    class of its own behind them.
+    """
+    order = [neutral] + [t for t in tags if t != neutral] if neutral in tags else list(tags)
+    number = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tag")).cast("int") - 1
+    rows = nonblank(real.select(key, "text", number.alias("class_idx")).filter(F.col("class_idx") >= 0))
+    if synthetic is None:
+        return rows
+    return rows.unionByName(nonblank(synthetic.select(key, "text", F.lit(len(order)).alias("class_idx"))))
+
+
 def tag_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_distribution(df: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """One row per label 0/1: count, share, ratio n0 / max(n1, 1) and its flag."""
+    """One row per label 0/1: count, share, ratio n0 / max(n1, 1) and its flag.
+
+    Rows with another label have no row here but count in the total, so that the shares
+    say what part of the whole table a label is; rows without a label do not count.
+    """
     counts = df.agg(
         F.count_if(F.col("label") == 0).alias("n0"),
         F.count_if(F.col("label") == 1).alias("n1"),
+        F.count("label").alias("n"),
     )
-    total = F.greatest(F.col("n0") + F.col("n1"), F.lit(1))
+    total = F.greatest(F.col("n"), F.lit(1))
     ratio = F.col("n0") / F.greatest(F.col("n1"), F.lit(1))
     both = F.array(
         F.struct(F.lit(0).cast("bigint").alias("label"), F.col("n0").alias("n")),

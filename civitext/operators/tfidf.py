@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions.text import ngram_terms, with_bigrams
 from civitext.operators.ordered import top_by_count
+from civitext.session import broadcast_if_small
 
 # Fixed value: size of the term vocabulary.
 MAX_TERMS = 50_000
@@ -33,15 +34,33 @@ def numbered_terms(terms: DataFrame, n_docs: int) -> DataFrame:
     return terms.select(idx.alias("idx"), "term", idf.alias("idf"))
 
 
+def raw_weight() -> Column:
+    """Weight of a term in a text before the text's vector gets unit length."""
+    return (1.0 + F.log(F.col("c").cast("double"))) * F.col("idf")
+
+
 def weigh(
     counts: DataFrame, terms: DataFrame, key: str = "row_id", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """(key, idx, term, weight, ...keep) for the terms of a fitted table.
 
-    `terms` comes from a top-k, which bounds its size for the broadcast.
+    A table of up to a million terms is broadcast, a larger one joined by term.
     """
-    raw = counts.join(F.broadcast(terms), "term").withColumn(
-        "_w", (1.0 + F.log(F.col("c").cast("double"))) * F.col("idf")
-    )
+    raw = counts.join(broadcast_if_small(terms), "term").withColumn("_w", raw_weight())
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "idx", "term", (F.col("_w") / norm).alias("weight"), *keep)
+
+
+def term_sums(counts: DataFrame, terms: DataFrame, key: str, coefs: Column, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ...by, sums): for each of `width` coefficients of a term, its sum over a text's unit vector.
+
+    `coefs` is an array column of `terms`, `by` are columns of `terms` that name the model
+    of a row. Length and all sums come from one aggregation over rows spread by key; no
+    vector and no window is needed. A text without known terms has no row.
+    """
+    raw = counts.join(broadcast_if_small(terms), "term")
+    rows = raw.select(key, *by, raw_weight().alias("_w"), coefs.alias("_coefs"))
+    sums = [F.sum(F.col("_w") * F.col("_coefs")[k]).alias(f"_s{k}") for k in range(width)]
+    found = rows.groupBy(key, *by).agg(F.sum(F.col("_w") * F.col("_w")).alias("_squares"), *sums)
+    scaled = F.array(*[F.col(f"_s{k}") / F.sqrt("_squares") for k in range(width)])
+    return found.select(key, *by, scaled.alias("sums"))

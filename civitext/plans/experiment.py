@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civitext.operators.augmentation import augment
-from civitext.operators.classifier import TextClassifier, fit_text_classifier
+from civitext.operators.classifier import TextClassifier, fit_text_classifier, score_together
 from civitext.operators.labels import class_weights
 from civitext.operators.metrics import METRICS, binary_metrics, compare
 from civitext.session import stage
@@ -56,19 +56,30 @@ def fit_settings(
 
 
 def score_all(
-    fitted: dict[tuple[str, str], TextClassifier], rows: DataFrame
+    fitted: dict[tuple[str, str], TextClassifier], rows: DataFrame, key: str = "row_id", digits: int | None = None
 ) -> DataFrame:
-    """(model, setting, ...rows, prediction, prob)."""
-    parts = [
-        clf.score(rows).select(F.lit(model).alias("model"), F.lit(setting).alias("setting"), "*")
-        for (model, setting), clf in fitted.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
+    """(model, setting, ...rows, prediction, prob).
 
-def evaluate(fitted: dict[tuple[str, str], TextClassifier], test: DataFrame) -> DataFrame:
+    All text classifiers share one pass over the texts; models of another kind score on
+    their own. With `digits` scores are rounded before the prediction.
+    """
+    together = {f"{model}\x00{setting}": clf for (model, setting), clf in fitted.items() if isinstance(clf, TextClassifier)}
+    parts = []
+    if together:
+        scored = score_together(together, rows, key, digits=digits)
+        names = F.split("model", "\x00")
+        parts.append(
+            scored.select(names[0].alias("model"), names[1].alias("setting"), *[c for c in scored.columns if c != "model"])
+        )
+    for (model, setting), clf in fitted.items():
+        if not isinstance(clf, TextClassifier):
+            parts.append(clf.score(rows).select(F.lit(model).alias("model"), F.lit(setting).alias("setting"), "*"))
+    return reduce(lambda a, b: a.unionByName(b.select(*a.columns)), parts)
+
+
+def evaluate(fitted: dict[tuple[str, str], TextClassifier], test: DataFrame, digits: int | None = None) -> DataFrame:
     """One metric row per (model, setting)."""
-    scored = stage(score_all(fitted, test), "scored")
+    scored = stage(score_all(fitted, test, digits=digits), "scored")
     return binary_metrics(scored, ["model", "setting"])
 
 
@@ -77,12 +88,15 @@ def cross_dataset(
     sets: dict[str, Callable[[], DataFrame]],
     setting: str | None = "augmented",
     skipped: list[str] | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """One metric row per (model, setting, dataset); a set whose source cannot be read is skipped.
 
-    Each loader gives (key, text, label). `setting` None evaluates both settings. Names
-    of skipped sets are added to `skipped`. A job that fails on a set that could be
-    opened raises.
+    Each loader gives (row_id, text, label), with keys that may occur in other sets too.
+    `setting` None evaluates both settings. Names of skipped sets are added to `skipped`. A
+    job that fails on a set that could be opened raises. All sets are one table with the
+    set's name beside the key: they are scored in one pass, and all confusion matrices and
+    areas come from one aggregation and one keyed running sum.
     """
     chosen = {k: v for k, v in fitted.items() if setting is None or k[1] == setting}
     parts = []
@@ -94,10 +108,12 @@ def cross_dataset(
             if skipped is not None:
                 skipped.append(name)
             continue
-        parts.append(stage(score_all(chosen, rows.withColumn("dataset", F.lit(name))), "scored"))
+        named = F.concat_ws(":", F.lit(name), F.col("row_id").cast("string"))
+        parts.append(rows.select(named.alias("row_id"), F.lit(name).alias("dataset"), "text", F.col("label").cast("int").alias("label")))
     if not parts:
         raise ValueError("no outside set could be read")
-    return binary_metrics(reduce(DataFrame.unionByName, parts), ["model", "setting", "dataset"])
+    scored = stage(score_all(chosen, reduce(DataFrame.unionByName, parts), digits=digits), "scored")
+    return binary_metrics(scored, ["model", "setting", "dataset"])
 
 
 def report(

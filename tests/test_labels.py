@@ -70,3 +70,19 @@ def test_augmentation_moves_only_class_one(spark):
     impact = {r.setting: (r.n0, r.n1, round(r.pct1, 3)) for r in augmentation.augmentation_impact(train, added).collect()}
     assert impact == {"baseline": (2, 1, 33.333), "augmented": (2, 3, 60.0), "delta": (0, 2, 26.667)}
     assert augmentation.augment(train, added).count() == 5
+
+
+def test_class_training_table(spark):
+    real = spark.createDataFrame(
+        [("1", "b", "x"), ("2", "nor", "y"), ("3", "a", " "), ("4", "other", "z"), ("5", "a", "w"), ("6", None, "v")], "row_id string, tag string, text string"
+    )
+    synthetic = spark.createDataFrame([("s1", "made"), ("s2", None)], "row_id string, text string")
+    got = {r.row_id: r.class_idx for r in labels.class_training_table(real, synthetic, ["b", "nor", "a"]).collect()}
+    assert got == {"2": 0, "1": 1, "5": 2, "s1": 3}
+    assert labels.class_training_table(real, None, ["b", "a"]).filter("class_idx = 0").count() == 1
+
+
+def test_other_labels_count_in_the_total(spark):
+    df = spark.createDataFrame([(0,), (0,), (1,), (2,), (None,)], "label int")
+    got = {r.label: (r.n, r.share) for r in labels.label_distribution(df).collect()}
+    assert got == {0: (2, 0.5), 1: (1, 0.25)}

@@ -35,40 +35,100 @@ def test_top_terms_ties_by_term(docs):
     assert top == ["bad", "awful", "day", "nice"]
 
 
+def matrix(docs, terms, rows=len(DOCS)):
+    """Dense unit vectors of the texts by row number, from the long form."""
+    x = np.zeros((rows, terms.count()))
+    for r in tfidf.weigh(tfidf.term_counts(docs), terms).collect():
+        x[r.row_id - 1, r.idx] = r.weight
+    return x
+
+
 def test_fit_score_save_load(spark, docs, tmp_path):
     fitted = classifier.fit_text_classifier(docs)
-    unseen = spark.createDataFrame([(7, "bad words", 1), (8, "nice words", 0), (9, "???", 0)], docs.schema)
+    unseen = spark.createDataFrame([(7, "bad words", 1), (8, "nice words", 0), (9, "???", 0), (10, None, 0)], docs.schema)
     rows = {r.row_id: r for r in fitted.score(unseen).collect()}
-    assert rows[7].prediction == 1 and rows[8].prediction == 0 and set(rows) == {7, 8, 9}
-    assert rows[9].prob == pytest.approx(1 / (1 + math.exp(-fitted.model.intercept)))
+    assert rows[7].prediction == 1 and rows[8].prediction == 0 and set(rows) == {7, 8, 9, 10}
+    assert rows[9].prob == rows[10].prob == pytest.approx(1 / (1 + math.exp(-fitted.intercept)))
     # The sum over terms is the model's own probability.
-    weights = tfidf.weigh(tfidf.term_counts(docs), fitted.terms)
-    vector = np.zeros(fitted.model.numFeatures)
-    for r in weights.filter("row_id = 1").collect():
-        vector[r.idx] = r.weight
-    from pyspark.ml.linalg import Vectors
-
-    own = fitted.model.predictProbability(Vectors.dense(vector))[1]
-    assert {r.row_id: r.prob for r in fitted.score(docs).collect()}[1] == pytest.approx(own)
+    coefs = np.array([r.coef for r in fitted.terms.orderBy("idx").collect()])
+    own = 1 / (1 + np.exp(-(matrix(docs, fitted.terms) @ coefs + fitted.intercept)))
+    assert {r.row_id: r.prob for r in fitted.score(docs).collect()} == pytest.approx(dict(enumerate(own, 1)))
     fitted.save(str(tmp_path / "m"))
     again = classifier.TextClassifier.load(spark, str(tmp_path / "m"))
     assert [r.prob for r in again.score(unseen).orderBy("row_id").collect()] == pytest.approx(
-        [rows[k].prob for k in (7, 8, 9)]
+        [rows[k].prob for k in (7, 8, 9, 10)]
     )
 
 
+def test_vectors_are_typed_and_whole(docs):
+    terms = tfidf.numbered_terms(tfidf.top_terms(tfidf.term_counts(docs)), len(DOCS))
+    rows = docs.select("row_id", "label").unionByName(docs.limit(1).select(F.lit(99).cast("long").alias("row_id"), F.lit(0).alias("label")))
+    vectors = classifier.training_vectors(tfidf.weigh(tfidf.term_counts(docs), terms), rows.withColumn("no", F.col("row_id")), terms.count())
+    got = {r.no: r.features for r in vectors.collect()}
+    want = matrix(docs, terms)
+    assert all(got[i + 1].toArray() == pytest.approx(want[i]) for i in range(len(DOCS)))
+    assert got[99].numNonzeros() == 0 and got[99].size == terms.count()
+
+
 def test_objective_is_at_its_optimum(docs):
     """The gradient of the summed, weighted loss plus half the squared norm is zero (C = 1)."""
     fitted = classifier.fit_text_classifier(docs)
-    n = fitted.model.numFeatures
-    x = np.zeros((len(DOCS), n))
-    for r in tfidf.weigh(tfidf.term_counts(docs), fitted.terms).collect():
-        x[r.row_id - 1, r.idx] = r.weight
+    x = matrix(docs, fitted.terms)
     y = np.array([d[2] for d in DOCS])
-    w, b = fitted.model.coefficients.toArray(), fitted.model.intercept
+    w, b = np.array([r.coef for r in fitted.terms.orderBy("idx").collect()]), fitted.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
     # Both classes have three rows, so every balanced weight is 1.
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    by_hand = x.T @ (p - y) + w
+    assert np.abs(by_hand).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    slopes = {r.idx: r.gradient for r in classifier.binary_gradient(fitted, docs).collect()}
+    assert slopes == pytest.approx({-1: (p - y).sum(), **dict(enumerate(by_hand))}, abs=1e-9)
+    # Away from the optimum it is not.
+    shifted = classifier.TextClassifier(fitted.terms.withColumn("coef", F.col("coef") + 1.0), b)
+    assert classifier.optimality(classifier.binary_gradient(shifted, docs)).first().largest > 0.5
+
+
+CLASSES = [(1, "bad awful words", 1), (2, "nice kind words", 0), (3, "dull grey day", 2), (4, "kind nice sun", 0), (5, "grey rain", 2), (6, "bad awful", 1), (7, "bad", 1)]
+
+
+def test_class_scorer_fits_scores_and_comes_back(spark, tmp_path):
+    train = spark.createDataFrame(CLASSES, "row_id bigint, text string, class_idx int")
+    fitted = classifier.fit_class_scorer(train)
+    unseen = spark.createDataFrame([(11, "awful", "x"), (12, "nice sun", "y"), (13, "rain", "z"), (14, "?", None)], "row_id bigint, text string, prob string")
+    scored = fitted.score(unseen, keep_text=True).orderBy("row_id").collect()
+    assert [r.prediction for r in scored[:3]] == [1, 0, 2] and scored[0].text == "awful" and scored[0].prob == "x"
+    assert all(sum(r.probs) == pytest.approx(1) for r in scored)
+    alone = np.exp(fitted.intercepts) / np.exp(fitted.intercepts).sum()
+    assert scored[3].probs == pytest.approx(list(alone))
+    best = classifier.optimality(classifier.class_gradient(fitted, train)).first()
+    assert best.largest < 1e-3 and best.intercepts < 1e-3
+    # The slopes by hand: balanced weights 7 / (3 n_k).
+    x, k = matrix(train, fitted.terms, 7), np.array([c[2] for c in CLASSES])
+    coefs = np.zeros((x.shape[1], 3))
+    for r in fitted.coefs.collect():
+        coefs[r.idx, r["class"]] = r.coef
+    z = x @ coefs + fitted.intercepts
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    residual = (p - np.eye(3)[k]) * (7 / 3 / np.bincount(k)[k])[:, None]
+    got = {(r["class"], r.idx): r.gradient for r in classifier.class_gradient(fitted, train).collect()}
+    for c in range(3):
+        assert got[c, -1] == pytest.approx(residual[:, c].sum(), abs=1e-9)
+        assert [got[c, i] for i in range(x.shape[1])] == pytest.approx(list(x.T @ residual[:, c] + coefs[:, c]), abs=1e-9)
+    fitted.save(str(tmp_path / "k"))
+    again = classifier.ClassScorer.load(spark, str(tmp_path / "k"))
+    assert [r.probs for r in again.score(unseen).orderBy("row_id").collect()] == [pytest.approx(r.probs) for r in scored]
+
+
+def test_models_score_together_as_alone(spark, docs):
+    one = classifier.fit_text_classifier(docs)
+    other = classifier.fit_text_classifier(docs.withColumn("label", 1 - F.col("label")).filter("row_id < 6"))
+    unseen = spark.createDataFrame([(7, "bad words", "m"), (8, "nice", "n"), (9, "???", None)], "row_id bigint, text string, model2 string")
+    both = classifier.score_together({"one": one, "other": other}, unseen)
+    assert sorted(both.columns) == ["model", "model2", "prediction", "prob", "row_id"] and both.count() == 6
+    for name, clf in (("one", one), ("other", other)):
+        want = {r.row_id: r.prob for r in clf.score(unseen).collect()}
+        assert {r.row_id: r.prob for r in both.filter(F.col("model") == name).collect()} == pytest.approx(want)
+    # All models share one scan of the texts.
+    assert both._jdf.queryExecution().executedPlan().toString().count("RepartitionByExpression") <= 1
 
 
 def test_experiment_report_and_skipped_sets(spark, docs):
@@ -83,8 +143,11 @@ def test_experiment_report_and_skipped_sets(spark, docs):
 
     with pytest.raises(AnalysisException):
         missing()
-    rows = experiment.cross_dataset(fitted, {"gone": missing, "same": lambda: docs}).collect()
-    assert [(r.dataset, r.setting, r.recall) for r in rows] == [("same", "augmented", 1.0)]
+    other = docs.filter("row_id <> 3").withColumn("row_id", F.col("row_id").cast("string"))
+    skipped = []
+    rows = experiment.cross_dataset(fitted, {"gone": missing, "same": lambda: docs, "other": lambda: other}, skipped=skipped).collect()
+    assert sorted((r.dataset, r.setting, r.recall, r.tn) for r in rows) == [("other", "augmented", 1.0, 3), ("same", "augmented", 1.0, 3)]
+    assert skipped == ["gone"]
     with pytest.raises(ValueError):
         experiment.cross_dataset(fitted, {"gone": missing})
 
@@ -110,6 +173,19 @@ def test_full_analysis_and_saved_models(spark, docs, tmp_path):
     assert {r.metric: r.augmented for r in result.collect()}["accuracy"] == 1.0
 
 
+def test_anchors_of_several_widths_raise_and_odd_candidates_are_null(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [1.0, 2.0, 3.0]), (6, [0.0, -2.0])]
+    anchors = spark.createDataFrame([(0, [0.0, 1.0]), (1, None), (2, [None, 1.0]), (3, [])], schema)
+    anchors = anchors.unionByName(spark.createDataFrame([(7, [-1.0, 0.0])], schema))
+    for block in (None, 1):
+        got = similarity.max_anchor_cosine(spark.createDataFrame(rows, schema), anchors, "vec_id", "embedding", block=block, cell=2)
+        assert {r.vec_id: r.max_cos for r in got.collect()} == {1: 0.0, 2: None, 3: None, 4: None, 5: None, 6: 0.0}
+    stray = anchors.unionByName(spark.createDataFrame([(9, [1.0, 1.0, 1.0])], schema))
+    with pytest.raises(ValueError, match="widths"):
+        similarity.max_anchor_cosine(spark.createDataFrame(rows, schema), stray, "vec_id", "embedding")
+
+
 def test_anchor_cosine_small_and_blocked_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vecs = rng.normal(size=(90, 6)).astype("float32")
