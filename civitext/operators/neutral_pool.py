@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions.text import is_good_neutral, sanitize_line, straighten, wordpunct
+from civitext.operators.common import packed
 from civitext.operators.encoding import sample_length
-from civitext.operators.ordered import with_row_number
+from civitext.operators.ordered import best_rows, with_row_number
 from civitext.operators.sampling import first_rows, sample_k
 from civitext.operators.splitting import hash_order
 from civitext.schemas import MAX_SEQ_LENGTH
+from civitext.session import broadcast_if_small, stage
 
 # Number of examples, size of the head they are drawn from, share
 # of the pool that survives a refresh, and the least pool in examples.
@@ -35,13 +37,35 @@ PROMPT_FOOTER = ["", "Output one new neutral sentence only:"]
 
 
 def dedup_first_seen(df: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """(*order, text): the first row of every distinct text.
-
-    A minimum per text, combined before the shuffle: a text holding a large
-    share of the rows arrives as one row per task.
+    """(*order, text): the first row of every distinct text, by `order`, whose values name a row.
+
+    Rows are grouped by two independent 64-bit hashes of the text, and the first one is a
+    minimum of one packed number, so both aggregations hash fixed-width keys and combine
+    before the shuffle: a text holding a large share of the rows arrives as one row per
+    task. Texts stay where they are until the rows to drop are known; these leave by an
+    anti-join on `order`, broadcast up to a counted size. A third hash tells whether
+    different texts met under one name; such a group is told apart by the texts themselves.
     """
-    first = df.groupBy(text).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(*[F.col(f"_first.{c}").alias(c) for c in order], text)
+    named = df.select(*order, text).withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(F.lit(1), text))
+    check = F.xxhash64(F.lit(2), text)
+    place = packed(df, order)
+    narrow = stage(named.select(*order, "_a", "_b", check.alias("_check"), place.alias("_place")), "text_names")
+    groups = narrow.groupBy("_a", "_b").agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"),
+        F.min("_check").alias("_low"), F.max("_check").alias("_high"),
+    )
+    repeated = stage(groups.filter("_n > 1"), "repeated_texts")
+    met = narrow.join(broadcast_if_small(repeated), ["_a", "_b"])
+    clash = repeated.filter("_low <> _high").select("_a", "_b")
+    later = met.filter((F.col("_low") == F.col("_high")) & (F.col("_place") != F.col("_first"))).select(*order)
+    later = stage(later, "later_rows")
+    kept = df.select(*order, text)
+    if not clash.isEmpty():
+        apart = named.join(F.broadcast(clash), ["_a", "_b"], "left_semi").select(*order, text)  # a chance of 2^-128 a pair
+        kept = named.join(F.broadcast(clash), ["_a", "_b"], "left_anti").select(*order, text)
+        first = apart.groupBy(text).agg(F.min(F.struct(*order)).alias("_first"))
+        kept = kept.unionByName(first.select(*[F.col(f"_first.{c}").alias(c) for c in order], text))
+    return kept.join(broadcast_if_small(later), order, "left_anti").select(*order, text)
 
 
 def not_examples(df: DataFrame, examples: DataFrame, text: str = "text") -> DataFrame:
@@ -73,8 +97,9 @@ def fallback_pool(
     # From here on at most `needed` rows are left.
     drawn = drawn.withColumn("_h", hash_order(key, seed)).withColumn("text", sanitize_line(F.col("text")))
     good = not_examples(neutral_candidates(drawn, "text", max_words), examples)
-    unique = dedup_first_seen(good, ["_h", key])
-    return unique.select(F.row_number().over(Window.orderBy("_h", key)).alias("rank"), "text")
+    unique = good.groupBy("text").agg(F.min(F.struct("_h", key)).alias("_first"))
+    places = [F.col("_first._h").asc(), F.col(f"_first.{key}").asc()]
+    return with_row_number(unique.select("_first", "text"), places, "rank").select("rank", "text")
 
 
 def score_pool(df: DataFrame, score: Column, text: str = "text", max_len: int = MAX_SEQ_LENGTH) -> DataFrame:
@@ -83,18 +108,24 @@ def score_pool(df: DataFrame, score: Column, text: str = "text", max_len: int =
     return df.withColumn("score", F.when(fits, score).otherwise(F.lit(0.0)))
 
 
+def pool_size(n: int, rate: float = EVOLVE_RATE, k_shots: int = K_SHOTS) -> int:
+    """Rows of a pool of `n` that survive: max(4 * k_shots, min(n, int(n * rate)))."""
+    return max(LEAST_POOL * k_shots, min(n, int(n * rate)))
+
+
+def surviving(pool: DataFrame, keys: list[str], rate: float = EVOLVE_RATE, k_shots: int = K_SHOTS) -> DataFrame:
+    """The best rows by score, equal scores in key order. Texts are not moved to find them."""
+    return best_rows(pool, pool_size(pool.count(), rate, k_shots), "score", keys)
+
+
 def refresh_pool(
     pool: DataFrame, keys: list[str], rate: float = EVOLVE_RATE, k_shots: int = K_SHOTS
 ) -> DataFrame:
-    """The best rows by score with their `rank`.
-
-    max(4 * k_shots, min(n, int(n * rate))) rows survive. Ranks come from a
-    range-partitioned sort, as the survivors are a share of the whole pool.
-    """
-    ranked = with_row_number(pool, [F.col("score").desc(), *[F.col(k).asc() for k in keys]], "rank")
-    n = ranked.count()
-    keep = max(LEAST_POOL * k_shots, min(n, int(n * rate)))
-    return ranked.filter(F.col("rank") <= keep)
+    """The best rows by score with their `rank`; ranks are settled on scores and keys alone."""
+    kept = surviving(pool, keys, rate, k_shots)
+    order = [F.col("score").desc(), *[F.col(k).asc() for k in keys]]
+    ranks = with_row_number(kept.select(*keys, "score"), order, "rank")
+    return kept.join(ranks.select(*keys, "rank"), keys)
 
 
 def fewshot_examples(

@@ -84,3 +84,53 @@ def top_by_count(df: DataFrame, k: int, count: str, *ties: Column) -> DataFrame:
     least = reached.agg(F.max(count)).first()[0]
     kept = staged if least is None else staged.filter(F.col(count) >= least)
     return kept.orderBy(F.col(count).desc(), *ties).limit(k)
+
+
+def kth_largest(df: DataFrame, value: str, k: int, bins: int = 1024) -> tuple[float, int] | None:
+    """(the k-th largest number of `value`, rows above it); None if there are fewer than `k` numbers.
+
+    Exact, by histograms that close in on it: each pass counts the rows of at most `bins`
+    equal steps between two numbers and goes on within the step that holds the k-th.
+    Rows are neither moved nor sorted, and `bins` rows come back from a pass.
+    """
+    numbers = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    lo, hi, n = numbers.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    if n < k or k < 1:
+        return None
+    above = 0
+    while lo < hi:
+        step = (hi - lo) / bins
+        # Between neighbouring numbers there are no steps, and few numbers.
+        bin_ = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1)) if lo + step > lo else F.col("v")
+        within = numbers.filter(F.col("v").between(lo, hi)).groupBy(bin_.alias("b"))
+        found = within.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for row in sorted(found, key=lambda r: -r["lo"]):
+            if above + row["n"] >= k:
+                lo, hi = row["lo"], row["hi"]
+                break
+            above += row["n"]
+    return lo, above
+
+
+def best_rows(df: DataFrame, k: int, score: str, keys: list[str]) -> DataFrame:
+    """The `k` rows of the highest `score`, equal ones in ascending order of `keys`; null scores count as 0.
+
+    Only scores and keys are read to find the cut: the k-th score, and of the rows that have
+    it the last key that still belongs. Then a plain filter takes the rows, which are not
+    moved, whatever else they hold. `df` is read more than once.
+    """
+    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+    narrow = stage(df.select(*keys, value.alias("_value")), "scores")
+    cut = kth_largest(narrow, "_value", k)
+    if cut is None:
+        return df if k > 0 else df.limit(0)
+    least, above = cut
+    ties = narrow.filter(F.col("_value") == least).select(*keys)
+    last = F.lit(True)
+    if ties.count() > k - above:
+        # Only the ties are ordered, and only their keys.
+        numbered = with_row_number(ties, [F.col(c).asc() for c in keys], "_place")
+        at = numbered.filter(F.col("_place") == k - above).first()
+        wanted = F.struct(*[F.lit(at[c]).cast(df.schema[c].dataType).alias(c) for c in keys])
+        last = F.struct(*keys) <= wanted
+    return df.filter((value > least) | ((value == least) & last))

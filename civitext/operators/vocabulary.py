@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from civitext.operators.common import exploded
+from civitext.operators.common import exploded, packed
 from civitext.operators.ordered import top_by_count, with_row_number
 from civitext.schemas import MIN_FREQ_A, MIN_FREQ_B, SPECIALS_A, SPECIALS_B, TOP_WORDS_B
 
+# Places in an array.
+POSITION_BITS = 31
+
 
 def explode_words(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     """(*keys, pos, word): one row per token."""
@@ -26,12 +30,19 @@ def specials(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def first_seen_counts(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
-    """(word, n, first): count and the smallest (*keys, pos) of every word."""
-    return (
-        explode_words(df, tokens, *keys)
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, "pos")).alias("first"))
-    )
+    """(word, n, first): count of every word and the smallest (*keys, pos), as a value that sorts like it.
+
+    With whole-number keys that value has a fixed width, so counting and the minimum are
+    one hash aggregation and tokens are not sorted.
+    """
+    at = packed(df, list(keys), POSITION_BITS)
+    rows = df.select(at.alias("_at"), F.posexplode_outer(tokens).alias("pos", "word")).filter(F.col("pos").isNotNull())
+    if isinstance(rows.schema["_at"].dataType, T.StructType):
+        place = F.struct("_at", "pos")
+    else:
+        place = F.col("_at") + F.col("pos").cast(rows.schema["_at"].dataType)
+    rows = rows.select("word", place.alias("_place"))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("first"))
 
 
 def vocab_first_seen(
