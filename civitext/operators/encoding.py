@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civitext.functions.sequences import until_eos
-from civitext.schemas import MAX_SEQ_LENGTH, PAD_ID, SPECIALS_A, START_ID, UNK_ID
-from civitext.session import BROADCAST_ROWS
+from civitext.functions.sequences import pad, until_eos
+from civitext.schemas import MAX_SEQ_LENGTH, MAX_SEQ_LENGTH_B, PAD_ID, SPECIALS_A, START_ID, UNK_ID, UNK_ID_B
+from civitext.session import BROADCAST_ROWS, stage
 
 SALTS = 16
 
@@ -24,21 +24,24 @@ def sample_length(tokens: Column, max_len: int = MAX_SEQ_LENGTH) -> Column:
     return (n >= 3) & (n < max_len)
 
 
-def look_up(items: DataFrame, table: DataFrame, on: str, value: str, how: str = "left") -> DataFrame:
+def look_up(
+    items: DataFrame, table: DataFrame, on: str, value: str, how: str = "left", head_rows: int | None = None
+) -> DataFrame:
     """Adds `value` of `table` to every item, null where `on` is not in it.
 
     A table of bounded size is broadcast. A larger one is joined in two steps:
     its low ids, the most used words, are broadcast, and only items not found
-    there are shuffled, salted against a hot key outside the vocabulary.
+    there are shuffled, salted against a hot key outside the vocabulary. The items
+    are staged in between, so that what they come from is computed once.
     """
-    head_rows = BROADCAST_ROWS
+    head_rows = head_rows or BROADCAST_ROWS
     if table.limit(head_rows + 1).count() <= head_rows:
         return items.join(F.broadcast(table), on, how)
     # Ids are dense from 0, so this side has at most `head_rows` rows.
     head = table.filter(F.col("id") < head_rows).select(on, F.col(value).alias("_head"))
     tail = table.filter(F.col("id") >= head_rows).select(on, F.col(value).alias("_tail"))
     tail = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    first = items.join(F.broadcast(head), on, "left")
+    first = stage(items.join(F.broadcast(head), on, "left"), "looked_up")
     salt = F.pmod(F.xxhash64(*items.columns), F.lit(SALTS)).cast("int")
     found = first.filter(F.col("_head").isNotNull()).withColumn(value, F.col("_head")).drop("_head")
     rest = (
@@ -76,6 +79,19 @@ def encode_tokens(
     return grouped.withColumn("ids", F.array_compact("ids"))
 
 
+def encode_cut(
+    df: DataFrame, vocab: DataFrame, keys: list[str], tokens: str = "tokens", max_len: int = MAX_SEQ_LENGTH_B,
+    unk_id: int = UNK_ID_B,
+) -> DataFrame:
+    """(*keys, ids, length): the first `max_len` tokens as ids, padded to that length, and their number.
+
+    The fixed-width input of a recurrent classifier; a text without tokens has length 0.
+    """
+    cut = df.select(*keys, F.slice(tokens, 1, max_len).alias(tokens))
+    coded = encode_tokens(cut, vocab, keys, tokens, unk_id)
+    return coded.select(*keys, pad(F.col("ids"), max_len).alias("ids"), F.size("ids").alias("length"))
+
+
 def _decode(df: DataFrame, vocab: DataFrame, keys: list[str], ids: Column, unknown: str | None) -> DataFrame:
     items = df.select(*keys, ids.alias("_ids"))
     items = items.repartition(*[F.col(k) for k in keys]).select(

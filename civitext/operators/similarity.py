@@ -39,37 +39,38 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
+def _usable(vector: str) -> Column:
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), F.lit(False))
+
+
 def max_anchor_cosine(
     candidates: DataFrame, anchors: DataFrame, key: str, vector: str, block: int | None = None,
     cell: int | None = None,
 ) -> DataFrame:
     """(key, max_cos), one row per candidate: every anchor meets every candidate.
 
-    Vectors are as wide as the widest usable anchor. A candidate of another width, with a
-    null element, empty or null has a null `max_cos`; such anchors are no anchors.
+    Anchors that are null, empty or hold a null are no anchors; usable ones of different
+    widths raise. A candidate of another width, with a null element, empty or null has a
+    null `max_cos`, and so have all without any anchor.
 
-    Up to `block` anchors travel to the tasks as one matrix and candidates are
-    not shuffled. More anchors are cut into blocks, candidates into cells, and
+    Up to `block` anchors travel to the tasks as one matrix and candidates are read once
+    and not shuffled. More anchors are cut into blocks, candidates into cells, and
     each (cell, block) pair is one bounded matrix product; only the maximum per
     candidate and block comes out, never the single pairs.
     """
-    usable = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
-    anch = anchors.select(vector).filter(usable)
-    width = anch.agg(F.max(F.size(vector))).first()[0] or 0
-    anch = anch.filter(F.size(vector) == width)
-    fits = F.coalesce(usable & (F.size(vector) == width), F.lit(False))
-    every = candidates.select(key, vector)
-    cands, others = every.filter(fits), every.filter(~fits).select(key, F.lit(None).cast("double").alias("max_cos"))
+    anch = anchors.select(vector).filter(_usable(vector))
+    low, high = anch.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low != high:
+        raise ValueError(f"anchors have widths from {low} to {high}")
+    width = high or 0
+    cands = candidates.select(key, vector)
     block = block or max(1, BLOCK_BYTES // (8 * max(width, 1)))
     cell = cell or max(1, CELL_BYTES // (8 * max(width, 1)))
-    return _scored(cands, anch, key, vector, block, cell).unionByName(others)
-
-
-def _scored(cands: DataFrame, anch: DataFrame, key: str, vector: str, block: int, cell: int) -> DataFrame:
     if anch.limit(block + 1).count() <= block:
-        rows = [r[0] for r in anch.collect()]
-        return _small(cands, rows, key, vector)
-    return _blocked(cands, anch, key, vector, block, cell)
+        return _small(cands, [r[0] for r in anch.collect()], key, vector)
+    fits = _usable(vector) & (F.size(vector) == width)
+    others = cands.filter(~fits).select(key, F.lit(None).cast("double").alias("max_cos"))
+    return _blocked(cands.filter(fits), anch, key, vector, block, cell).unionByName(others)
 
 
 def _numbers(n: int) -> Column:
@@ -85,8 +86,16 @@ def _small(cands: DataFrame, rows: list[list[float]], key: str, vector: str) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = _best(_matrix(batch.column(1), width), anchors.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], [key, "max_cos"])
+            column = batch.column(1)
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            # Elements of null vectors are not in `flatten`.
+            owner = np.repeat(np.arange(len(column)), lengths)
+            gaps = np.bincount(owner, weights=np.asarray(column.flatten().is_null()), minlength=len(column))
+            fits = (lengths == width) & (gaps == 0)
+            best = np.full(len(column), np.nan)
+            if fits.any():
+                best[fits] = _best(_matrix(column.filter(pa.array(fits)), width), anchors.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, mask=~fits)], [key, "max_cos"])
 
     return cands.mapInArrow(score, f"{key} {key_type}, max_cos double")
 

@@ -14,18 +14,6 @@ COMMENTS = T.StructType(
     + [T.StructField(f, T.IntegerType()) for f in FLAGS]
 )
 
-BINARY_COMMENTS = T.StructType(
-    [T.StructField("comment_text", T.StringType()), T.StructField("label", T.IntegerType())]
-)
-
-LABELLED = T.StructType(
-    [
-        T.StructField("row_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("label", T.IntegerType()),
-    ]
-)
-
 # One object holding two parallel arrays.
 GENERATED_COLUMNS = T.StructType(
     [
@@ -39,21 +27,6 @@ GENERATED_ROWS = T.StructType(
     [T.StructField("tweet", T.StringType()), T.StructField("class", T.StringType())]
 )
 
-THREE_WAY_POSTS = T.StructType(
-    [T.StructField("tweet", T.StringType()), T.StructField("class", T.IntegerType())]
-)
-
-ANNOTATED_POSTS = T.StructType(
-    [
-        T.StructField("post_tokens", T.ArrayType(T.StringType())),
-        T.StructField(
-            "annotators",
-            T.ArrayType(T.StructType([T.StructField("label", T.IntegerType())])),
-        ),
-        T.StructField("label", T.IntegerType()),
-    ]
-)
-
 # Special tokens of encoder A, ids 0-3, and of encoder B, ids 0-1.
 SPECIALS_A = ["<PAD>", "<START>", "<EOS>", "<UNK>"]
 SPECIALS_B = ["<PAD>", "<UNK>"]

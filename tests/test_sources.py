@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -48,6 +49,33 @@ def test_blank_lines_can_be_left_out_and_large_files_split(spark, tmp_path):
     assert sorted((r.line_no, r.value) for r in rows) == [(i, f"line {i} é") for i in range(3_000)]
 
 
+def test_text_is_neither_shuffled_nor_sorted(spark, tmp_path):
+    for n in range(5):
+        (tmp_path / f"{n}.txt").write_text("".join(f"{n} line {i}\n" for i in range(50)))
+    (tmp_path / "z.txt.gz").write_bytes(gzip.compress("".join(f"z line {i} é\n" for i in range(2_000)).encode("cp1252")))
+    read = textlines.read_text_lines(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Sort" not in plan and "Window" not in plan and "BroadcastHashJoin" in plan
+    both = read.unionByName(read)  # a row's number does not depend on where the read stands in a plan
+    names = {r.path.split("/")[-1] for r in both.collect()}
+    assert names == {*(f"{n}.txt" for n in range(5)), "z.txt.gz"}
+    assert all(r.value.endswith((f"line {r.line_no}", f"line {r.line_no} é")) for r in both.collect())
+
+
+def test_files_cut_otherwise_fail(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.txt").write_text("a\nb\nc\n" * 200)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = textlines.read_text_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        with pytest.raises(Exception, match="cut in another way"):
+            read.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_tag_order(spark, tmp_path):
     assert textlines.order_tags(["b", "nor", "a"]) == ["nor", "b", "a"]
     assert textlines.order_tags(["b", "a"]) == ["b", "a"]
@@ -65,6 +93,16 @@ def test_class_text_keeps_quotes_newlines_and_spaces(spark, tmp_path):
     assert sorted(r.text for r in read) == sorted(texts) and {r.tag for r in read} == {"t"}
 
 
+def test_class_text_files_are_bounded(spark, tmp_path):
+    texts = [f'{i} "quoted" é' + "x" * (i % 40) for i in range(500)] + ["y" * 3_000, None, ""]
+    df = spark.createDataFrame([("a" if i % 3 else "b", t) for i, t in enumerate(texts)], "tag string, text string").repartition(2)
+    textlines.write_class_text(df, str(tmp_path / "out"), file_bytes=1_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "out").rglob("part-*.csv"))
+    assert len(sizes) > 20 and sizes[-2] <= 1_000 and 3_000 <= sizes[-1] <= 3_010
+    read = textlines.read_class_text(spark, str(tmp_path / "out"))
+    assert read.columns == ["text", "tag"] and {r.text for r in read.collect()} >= {t for t in texts if t}
+
+
 def test_generated_object_and_missing_file(spark, tmp_path):
     path = tmp_path / "gen.json"
     path.write_text(json.dumps({"tweet": ["a b", "c\nd"], "class": ["0", "1"]}, indent=2))

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from civitext.operators import encoding, vocabulary
+from civitext.operators import common, encoding, vocabulary
 from civitext.plans.corpus import build_corpus, corpus_job
 from civitext.schemas import SPECIALS_A
 from civitext.sources import tokens as token_files
@@ -96,3 +98,50 @@ def test_class_files_to_id_files(spark, tmp_path):
     ]
     vocab = {r.word: r.id for r in token_files.read_vocab_text(spark, str(tmp_path / "out" / "vocab")).collect()}
     assert vocab["good"] == 4 and vocab["day"] == 5 and len(vocab) == 6
+
+
+def test_first_seen_places_are_hashed(spark):
+    df = spark.createDataFrame([(1, 2, ["b", "a"]), (1, 1, ["a", "c", "a"]), (-5, 9, ["c"])], "d long, n int, t array<string>")
+    counts = vocabulary.first_seen_counts(df, F.col("t"), "d", "n")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert [(r.word, r.n) for r in counts.orderBy("first").collect()] == [("c", 2), ("a", 3), ("b", 1)]
+    by_name = vocabulary.first_seen_counts(df.withColumn("d", F.col("d").cast("string")), F.col("t"), "d", "n")
+    assert [r.word for r in by_name.orderBy("first").collect()] == ["c", "a", "b"]
+
+
+@pytest.mark.parametrize("kinds", [("bigint", "int"), ("int", "smallint"), ("tinyint",), ("int", "bigint"), ("bigint", "bigint"), ("string", "int")])
+def test_packed_keys_keep_their_order(spark, kinds):
+    rng = random.Random(1)
+    bits = {"bigint": 63, "int": 31, "smallint": 15, "tinyint": 7, "string": 31}
+    ends = {k: [-(1 << b), (1 << b) - 1, 0, -1, 1] for k, b in bits.items()}
+    rows = [tuple(rng.choice((*ends[k], rng.randrange(-(1 << bits[k]), 1 << bits[k]))) for k in kinds) for _ in range(200)]
+    df = spark.createDataFrame([tuple(map(str, r)) for r in rows], ", ".join(f"c{i} string" for i in range(len(kinds))))
+    df = df.select(*[F.col(f"c{i}").cast(k).alias(f"c{i}") for i, k in enumerate(kinds)])
+    names = df.columns
+    got = [tuple(r)[:-1] for r in df.withColumn("p", common.packed(df, names)).orderBy("p").collect()]
+    assert got == [tuple(r) for r in df.orderBy(*names).collect()]
+
+
+def test_large_vocabulary_computes_its_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        seen.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, f"w{i % 40} w{i % 7} out") for i in range(200)], "k long, text string")
+    items = docs.select("k", F.posexplode(counted("text")).alias("pos", "word"))
+    table = spark.createDataFrame([(f"w{i}", i) for i in range(40)], "word string, id long")
+    found = encoding.look_up(items, table, "word", "id", head_rows=5)
+    got = {(r.k, r.pos): r.id for r in found.collect()}
+    assert got == {(i, p): v for i in range(200) for p, v in enumerate((i % 40, i % 7, None))}
+    assert seen.value == 200
+
+
+def test_cut_encoding_has_true_lengths(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "z"]), (2, []), (3, ["b"] * 9), (4, None)], "k int, tokens array<string>")
+    vocab = spark.createDataFrame([("<PAD>", 0), ("<UNK>", 1), ("a", 2), ("b", 3)], "word string, id long")
+    got = {r.k: (r.ids, r.length) for r in encoding.encode_cut(df, vocab, ["k"], max_len=4).collect()}
+    assert got == {1: ([2, 3, 1, 0], 3), 2: ([0] * 4, 0), 3: ([3] * 4, 4), 4: ([0] * 4, 0)}
