@@ -97,3 +97,17 @@ def split_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:
     return split_rows(spark, sf).filter(F.col("split") == "train")
+
+
+def annotated_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, turn, post_tokens, annotators, label): turns as posts with up to three votes by a fixed rule."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    votes = [turn % 3, (turn + conv) % 3, F.length("text") % 3]
+    annotators = F.array(*[F.struct(v.cast("int").alias("label")) for v in votes])
+    return table(spark, sf, "conversations").select(
+        "conv_id",
+        "turn",
+        F.split("text", " ").alias("post_tokens"),
+        F.when(turn % 4 != 3, annotators).alias("annotators"),
+        F.when(conv % 5 != 0, (conv % 3).cast("int")).alias("label"),
+    )

@@ -112,6 +112,7 @@ def ids_text(ids: str) -> str:
 
 CANDIDATES = f"{ROUND_TRIP}, {cleaned('c', 'rt', 'doc_id, line_no')}, cand AS (SELECT * FROM c WHERE reason IS NULL)"
 
+# Patterns that rule out a neutral sentence.
 BAD = "|".join(
     [
         r"^redirect([^\p{L}\p{N}_]|$)",
@@ -198,6 +199,7 @@ SHOTS = """shots AS (
   FROM (SELECT text, doc_id || ':' || line_no AS k FROM pool WHERE length(text) > 0
     ORDER BY score DESC, doc_id, line_no LIMIT 100)
   ORDER BY md5('42:' || k), k LIMIT 5)"""
+# Fixed text of the few-shot prompt.
 PROMPT = [
     "You generate exactly one neutral, non-toxic online message.",
     "Requirements:",
@@ -242,6 +244,101 @@ def fixed(length: int) -> str:
   len({cut}) AS nonpad FROM enc"""
 
 
+def gram_counts(name: str, source: str, key: str) -> str:
+    """CTE `name`: (k, term, c) of the texts of `source`."""
+    return rf"""{name}_w AS (SELECT {key} AS k, regexp_extract_all(lower(text), '{WORD}{{2,}}') AS w FROM {source}),
+{name} AS (SELECT k, term, count(*) AS c FROM (
+  SELECT k, unnest(w) AS term FROM {name}_w
+  UNION ALL
+  SELECT k, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2]))
+  FROM {name}_w WHERE len(w) > 1) GROUP BY ALL)"""
+
+
+FIT = """fit AS (
+  SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, ln((1 + (SELECT count(*) FROM lab)) / (1 + df)) + 1 AS idf FROM terms)"""
+
+
+def linear_sums(name: str, counts: str, coefs: dict[str, str]) -> str:
+    """CTE `name`: (k, ...coefs) sums over the unit vectors of the texts counted in `counts`."""
+    each = ", ".join(f"({c}) AS {n}" for n, c in coefs.items())
+    sums = ", ".join(f"sum(x * {n}) / sqrt(sum(x * x)) AS {n}" for n in coefs)
+    return f"""{name} AS (SELECT k, {sums} FROM (
+  SELECT k, (1 + ln(c)) * idf AS x, {each} FROM {counts} JOIN fit USING (term)) GROUP BY k)"""
+
+
+TWO_MODELS = {"b": "((idx * 7) % 23 - 11) / 5.0::DOUBLE", "a": "((idx * 5) % 19 - 9) / 5.0::DOUBLE"}
+
+
+def two_models(source: str, key: str) -> str:
+    """CTE `rated`: (k, label, prob_b, prob_a) of `source`, and `both`, one row per setting."""
+    probs = ", ".join(
+        f"round(1 / (1 + exp(-(coalesce({m}, 0) + {b}))), 6) AS prob_{m}" for m, b in (("b", -0.3), ("a", 0.1))
+    )
+    return f"""{gram_counts("seen", source, key)}, {linear_sums("sums", "seen", TWO_MODELS)},
+rated AS (SELECT s.*, {probs} FROM {source} AS s LEFT JOIN sums ON sums.k = s.{key}),
+both_settings AS (
+  SELECT *, 'baseline' AS setting, prob_b AS prob, prob_b > 0.5 AS p FROM rated
+  UNION ALL SELECT *, 'augmented', prob_a, prob_a > 0.5 FROM rated)"""
+
+
+def group_metrics(by: str, source: str) -> str:
+    """CTE `long`: (by, metric, value) of `source` (by, label, prob, p)."""
+    return f"""cm AS (SELECT {by}, count(*) FILTER (label = 0 AND NOT p) AS tn, count(*) FILTER (label = 0 AND p) AS fp,
+    count(*) FILTER (label = 1 AND NOT p) AS fn, count(*) FILTER (label = 1 AND p) AS tp FROM {source} GROUP BY {by}),
+steps AS (SELECT {by}, prob, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM {source} GROUP BY {by}, prob),
+below AS (SELECT {by}, pos, neg,
+    coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM steps),
+area AS (SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+    THEN sum(pos * (b + neg / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS auc_roc FROM below GROUP BY {by}),
+wide AS (SELECT {by}, (tp + tn) / (tn + fp + fn + tp) AS accuracy,
+    CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
+    CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall,
+    CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, auc_roc FROM cm JOIN area USING ({by})),
+long AS (
+  SELECT {by}, 'accuracy' AS metric, CAST(accuracy AS DOUBLE) AS value FROM wide
+  UNION ALL SELECT {by}, 'precision', precision FROM wide
+  UNION ALL SELECT {by}, 'recall', recall FROM wide
+  UNION ALL SELECT {by}, 'f1', f1 FROM wide
+  UNION ALL SELECT {by}, 'auc_roc', auc_roc FROM wide)"""
+
+
+def three_classes(step: int) -> dict[str, str]:
+    return {f"m{k}": f"((idx * {step} + {k} * 5) % 23 - 11) / 5.0::DOUBLE" for k in range(3)}
+
+
+EXP3 = [f"exp(coalesce(m{k}, 0) + 0.{k})" for k in range(3)]
+
+THREE_WAY = f"""tw AS (SELECT doc_id || ':' || line_no AS k, text, CASE WHEN (doc_id + line_no) % 4 - 1 = 2 THEN 0 ELSE 1 END AS label FROM lines
+  WHERE (doc_id + line_no) % 4 - 1 <> -1 AND regexp_matches(text, '{NON_WS}'))"""
+ANNOTATED = f"""votes AS (
+  SELECT conv_id, turn, text, conv_id % 5 <> 0 AS has_label, conv_id % 3 AS own,
+    turn % 3 AS a, (turn + conv_id) % 3 AS b, length(text) % 3 AS c FROM conversations),
+majority AS (
+  SELECT *, CASE WHEN turn % 4 <> 3 THEN CASE WHEN b = c THEN b ELSE a END WHEN has_label THEN own END AS value FROM votes),
+an AS (SELECT conv_id || ':' || turn AS k, text, CASE WHEN value = 0 THEN 0 ELSE 1 END AS label
+  FROM majority WHERE value IS NOT NULL AND regexp_matches(text, '{NON_WS}'))"""
+
+
+def pool_model(generation: int, rows: str) -> str:
+    """CTE `g<generation>`: (doc_id, line_no, k, text, fits, score) of `rows`, scored by the generation's model."""
+    n = f"g{generation}"
+    return f"""{n}_fit AS (SELECT * FROM {rows} WHERE fits), {gram_counts(f"{n}_c", f"{n}_fit", "k")},
+{linear_sums(f"{n}_s", f"{n}_c", three_classes(generation + 3))},
+{n} AS (SELECT r.doc_id, r.line_no, r.k, r.text, r.fits,
+  CASE WHEN fits THEN round({EXP3[0]} / ({" + ".join(EXP3)}), 6) ELSE 0.0 END AS score FROM {rows} AS r LEFT JOIN {n}_s AS s USING (k))"""
+
+
+def pool_survivors(generation: int) -> str:
+    return f"""s{generation} AS (SELECT * EXCLUDE (rn, n) FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, line_no) AS rn, count(*) OVER () AS n FROM g{generation})
+  WHERE rn <= greatest(20, least(n, n // 2)))"""
+
+
+CLASS_ROWS = f"""real AS (
+  SELECT conv_id || ':' || turn || ':' || line_no AS row_id, list_position(['system', 'user', 'assistant'], role) - 1 AS class_idx, text
+  FROM turns WHERE regexp_matches(text, '{NON_WS}')
+  UNION ALL SELECT 'added:' || doc_id || ':' || line_no, 3, text FROM cand)"""
+
 ORACLES: dict[str, str] = {
     "scan_labelled": """SELECT doc_id, length(text) AS text_length, CAST(toxic AS BIGINT) AS toxic,
   CAST(quality AS BIGINT) AS quality FROM documents JOIN labels USING (doc_id)""",
@@ -260,7 +357,10 @@ FROM conversations, (VALUES ('rows'), ('columns')) t(form) GROUP BY ALL""",
   FROM documents
   UNION ALL
   SELECT 'latin', unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'))
-  FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{ff}]'))
+  FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{ff}]')
+  UNION ALL
+  SELECT 'windows', unnest(string_split_regex(translate(text, '.,', '…‚'), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'))
+  FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{7f}\x{a0}-\x{ff}]'))
 SELECT encoding, md5(v) AS line_md5, count(*) AS n FROM l GROUP BY ALL""",
     "tagged_lines": f"""WITH {TURNS}
 SELECT role AS tag, CAST(list_position(['system', 'user', 'assistant'], role) - 1 AS BIGINT) AS tag_no, count(*) AS lines,
@@ -422,4 +522,60 @@ SELECT metric, round(x, 6) AS baseline, round(y, 6) AS augmented, round(y - x, 6
   UNION ALL SELECT 3 FROM cand)
 SELECT CAST(k AS BIGINT) AS class_idx, ['1 0 0 0', '0 1 0 0', '0 0 1 0', '0 0 0 1'][k + 1] AS one_hot, count(*) AS n
 FROM r GROUP BY k""",
+    "multiclass_rows": f"""WITH {TURNS}, {CANDIDATES}, {CLASS_ROWS}
+SELECT row_id, CAST(class_idx AS BIGINT) AS class_idx, md5(text) AS text_md5 FROM real""",
+    "encode_cut": f"""WITH t AS ({numbered('documents', 'doc_id', words('lower(text)'), 'pos', 'word')}),
+c AS (SELECT word, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS f FROM t GROUP BY word),
+k AS (SELECT * FROM c ORDER BY n DESC, f LIMIT 50000),
+v AS (SELECT word, 1 + row_number() OVER (ORDER BY n DESC, f) AS id FROM k WHERE n >= 2),
+e AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (word) WHERE pos < 200 GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN e USING (doc_id))
+SELECT doc_id, {ids_text('(ids || list_transform(range(200 - len(ids)), lambda i: 0))')} AS ids, CAST(len(ids) AS BIGINT) AS length FROM x""",
+    "class_scores": f"""WITH {LAB}, {SPLIT}, {TERMS}, {FIT}, unseen AS (SELECT * FROM parts WHERE split <> 'train'),
+{gram_counts("seen", "unseen", "doc_id")}, {linear_sums("s", "seen", three_classes(7))},
+p AS (SELECT doc_id, {", ".join(f"{e} AS e{k}" for k, e in enumerate(EXP3))} FROM unseen LEFT JOIN s ON s.k = doc_id)
+SELECT doc_id, CAST(CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS BIGINT) AS prediction,
+  {", ".join(f"round(e{k} / (e0 + e1 + e2), 6) AS p{k}" for k in range(3))} FROM p""",
+    "pool_generations": f"""WITH {LAB}, {TERMS}, {FIT}, {LINES}, pool AS (
+  SELECT doc_id, line_no, doc_id || ':' || line_no AS k, text, len({wordpunct('text')}) BETWEEN 3 AND 19 AS fits FROM lines),
+{pool_model(0, "pool")}, {pool_survivors(0)}, {pool_model(1, "s0")}, {pool_survivors(1)}, {pool_model(2, "s1")}
+SELECT CAST(0 AS BIGINT) AS generation, doc_id, line_no, CAST(score AS DOUBLE) AS score FROM g0
+UNION ALL SELECT 1, doc_id, line_no, score FROM g1 UNION ALL SELECT 2, doc_id, line_no, score FROM g2""",
+    # At an optimum every slope of the loss is 0, whatever the solver.
+    "lr_optimality": f"""WITH {LAB}, {SPLIT}, train AS (SELECT * FROM parts WHERE split = 'train'), {gram_counts("seen", "train", "doc_id")}
+SELECT (SELECT count(*) FROM train) AS rows, least(50000, count(DISTINCT term)) AS terms,
+  CAST((SELECT count(*) FROM train) AS DOUBLE) AS weight_sum, CAST(1 AS BIGINT) AS flat_by_coefficient,
+  CAST(0 AS DOUBLE) AS slope_by_intercept FROM seen""",
+    "class_optimality": f"""WITH {LAB}, {SPLIT}, {FLAGGED}, {TAGGED},
+train AS (SELECT tag || ':' || doc_id AS k, t.text FROM tagged AS t JOIN parts USING (doc_id)
+  WHERE split = 'train' AND regexp_matches(t.text, '{NON_WS}')), {gram_counts("seen", "train", "k")}
+SELECT (SELECT count(*) FROM train) AS rows, least(50000, count(DISTINCT term)) AS terms,
+  CAST((SELECT count(*) FROM train) AS DOUBLE) AS weight_sum, CAST(1 AS BIGINT) AS flat_by_coefficient,
+  CAST(0 AS DOUBLE) AS slope_by_intercept FROM seen""",
+    "fixed_predictions": f"""WITH {LAB}, {SPLIT}, {TERMS}, {FIT}, test AS (SELECT doc_id, label, text FROM parts WHERE split = 'test'),
+{two_models("test", "doc_id")}
+SELECT doc_id, CAST(label AS BIGINT) AS label, CAST(CAST(prob_b > 0.5 AS INTEGER) AS BIGINT) AS pred_b,
+  CAST(CAST(prob_a > 0.5 AS INTEGER) AS BIGINT) AS pred_a, prob_b, prob_a FROM rated""",
+    "fixed_report": f"""WITH {LAB}, {SPLIT}, {TERMS}, {FIT}, {CANDIDATES},
+test AS (SELECT doc_id, label, text FROM parts WHERE split = 'test'),
+{two_models("test", "doc_id")}, {group_metrics("setting", "both_settings")},
+n AS (SELECT count(*) AS train, count(*) FILTER (label = 1) AS toxic,
+  (SELECT count(*) FROM cand WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS added FROM parts WHERE split = 'train'),
+sizes AS (
+  SELECT 'train_original' AS metric, train AS value FROM n UNION ALL SELECT 'original_toxic', toxic FROM n
+  UNION ALL SELECT 'original_nontoxic', train - toxic FROM n UNION ALL SELECT 'generated_cleaned', added FROM n
+  UNION ALL SELECT 'train_augmented', train + added FROM n UNION ALL SELECT 'augmented_toxic', toxic + added FROM n
+  UNION ALL SELECT 'test_size', count(*) FROM test)
+SELECT setting, metric, round(value, 6) AS value FROM long
+UNION ALL SELECT 'sizes', metric, CAST(value AS DOUBLE) FROM sizes
+UNION ALL SELECT 'delta', metric, round(a.value - b.value, 6)
+  FROM (SELECT * FROM long WHERE setting = 'augmented') a JOIN (SELECT * FROM long WHERE setting = 'baseline') b USING (metric)""",
+    "cross_dataset_fixed": f"""WITH {LAB}, {SPLIT}, {TERMS}, {FIT}, {LINES}, {THREE_WAY}, {ANNOTATED},
+outside AS (
+  SELECT 'three_way:' || k AS id, 'three_way' AS dataset, text, label FROM tw
+  UNION ALL SELECT 'annotated:' || k, 'annotated', text, label FROM an
+  UNION ALL SELECT 'lang:' || doc_id, 'lang_' || coalesce(lang, 'None'), p.text, label
+    FROM parts AS p JOIN documents USING (doc_id) WHERE split <> 'train'),
+{two_models("outside", "id")}, joined AS (SELECT dataset || '|' || setting AS g, * FROM both_settings), {group_metrics("g", "joined")}
+SELECT 'fixed' AS model, split_part(g, '|', 2) AS setting, split_part(g, '|', 1) AS dataset, metric, round(value, 6) AS value FROM long""",
 }

@@ -18,6 +18,7 @@ from civitext.operators import (
     labels,
     metrics,
     neutral_pool,
+    pool_cycle,
     sampling,
     similarity,
     splitting,
@@ -39,6 +40,13 @@ QUERY_CAPS = {"train": 50, "val": 5, "test": 5}
 QUERY_SAMPLE = 50
 QUERY_FALLBACK = 100
 UNSEEN_ID = 1_000_000_000
+# An ellipsis and a low quote.
+SIGNS = "\u2026\u201a"
+# Digits that scores of fixed models are rounded to before they are compared.
+SCORE_DIGITS = 6
+GENERATIONS = 2
+# Slopes of a fitted model, over the number of training rows, below which it is at its optimum.
+FLAT = 1e-5
 
 
 def query(fn: Query) -> Query:
@@ -112,13 +120,17 @@ def gen_json_roundtrip(spark, sf):
 @query
 def read_text_robust(spark, sf):
     docs = src.texts(spark, sf).select("text")
-    utf8, latin = stage_path(spark, "utf8"), stage_path(spark, "latin")
-    docs.write.text(utf8)
+    paths = {name: stage_path(spark, name) for name in ("utf8", "latin", "windows")}
+    docs.write.text(paths["utf8"])
     one_byte = docs.filter(~F.col("text").rlike(r"[^\x00-\xff]"))
-    one_byte.select(F.encode("text", "ISO-8859-1").cast("string").alias("value")).write.text(latin)
+    one_byte.select(F.encode("text", "ISO-8859-1").cast("string").alias("value")).write.text(paths["latin"])
+    # Signs that only the Windows code page has, as the bytes it has them at.
+    signs = one_byte.filter(~F.col("text").rlike(r"[\x80-\x9f]")).select(F.translate("text", ".,", SIGNS).alias("text"))
+    as_bytes = F.encode(F.translate("text", textlines.C1_TO, textlines.C1_FROM), "ISO-8859-1")
+    signs.select(as_bytes.cast("string").alias("value")).write.text(paths["windows"])
     parts = [
         textlines.read_text_lines(spark, path).select(F.lit(name).alias("encoding"), "value")
-        for name, path in (("utf8", utf8), ("latin", latin))
+        for name, path in paths.items()
     ]
     return (
         reduce(DataFrame.unionByName, parts)
@@ -214,16 +226,7 @@ def adapt_threeway(spark, sf):
 
 @query
 def adapt_annotated(spark, sf):
-    turn, conv = F.col("turn"), F.col("conv_id")
-    votes = [turn % 3, (turn + conv) % 3, F.length("text") % 3]
-    annotators = F.array(*[F.struct(v.cast("int").alias("label")) for v in votes])
-    posts = table(spark, sf, "conversations").select(
-        "conv_id",
-        "turn",
-        F.split("text", " ").alias("post_tokens"),
-        F.when(turn % 4 != 3, annotators).alias("annotators"),
-        F.when(conv % 5 != 0, (conv % 3).cast("int")).alias("label"),
-    )
+    posts = src.annotated_posts(spark, sf)
     rows = adapters.adapt("annotated", posts, carry=("conv_id", "turn"))
     return rows.select("conv_id", "turn", big("label"), F.md5("text").alias("text_md5"))
 
@@ -266,6 +269,14 @@ def encode_framed(spark, sf):
     return framed.select("doc_id", big("line_no"), sequences.ids_to_text(F.col("ids")).alias("ids"))
 
 
+@query
+def encode_cut(spark, sf):
+    docs = src.texts(spark, sf).select("doc_id", text.words(F.lower("text")).alias("tokens"))
+    vocab = stage(vocabulary.vocab_topk(docs, F.col("tokens"), "doc_id"), "vocab")
+    coded = encoding.encode_cut(docs, vocab, ["doc_id"])
+    return coded.select("doc_id", sequences.ids_to_text(F.col("ids")).alias("ids"), big("length"))
+
+
 @query
 def neutral_candidates(spark, sf):
     pages = src.texts(spark, sf, "pages", "page_id", "html").toDF("doc_id", "text")
@@ -598,17 +609,28 @@ def metric_delta(spark, sf):
     )
 
 
+def _class_rows(spark, sf):
+    """(row_id, text, class_idx): lines of turns by role, and candidates as a class of their own."""
+    real = src.turns(spark, sf).select(F.concat_ws(":", "conv_id", "turn", "line_no").alias("row_id"), "tag", "text")
+    synthetic = src.candidates(spark, sf).select(F.concat_ws(":", F.lit("added"), *LINE_KEYS).alias("row_id"), "text")
+    tags = textlines.order_tags(["user", "assistant", "system"], "system")
+    return labels.class_training_table(real, synthetic, tags, neutral="system"), len(tags) + 1
+
+
 @query
 def multiclass_table(spark, sf):
-    tags = textlines.order_tags(["user", "assistant", "system"], "system")
-    number = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag")) - 1
-    real = src.turns(spark, sf).filter(text.is_nonblank(F.col("text"))).select(number.alias("class_idx"))
-    synthetic = src.candidates(spark, sf).select(F.lit(len(tags)).cast("bigint").alias("class_idx"))
-    counts = real.unionByName(synthetic).groupBy("class_idx").agg(F.count(F.lit(1)).alias("n"))
-    hot = scores.one_hot(F.col("class_idx"), len(tags) + 1).cast("array<int>").cast("array<string>")
+    rows, classes = _class_rows(spark, sf)
+    counts = rows.groupBy(big("class_idx")).agg(F.count(F.lit(1)).alias("n"))
+    hot = scores.one_hot(F.col("class_idx"), classes).cast("array<int>").cast("array<string>")
     return counts.select("class_idx", F.array_join(hot, " ").alias("one_hot"), "n")
 
 
+@query
+def multiclass_rows(spark, sf):
+    rows, _ = _class_rows(spark, sf)
+    return rows.select("row_id", big("class_idx"), F.md5("text").alias("text_md5"))
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -668,21 +690,191 @@ def experiment_report(spark, sf):
     return long.select("model", "setting", "metric", r6(F.col("value"), "value"))
 
 
+def _outside_sets(spark, sf, labelled):
+    """Loaders of the sets models are tried on: adapted posts, labelled rows by language, and one that is not there."""
+
+    def three_way():
+        posts = src.lines(spark, sf).withColumnRenamed("text", "tweet")
+        posts = posts.withColumn("class", ((F.col("doc_id") + F.col("line_no")) % 4 - 1).cast("int"))
+        rows = adapters.adapt("three_way", posts, carry=tuple(LINE_KEYS))
+        return rows.withColumn("row_id", F.concat_ws(":", *LINE_KEYS))
+
+    def annotated():
+        rows = adapters.adapt("annotated", src.annotated_posts(spark, sf), carry=("conv_id", "turn"))
+        return rows.withColumn("row_id", F.concat_ws(":", "conv_id", "turn"))
+
+    def of(lang):
+        return lambda: labelled.filter(F.col("lang").eqNullSafe(F.lit(lang))).select("row_id", "text", "label")
+
+    sets = {"three_way": three_way, "annotated": annotated}
+    # One set for each language that occurs; rows without one are a set too.
+    sets |= {f"lang_{r['lang']}": of(r["lang"]) for r in labelled.select("lang").distinct().collect()}
+    sets["absent"] = lambda: spark.read.parquet(f"{sf}/no_such_table.parquet")
+    return sets
+
+
+def _cross_dataset(spark, sf, rows, fitted, **options):
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    # Only rows that no model was fitted on.
+    labelled = stage(rows.filter(F.col("split") != "train").join(langs, "doc_id"), "labelled")
+    wide = experiment.cross_dataset(fitted, _outside_sets(spark, sf, labelled), **options)
+    long = metrics.long_metrics(wide, ["model", "setting", "dataset"])
+    return long.select("model", "setting", "dataset", "metric", r6(F.col("value"), "value"))
+
+
 @query
 def cross_dataset(spark, sf):
     rows, fitted = _fitted(spark, sf)
-    langs = table(spark, sf, "documents").select("doc_id", "lang")
-    # Only rows that no model was fitted on.
-    labelled = rows.filter(F.col("split") != "train").join(langs, "doc_id")
+    return _cross_dataset(spark, sf, rows, fitted).drop("setting")
 
-    def of(lang):
-        return lambda: labelled.filter(F.col("lang") == lang).select("row_id", "text", "label")
 
-    # One set for each language that occurs.
-    sets = {r["lang"]: of(r["lang"]) for r in labelled.select("lang").distinct().collect()}
-    sets["absent"] = lambda: spark.read.parquet(f"{sf}/no_such_table.parquet")
-    long = metrics.long_metrics(experiment.cross_dataset(fitted, sets), ["model", "dataset"])
-    return long.select("model", "dataset", "metric", r6(F.col("value"), "value"))
+@query
+def cross_dataset_fixed(spark, sf):
+    """The same evaluation of models whose coefficients follow a rule, so that SQL can follow."""
+    rows = stage(src.split_texts(spark, sf).withColumn("row_id", F.col("doc_id").cast("string")), "split_texts")
+    return _cross_dataset(spark, sf, rows, _fixed_models(spark, sf), setting=None, digits=SCORE_DIGITS)
+
+
+def _fixed_terms(spark, sf):
+    """(idx, term, idf) of all labelled texts."""
+    counts = _term_counts(spark, sf)
+    return stage(tfidf.numbered_terms(tfidf.top_terms(counts), src.label_rows(spark, sf).count()), "terms")
+
+
+def _fixed_models(spark, sf):
+    """Baseline and augmented two-class models with coefficients by a fixed rule."""
+    terms = _fixed_terms(spark, sf)
+    rules = {"baseline": (7, 23, -0.3), "augmented": (5, 19, 0.1)}
+    return {
+        ("fixed", setting): classifier.TextClassifier(
+            terms.withColumn("coef", ((F.col("idx") * step) % size - size // 2) / 5.0), intercept
+        )
+        for setting, (step, size, intercept) in rules.items()
+    }
+
+
+def _fixed_scorer(spark, sf, step, key, terms=None):
+    """Three-class scorer with coefficients by a fixed rule."""
+    terms = _fixed_terms(spark, sf) if terms is None else terms
+    classes = F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("class")
+    coefs = terms.select("idx", classes).withColumn("coef", ((F.col("idx") * step + F.col("class") * 5) % 23 - 11) / 5.0)
+    return classifier.ClassScorer(terms, coefs, [0.0, 0.1, 0.2], key)
+
+
+def _fixed_test(spark, sf):
+    rows = src.split_texts(spark, sf).withColumn("row_id", F.col("doc_id").cast("string"))
+    return stage(rows, "split_texts")
+
+
+@query
+def fixed_predictions(spark, sf):
+    """The prediction table of two models with fixed coefficients, written and read."""
+    test = _fixed_test(spark, sf).filter(F.col("split") == "test").select("row_id", "text", "label")
+    scored = stage(experiment.score_all(_fixed_models(spark, sf), test, digits=SCORE_DIGITS), "scored")
+    base, augmented = (scored.filter(F.col("setting") == s) for s in ("baseline", "augmented"))
+    path = stage_path(spark, "predictions")
+    reports.write_predictions(reports.prediction_table(base, augmented), path)
+    read = spark.read.parquet(path)
+    return read.select(
+        F.col("row_id").cast("bigint").alias("doc_id"), *[big(c) for c in ("label", "pred_b", "pred_a")], "prob_b", "prob_a"
+    )
+
+
+@query
+def fixed_report(spark, sf):
+    """The experiment's report of two models with fixed coefficients, written and read."""
+    rows = _fixed_test(spark, sf)
+    test = rows.filter(F.col("split") == "test").select("row_id", "text", "label")
+    train = rows.filter(F.col("split") == "train")
+    in_domain = experiment.evaluate(_fixed_models(spark, sf), test, digits=SCORE_DIGITS)
+    report = experiment.report(train, _outside_candidates(spark, sf), test, in_domain)
+    path = stage_path(spark, "report")
+    reports.write_report(report, path)
+    read = spark.read.schema(report.schema).json(path)
+    long = metrics.long_metrics(read.select(F.inline("in_domain")), ["setting"])
+    sizes = ["train_original", "original_toxic", "original_nontoxic", "generated_cleaned", "train_augmented", "augmented_toxic", "test_size"]
+    counts = read.select(F.lit("sizes").alias("setting"), *[F.col(c).cast("double").alias(c) for c in sizes])
+    deltas = read.select(F.inline("improvement")).select(F.lit("delta").alias("setting"), "metric", F.col("delta").alias("value"))
+    parts = [long, counts.unpivot(["setting"], sizes, "metric", "value"), deltas]
+    return reduce(DataFrame.unionByName, parts).select("setting", "metric", r6(F.col("value"), "value"))
+
+
+@query
+def lr_optimality(spark, sf):
+    """What the fit of the baseline model has seen, and that its loss is flat where it ended."""
+    train = stage(src.split_texts(spark, sf).filter(F.col("split") == "train"), "train")
+    model = classifier.fit_text_classifier(train, "doc_id")
+    return _optimality(train, model, classifier.binary_gradient(model, train), labels.class_weights(train), "label")
+
+
+def _optimality(train, model, gradient, balance, label):
+    n = train.count()
+    slopes = classifier.optimality(gradient).withColumn("_one", F.lit(1))
+    weights = train.select(F.col(label).alias("label")).join(F.broadcast(balance), "label")
+    totals = weights.agg(F.count(F.lit(1)).alias("rows"), r6(F.sum("weight"), "weight_sum")).withColumn("_one", F.lit(1))
+    size = model.terms.agg(F.count(F.lit(1)).alias("terms")).withColumn("_one", F.lit(1))
+    # Aggregates of one row each.
+    return totals.join(size, "_one").join(slopes, "_one").select(
+        "rows", "terms", "weight_sum",
+        (F.col("largest") <= FLAT * n).cast("bigint").alias("flat_by_coefficient"),
+        F.round(F.col("intercepts") / n, 4).alias("slope_by_intercept"),
+    )
+
+
+def _class_train(spark, sf):
+    """(row_id, text, class_idx) of the tagged training texts: neutral, toxic, low quality."""
+    train = src.split_rows(spark, sf).filter(F.col("split") == "train").select("doc_id")
+    tagged = labels.class_table(src.flagged(spark, sf).join(train, "doc_id"), FLAG_COLUMNS, FLAG_COLUMNS, carry=("doc_id",))
+    real = tagged.select(F.concat_ws(":", "tag", "doc_id").alias("row_id"), "tag", "text")
+    return labels.class_training_table(real, None, ["nor", *FLAG_COLUMNS])
+
+
+@query
+def class_optimality(spark, sf):
+    """As `lr_optimality`, of the K-class scorer on the tagged training texts."""
+    train = stage(_class_train(spark, sf), "class_train")
+    model = classifier.fit_class_scorer(train)
+    balance = labels.class_weights(train.select(F.col("class_idx").alias("label")))
+    return _optimality(train, model, classifier.class_gradient(model, train), balance, "class_idx")
+
+
+@query
+def class_scores(spark, sf):
+    """Probabilities of three classes for texts outside the training split, coefficients by a fixed rule."""
+    rows = stage(src.split_texts(spark, sf).filter(F.col("split") != "train"), "unseen")
+    scored = _fixed_scorer(spark, sf, 7, "doc_id").score(rows.select("doc_id", "text"))
+    probs = [F.round(F.col("probs")[k], SCORE_DIGITS).alias(f"p{k}") for k in range(3)]
+    return scored.select("doc_id", big("prediction"), *probs)
+
+
+@query
+def class_fit_scores(spark, sf):
+    """A K-class scorer fitted on the tagged training texts, saved, loaded, and its scores of the test texts."""
+    path = stage_path(spark, "class_scorer")
+    classifier.fit_class_scorer(stage(_class_train(spark, sf), "class_train")).save(path)
+    rows = src.split_texts(spark, sf).filter(F.col("split") == "test").select(F.col("doc_id").alias("row_id"), "text")
+    scored = classifier.ClassScorer.load(spark, path).score(stage(rows, "test"))
+    probs = [r6(F.col("probs")[k], f"p{k}") for k in range(3)]
+    return scored.select(F.col("row_id").alias("doc_id"), big("prediction"), *probs)
+
+
+@query
+def pool_generations(spark, sf):
+    """Three generations of the pool of all lines, each scored by a model of its own with fixed coefficients."""
+    rows = src.lines(spark, sf).withColumn("row_id", F.concat_ws(":", *LINE_KEYS))
+    terms = _fixed_terms(spark, sf)
+
+    def model(generation):
+        scorer = _fixed_scorer(spark, sf, generation + 3, "row_id", terms)
+        return pool_cycle.class_model(scorer, 0, SCORE_DIGITS)
+
+    cycle = pool_cycle.PoolCycle(spark, stage_path(spark, "pool"), LINE_KEYS)
+    cycle.run(rows, model, GENERATIONS)
+    parts = [
+        cycle.read(g).select(F.lit(g).cast("bigint").alias("generation"), "doc_id", big("line_no"), "score")
+        for g in range(GENERATIONS + 1)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
