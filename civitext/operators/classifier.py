@@ -121,9 +121,11 @@ def coefficient_table(terms: DataFrame, coefs: pd.DataFrame) -> DataFrame:
     return terms.join(F.broadcast(table), "idx", "left").fillna(0.0, ["coef"])
 
 
-def _prepared(train: DataFrame, key: str, label: str, max_terms: int, weights: DataFrame | None) -> tuple:
+def _prepared(
+    train: DataFrame, key: str, label: str, max_terms: int, weights: DataFrame | None, counts: DataFrame | None = None
+) -> tuple:
     """(terms, vectors with label and weight, sum of weights) of a training set."""
-    counts = stage(term_counts(train, key), "term_counts")
+    counts = stage(term_counts(train, key), "term_counts") if counts is None else counts
     terms = stage(numbered_terms(top_terms(counts, max_terms), train.count()), "terms")
     balance = stage(balance_of(train, label, weights), "class_weights").withColumnRenamed("label", "_label")
     rows = train.select(key, F.col(label).cast("int").alias("label"))
@@ -144,13 +146,16 @@ def fit_text_classifier(
     c: float = 1.0,
     max_terms: int = MAX_TERMS,
     weights: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> TextClassifier:
     """Fit on (key, text, label). `weights` (label, weight) replaces the balanced ones.
 
+    `counts`, the `term_counts` of these rows if they are at hand, save cutting the texts.
+
     The intercept is not penalized; the penalty on the rest matches a summed
     loss with inverse strength `c`.
     """
-    terms, vectors, total = _prepared(train, key, "label", max_terms, weights)
+    terms, vectors, total = _prepared(train, key, "label", max_terms, weights, counts)
     lr = LogisticRegression(weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=MAX_ITER, tol=TOLERANCE)
     model: LogisticRegressionModel = lr.fit(vectors)
     found = model.coefficients.toArray()

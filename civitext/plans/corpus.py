@@ -50,8 +50,11 @@ def encode_framed(
 def build_corpus(
     df: DataFrame, keys: list[str], text: str = "text", max_len: int = MAX_SEQ_LENGTH
 ) -> Corpus:
-    """Vocabulary over all lines, ids for those that fit. `keys` give the reading order."""
-    tokens = tokenized(df, keys, text)
+    """Vocabulary over all lines, ids for those that fit. `keys` give the reading order.
+
+    Tokens are staged: the vocabulary and the encoding read them, texts are cut once.
+    """
+    tokens = stage(tokenized(df, keys, text), "tokens")
     vocab = stage(vocab_first_seen(tokens, F.col("tokens"), *keys), "vocab")
     return Corpus(tokens, vocab, encode_corpus(tokens, vocab, keys, max_len), keys)
 
