@@ -179,7 +179,7 @@ def test_anchors_of_several_widths_raise_and_odd_candidates_are_null(spark):
     anchors = spark.createDataFrame([(0, [0.0, 1.0]), (1, None), (2, [None, 1.0]), (3, [])], schema)
     anchors = anchors.unionByName(spark.createDataFrame([(7, [-1.0, 0.0])], schema))
     for block in (None, 1):
-        got = similarity.max_anchor_cosine(spark.createDataFrame(rows, schema), anchors, "vec_id", "embedding", block=block, cell=2)
+        got = similarity.max_anchor_cosine(spark.createDataFrame(rows, schema), anchors, "vec_id", "embedding", block=block)
         assert {r.vec_id: r.max_cos for r in got.collect()} == {1: 0.0, 2: None, 3: None, 4: None, 5: None, 6: 0.0}
     stray = anchors.unionByName(spark.createDataFrame([(9, [1.0, 1.0, 1.0])], schema))
     with pytest.raises(ValueError, match="widths"):
@@ -198,6 +198,39 @@ def test_anchor_cosine_small_and_blocked_against_brute_force(spark):
     unit = vecs.astype("float64") / np.linalg.norm(vecs.astype("float64"), axis=1, keepdims=True)
     want = {i: v for i, v in enumerate((unit[:60] @ unit[60:].T).max(axis=1))}
     small = {r.vec_id: r.max_cos for r in similarity.max_anchor_cosine(cands, anchors, "vec_id", "embedding").collect()}
-    blocked = similarity.max_anchor_cosine(cands, anchors, "vec_id", "embedding", block=8, cell=20)
-    blocked = {r.vec_id: r.max_cos for r in blocked.collect()}
-    assert small == pytest.approx(want) and blocked == pytest.approx(want)
+    for block, pivots in ((8, 5), (1, 40), (29, 1)):
+        ringed = similarity.max_anchor_cosine(cands, anchors, "vec_id", "embedding", block=block, pivots=pivots)
+        assert {r.vec_id: r.max_cos for r in ringed.collect()} == pytest.approx(want)
+    assert small == pytest.approx(want)
+    # Candidates are read where they are: the plan has one scan and no exchange.
+    assert "Exchange" not in ringed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_skip_blocks_and_keep_the_maximum(spark, monkeypatch):
+    """Anchors in tight groups: few of the blocks are read; vectors without a direction are found too."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    anchors = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=5) * 0.01]) for i in range(120)]
+    cands = [(i, [float(x) for x in centres[i % 6] * 3 + rng.normal(size=5) * 0.01]) for i in range(60)]
+    cands += [(100, [0.0] * 5), (101, [float(-x) for x in centres[0]])]
+    schema = "vec_id bigint, embedding array<double>"
+    seen, real = [], similarity.parquet.read_table
+    a, c = np.array([v for _, v in anchors]), np.array([v for _, v in cands])
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+    for zero in (False, True):
+        more = [*anchors, (999, [0.0] * 5)] if zero else anchors
+        want = (norm(c) @ norm(np.array([v for _, v in more])).T).max(axis=1)
+        frame, captured = spark.createDataFrame(cands, schema).coalesce(1), []
+        monkeypatch.setattr(type(frame), "mapInArrow", lambda df, f, s, keep=type(frame).mapInArrow: (captured.append(f), keep(df, f, s))[1])
+        got = similarity.max_anchor_cosine(frame, spark.createDataFrame(more, schema), "vec_id", "embedding", block=10, pivots=12)
+        monkeypatch.undo()
+        assert {r.vec_id: r.max_cos for r in got.collect()} == pytest.approx({k: w for (k, _), w in zip(cands, want)})
+        # The task's function, run here on one group's candidates, to see which blocks it reads.
+        seen.clear()
+        monkeypatch.setattr(similarity.parquet, "read_table", lambda path, **kw: (seen.append(path), real(path, **kw))[1])
+        group = [r for r in cands[:60] if r[0] % 6 == 2]
+        batch = similarity.pa.RecordBatch.from_pydict({"vec_id": [k for k, _ in group], "embedding": [v for _, v in group]})
+        list(captured[-1](iter([batch])))
+        monkeypatch.undo()
+        assert 1 <= len(seen) <= 5
+    assert a.shape == (120, 5)
