@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ _BUFFER = 1 << 21  # grams counted at once
 LEAST_SEEN = 2
 # Starts of words, the most frequent ones, that are broadcast with their values (12 bytes each); others are joined.
 HEAD_STARTS = 1 << 21
-_WORDS = 1 << 18  # bytes of words numbered at once
+_WORDS = 1 << 16  # bytes of words numbered at once
 # What a word's ratio has to exceed to count as a peak.
 WORD_PEAK = 1.5
 _FEATURES = ["mean", "peaks", "brief", "word_mean", "word_peaks", "word_sum"]
@@ -139,6 +140,16 @@ class _Values:
         sizes = np.bincount((self.keys[:-1] >> self.shift).astype(np.int64), minlength=1 << bits)
         self.begin = np.concatenate(([0], np.cumsum(sizes[:-1]))).astype(np.int32)
 
+    def __len__(self) -> int:
+        return len(self.keys) - 1
+
+    @classmethod
+    def of(cls, held: dict) -> _Values:
+        """The values whose attributes are `held`: arrays are sent without the class, which executors may not have."""
+        values = cls.__new__(cls)
+        values.__dict__.update(held)
+        return values
+
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, value) of each key, 0 where it is not known."""
         asked = asked.view(np.uint64)
@@ -215,7 +226,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class WordModel:
     """What each start of a word adds to its ratio: the most frequent ones, and a table of the others, if any."""
 
-    head: tuple[np.ndarray, np.ndarray]
+    head: _Values
     tail: DataFrame | None = None
     filled: np.ndarray | None = None
 
@@ -230,6 +241,14 @@ class ToxicModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(_FEATURES) + 1))
     prior: float = 0.0
     words: WordModel | None = None
+    sent: Broadcast | None = None
+
+    def send(self, spark: SparkSession) -> Broadcast:
+        """What tasks need of the models, sent once."""
+        if self.sent is None:
+            tables = _table_of(self.grams, self.ratios, self.contexts)
+            self.sent = spark.sparkContext.broadcast((*tables, vars(self.words.head), self.words.filled))
+        return self.sent
 
 
 def _table_of(grams: np.ndarray, ratios: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,15 +385,15 @@ def _word_model(read: DataFrame, head_starts: int = HEAD_STARTS) -> WordModel:
     fit = sizes["n"][sizes["count"].cumsum() <= head_starts]
     least = int(fit.min()) if len(fit) else None
     in_head = F.col("n") >= least if least is not None else F.lit(False)
-    head = table.filter(in_head).select("key", "value").toArrow().sort_by("key")
-    columns = head["key"].to_numpy().astype(np.int64), head["value"].to_numpy().astype(np.float32)
+    head = table.filter(in_head).select("key", "value").toArrow()
+    values = _Values(head["key"].to_numpy().astype(np.int64), head["value"].to_numpy().astype(np.float32))
     unstage(starts)
     unstage(valued)
     if len(fit) == len(sizes):
         unstage(table)
-        return WordModel(columns)
+        return WordModel(values)
     tail = table.filter(~in_head).select("key", "value")
-    return WordModel(columns, tail, _filter_of(tail.select(F.col("key").alias("seed"))))
+    return WordModel(values, tail, _filter_of(tail.select(F.col("key").alias("seed"))))
 
 
 _ASKED = {"key": "long", "word": "long", "base": "float", "times": "int"}
@@ -401,7 +420,7 @@ def word_features(texts: list[str | None], head: _Values, filled: np.ndarray | N
     out, asked = np.zeros((len(texts), 3)), [[] for _ in texts]
     out[:, 2] = [n for _, n in forms]
     has = np.flatnonzero(out[:, 2])
-    if sum(len(raw) for raw, _ in forms) <= 2 * _WORDS:  # all in one
+    if sum(len(raw) for raw, _ in forms) <= 4 * _WORDS:  # all in one
         blocks = [(has, b"".join(raw for raw, _ in forms))] if len(has) else []
     else:
         blocks = [(np.array([i]), block) for i in has for block in _blocks(forms[i][0])]
@@ -437,17 +456,15 @@ def _grouped(texts: pa.Array) -> Iterator[list[str | None]]:
 
 def _local_features(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
     """Features of a text without what the tail of the word model adds, and what to ask it for."""
-    shipped = spark.sparkContext.broadcast((model.grams, model.ratios, model.contexts))
-    words_at = spark.sparkContext.broadcast((model.words.head, model.words.filled))
+    sent = model.send(spark)
     figures = ["mean", "peaks", "brief", "value", "peak"]
     kinds = [f"{c} double" for c in figures] + ["words int"] + [f"{c} array<{t}>" for c, t in _ASKED.items()]
     arrow = (pa.int64(), pa.int64(), pa.float32(), pa.int32())
 
     @F.arrow_udf(", ".join(kinds))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        row_of, rows = _table_of(*shipped.value)
-        head, filled = words_at.value
-        head = _Values(*head)
+        row_of, rows, held, filled = sent.value
+        head = _Values.of(held)
         for texts in batches:
             found, asked = [], []
             for group in _grouped(texts):
