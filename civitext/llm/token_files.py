@@ -30,7 +30,7 @@ END_ID = 0
 # A missing key in a file of keys.
 NO_KEY = -(1 << 63)
 # Bytes of pieces of text and their ids that a Python worker keeps; beyond that it starts anew.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 384 << 20
 _SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # White space and what follows it up to the next white space. A byte-level tokenizer never
 # joins a character with white space that comes after it, so pieces are encoded alone.
@@ -62,7 +62,7 @@ class _Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self[piece] = self.learn(piece)
-        self.held += len(piece) + len(ids) + 100
+        self.held += len(piece) + len(ids) + 200
         return ids
 
 
