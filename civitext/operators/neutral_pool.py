@@ -137,13 +137,13 @@ def fewshot_examples(
     key: str = "row_id",
     seed: int = 42,
 ) -> DataFrame:
-    """(rank, text): `k_shots` texts drawn from the `top_n` best non-empty ones.
+    """(rank, text): `k_shots` texts drawn from the non-empty ones of the `top_n` best rows.
 
     With fewer candidates than shots, all of them are taken and the rest is
     drawn from the neutrals that are not among them.
     """
     best = [F.col("score").desc(), *[F.col(c).asc() for c in (order or [key])]]
-    top = first_rows(pool.filter(F.length("text") > 0), top_n, *best)
+    top = first_rows(pool, top_n, *best).filter(F.length("text") > 0)
     drawn = sample_k(top.select(key, "text"), k_shots, key, seed)
     drawn = drawn.select(F.lit(0).alias("_part"), hash_order(key, seed).alias("_h"), "text")
     if neutrals is not None:

@@ -19,6 +19,7 @@ from civitext.operators.classifier import ClassScorer
 from civitext.operators.encoding import sample_length
 from civitext.operators.neutral_pool import EVOLVE_RATE, K_SHOTS, surviving
 from civitext.schemas import MAX_SEQ_LENGTH
+from civitext.session import staging
 from civitext.sources.paths import path_exists
 
 # A model: (rows with a `row_id` and a text) -> (row_id, score).
@@ -76,15 +77,17 @@ class PoolCycle:
         """Generation 0 of (row_id, *keys, text, ...), all rows scored; read back if it is complete."""
         if self.last() is not None:
             return self.read(0)
-        return self._commit(scored_rows(rows, model), 0)
+        with staging(self.spark):
+            return self._commit(scored_rows(rows, model), 0)
 
     def advance(self, model: Model) -> DataFrame:
         """The next generation: survivors of the last one, scored by `model`."""
         last = self.last()
         if last is None:
             raise ValueError("the cycle has not been started")
-        kept = surviving(self.read(last), self.keys, self.rate, self.k_shots)
-        return self._commit(scored_rows(kept, model), last + 1)
+        with staging(self.spark):
+            kept = surviving(self.read(last), self.keys, self.rate, self.k_shots)
+            return self._commit(scored_rows(kept, model), last + 1)
 
     def run(self, rows: DataFrame, models: Callable[[int], Model], generations: int) -> DataFrame:
         """Up to `generations` generations after the first, each with the model of its number.

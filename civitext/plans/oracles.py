@@ -196,8 +196,8 @@ ranked AS (
 pool AS (SELECT * FROM ranked WHERE rank <= greatest(20, least(n, n // 2)))"""
 SHOTS = """shots AS (
   SELECT row_number() OVER (ORDER BY md5('42:' || k), k) AS rank, text
-  FROM (SELECT text, doc_id || ':' || line_no AS k FROM pool WHERE length(text) > 0
-    ORDER BY score DESC, doc_id, line_no LIMIT 100)
+  FROM (SELECT text, doc_id || ':' || line_no AS k FROM pool ORDER BY score DESC, doc_id, line_no LIMIT 100)
+  WHERE length(text) > 0
   ORDER BY md5('42:' || k), k LIMIT 5)"""
 # Fixed text of the few-shot prompt.
 PROMPT = [

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,31 @@ def app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/civitext/{spark.sparkContext.applicationId}"
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owner of what is staged within: it is deleted at the end, also after an error.
+
+    For jobs that write what they make to a place of its own before they end. Scopes can
+    be nested; threads of a job share its scope.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
 
 
 def drop_staged(spark: SparkSession) -> None:

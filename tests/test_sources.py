@@ -147,6 +147,18 @@ def test_staged_tables_can_be_dropped(spark, monkeypatch, tmp_path):
     assert not list((tmp_path / "civitext").iterdir())
 
 
+def test_a_scope_deletes_what_was_staged_in_it(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    kept = stage(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), session.staging(spark):
+        outer = stage(spark.range(4), "outer")
+        with session.staging(spark):
+            assert stage(spark.range(5), "inner").count() == 5
+        assert outer.count() == 4 and len(list(tmp_path.rglob("inner-*"))) == 0
+        raise RuntimeError
+    assert kept.count() == 3 and len(list(tmp_path.rglob("outer-*"))) == 0
+
+
 def test_stream_cleans_like_the_batch(spark, tmp_path):
     src = tmp_path / "in"
     rows = [("a b c", "0"), ("a", "0"), ("unk unk a b", "1"), ("x y <UNK> z w", "1")]
