@@ -15,7 +15,7 @@ from civitext.llm.mixing import mixed_rows
 from civitext.llm.sharding import shard_documents
 from civitext.llm.simhash import drop_near_duplicates
 from civitext.llm.toxicity import drop_toxic
-from civitext.session import stage
+from civitext.session import stage, unstage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
+        if before is not None:  # the next table is committed
+            unstage(before)
+        before = docs
     return docs
