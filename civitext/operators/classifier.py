@@ -26,7 +26,7 @@ from civitext.session import stage, stage_path
 
 MAX_ITER = 1000
 # Least relative progress of the fit: the gradient at the end is small beside the loss.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 ENTRIES_PER_TASK = 4_000_000
 
 

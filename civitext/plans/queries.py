@@ -817,7 +817,7 @@ def _optimality(train, model, gradient, balance, label):
     return totals.join(size, "_one").join(slopes, "_one").select(
         "rows", "terms", "weight_sum",
         (F.col("largest") <= FLAT * n).cast("bigint").alias("flat_by_coefficient"),
-        F.round(F.col("intercepts") / n, 4).alias("slope_by_intercept"),
+        F.round(F.col("intercepts") / n, 3).alias("slope_by_intercept"),
     )
 
 
