@@ -48,7 +48,7 @@ CALIBRATION_FOLD = 4
 # Labelled rows the three calibration weights are fitted on, at most.
 CALIBRATION_ROWS = 20_000
 RIDGE = 1e-3
-_BUFFER = 1 << 21  # grams counted at once
+_BUFFER = 1 << 19  # grams counted at once
 # Count below which a start of a word has no row of its own. No start is rarer than what continues it,
 # so what is left holds every start of its starts.
 LEAST_SEEN = 2
