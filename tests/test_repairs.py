@@ -23,7 +23,7 @@ def test_log_loss_of_certain_scores(spark):
 @pytest.mark.parametrize("block", [None, 1])
 def test_vectors_of_other_widths_and_null_elements(spark, block):
     cands = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, [0.0, 1.0, 1.0, 0.0]), (4, []), (5, None), (6, [1.0, None, 0.0, 0.0]), (7, [1.0] * 6)]
-    anchors = [([1.0, 0.0, 0.0, 0.0],), ([0.0, 1.0, 0.0, 0.0],), ([1.0],), (None,), ([1.0, None, 0.0, 0.0],)]
+    anchors = [([1.0, 0.0, 0.0, 0.0],), ([0.0, 1.0, 0.0, 0.0],), (None,), ([1.0, None, 0.0, 0.0],), ([],)]
     got = max_anchor_cosine(
         spark.createDataFrame(cands, "id long, v array<double>"), spark.createDataFrame(anchors, "v array<double>"), "id", "v", block
     )
