@@ -122,10 +122,11 @@ def refresh_pool(
     pool: DataFrame, keys: list[str], rate: float = EVOLVE_RATE, k_shots: int = K_SHOTS
 ) -> DataFrame:
     """The best rows by score with their `rank`; ranks are settled on scores and keys alone."""
-    kept = surviving(pool, keys, rate, k_shots)
-    order = [F.col("score").desc(), *[F.col(k).asc() for k in keys]]
-    ranks = with_row_number(kept.select(*keys, "score"), order, "rank")
-    return kept.join(ranks.select(*keys, "rank"), keys)
+    # Scores are computed once, here; the rest of the rows is read again for the survivors.
+    narrow = stage(pool.select(*keys, "score"), "pool_scores")
+    kept = surviving(narrow, keys, rate, k_shots)
+    ranks = with_row_number(kept, [F.col("score").desc(), *[F.col(k).asc() for k in keys]], "rank")
+    return pool.drop("score").join(ranks, keys).select(*pool.columns, "rank")
 
 
 def fewshot_examples(
