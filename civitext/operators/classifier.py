@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from civitext.functions.scores import argmax, softmax
 from civitext.operators.labels import class_weights
-from civitext.operators.tfidf import MAX_TERMS, numbered_terms, term_counts, term_sums, top_terms, weigh
+from civitext.operators.tfidf import MAX_TERMS, counted_terms, known_counts, term_sums, weigh, with_idf
 from civitext.session import stage, stage_path
 
 MAX_ITER = 1000
@@ -95,11 +95,11 @@ def score_together(
     """
     names = list(models)
     tables = [
-        m.terms.select(F.lit(no).alias("_no"), "term", "idf", F.array("coef").alias("_coefs")) for no, m in enumerate(models.values())
+        m.terms.select(F.lit(no).alias("_no"), "idx", "term", "idf", "coef") for no, m in enumerate(models.values())
     ]
     # Models times terms: the vocabularies are bounded, the broadcast is checked by its rows.
     terms = stage(reduce(DataFrame.unionByName, tables), "model_terms") if len(tables) > 1 else tables[0]
-    sums = term_sums(term_counts(docs, key, text), terms, key, F.col("_coefs"), 1, ("_no",))
+    sums = term_sums(docs, terms, key, [F.col("coef")], text, ("_no",))
     by_key = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_no", F.col("sums")[0]))).alias("_sums"))
     each = F.array(
         *[
@@ -122,11 +122,11 @@ def coefficient_table(terms: DataFrame, coefs: pd.DataFrame) -> DataFrame:
 
 
 def _prepared(
-    train: DataFrame, key: str, label: str, max_terms: int, weights: DataFrame | None, counts: DataFrame | None = None
+    train: DataFrame, key: str, label: str, max_terms: int, weights: DataFrame | None, totals: DataFrame | None = None
 ) -> tuple:
     """(terms, vectors with label and weight, sum of weights) of a training set."""
-    counts = stage(term_counts(train, key), "term_counts") if counts is None else counts
-    terms = stage(numbered_terms(top_terms(counts, max_terms), train.count()), "terms")
+    counted, counts = counted_terms(train, key, max_terms=max_terms, totals=totals)
+    terms = stage(with_idf(counted, train.count()), "terms")
     balance = stage(balance_of(train, label, weights), "class_weights").withColumnRenamed("label", "_label")
     rows = train.select(key, F.col(label).cast("int").alias("label"))
     rows = rows.join(F.broadcast(balance), F.col("label") == F.col("_label")).select(key, "label", "weight")
@@ -146,16 +146,16 @@ def fit_text_classifier(
     c: float = 1.0,
     max_terms: int = MAX_TERMS,
     weights: DataFrame | None = None,
-    counts: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> TextClassifier:
     """Fit on (key, text, label). `weights` (label, weight) replaces the balanced ones.
 
-    `counts`, the `term_counts` of these rows if they are at hand, save cutting the texts.
+    `totals`, the `term_totals` of these rows if they are at hand, save cutting the texts once.
 
     The intercept is not penalized; the penalty on the rest matches a summed
     loss with inverse strength `c`.
     """
-    terms, vectors, total = _prepared(train, key, "label", max_terms, weights, counts)
+    terms, vectors, total = _prepared(train, key, "label", max_terms, weights, totals)
     lr = LogisticRegression(weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=MAX_ITER, tol=TOLERANCE)
     model: LogisticRegressionModel = lr.fit(vectors)
     found = model.coefficients.toArray()
@@ -183,8 +183,8 @@ class ClassScorer:
         by_class = F.map_from_entries(F.collect_list(F.struct("class", "coef")))
         lists = self.coefs.groupBy("idx").agg(by_class.alias("_by"))
         filled = F.array(*[F.coalesce(F.col("_by")[i], F.lit(0.0)) for i in range(k)])
-        terms = stage(self.terms.join(lists, "idx", "left").select("term", "idf", filled.alias("_coefs")), "class_terms")
-        return term_sums(term_counts(docs, self.key, text), terms, self.key, F.col("_coefs"), k)
+        terms = stage(self.terms.join(lists, "idx", "left").select("idx", "term", "idf", filled.alias("_coefs")), "class_terms")
+        return term_sums(docs, terms, self.key, [F.col("_coefs")[i] for i in range(k)], text)
 
     def score(self, docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
         """The columns of `docs` (the text only with `keep_text`), `probs` of all classes, `prediction`.
@@ -242,7 +242,7 @@ def loss_gradient(
     share = (F.col("prob") - (F.col("label") == F.col("class")).cast("double")) * F.col("weight")
     residual = scores.join(balance, F.col("label") == F.col("_label")).select(key, "class", share.alias("_residual"))
     residual = stage(residual, "residuals")
-    weights = weigh(term_counts(train, key), terms, key).select(key, "idx", F.col("weight").alias("_x"))
+    weights = weigh(known_counts(train, terms, key), terms, key).select(key, "idx", F.col("weight").alias("_x"))
     slopes = weights.join(residual, key).groupBy("class", "idx").agg(F.sum(F.col("_x") * F.col("_residual")).alias("_slope"))
     full = slopes.join(coefs.select("class", "idx", "coef"), ["class", "idx"], "left")
     by_term = full.select("class", "idx", (F.col("_slope") + F.coalesce("coef", F.lit(0.0)) / c).alias("gradient"))

@@ -77,7 +77,11 @@ def top_by_count(df: DataFrame, k: int, count: str, *ties: Column) -> DataFrame:
     for a k of many thousands. A histogram of the counts, which has few distinct
     values, gives the count of the k-th row; only rows that reach it are sorted.
     """
-    staged = stage(df, "counted")
+    return top_of_staged(stage(df, "counted"), k, count, *ties)
+
+
+def top_of_staged(staged: DataFrame, k: int, count: str, *ties: Column) -> DataFrame:
+    """`top_by_count` of a table that is staged already; it is read twice."""
     sizes = staged.groupBy(count).agg(F.count(F.lit(1)).alias("_rows"))
     downward = Window.orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, 0)
     reached = sizes.withColumn("_upto", F.sum("_rows").over(downward)).filter(F.col("_upto") >= k)

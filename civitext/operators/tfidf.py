@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civitext.functions.text import ngram_terms, with_bigrams
-from civitext.operators.ordered import top_by_count
-from civitext.session import broadcast_if_small
+from civitext.operators.ordered import top_by_count, top_of_staged
+from civitext.session import BROADCAST_ROWS, broadcast_if_small, stage
 
 # Fixed value: size of the term vocabulary.
 MAX_TERMS = 50_000
+# Text that one task cuts into terms, and what a row counts besides its text.
+BYTES_PER_TASK = 4 << 20
+ROW_BYTES = 64
 
 
-def term_counts(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(key, term, c). Spread by key once; no later step by key shuffles again."""
-    terms = df.select(key, F.col(text)).repartition(F.col(key))
-    terms = terms.select(key, ngram_terms(F.col(text)).alias("_words"))
+def occurrences(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(key, term): a row for every time that a text holds a term.
+
+    Texts are spread by key once, over as many tasks as their bytes ask for, and no later
+    step by key shuffles again. A number of partitions that is asked for is not coalesced:
+    what a task holds once texts have become terms does not grow with the input.
+    """
+    rows = df.select(key, F.col(text).alias("_text"))
+    size = rows.agg(F.sum(F.octet_length("_text") + ROW_BYTES)).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(size / BYTES_PER_TASK))
+    terms = rows.repartition(tasks, F.col(key)).select(key, ngram_terms(F.col("_text")).alias("_words"))
     terms = terms.select(key, F.explode_outer(with_bigrams(F.col("_words"))).alias("term"))
-    return terms.filter(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
+    return terms.filter(F.col("term").isNotNull())
+
+
+def term_counts(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(key, term, c), spread by key as `occurrences` are."""
+    return occurrences(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
+
+
+def known_counts(
+    df: DataFrame, terms: DataFrame, key: str = "row_id", text: str = "text", by: tuple[str, ...] = ("idx",), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, ...by, ...keep, c): how often a text holds each term of `terms`.
+
+    `by` are whole-number columns of `terms` that name a row of it, `keep` further numbers.
+    Terms outside the table leave before anything is counted, and counting goes by numbers.
+    """
+    numbers = terms.select("term", *by, *keep)
+    if numbers.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        # Too many terms to send: they are counted first, so that a frequent one is a row per text.
+        return term_counts(df, key, text).join(numbers, "term").select(key, *by, *keep, "c")
+    found = occurrences(df, key, text).join(F.broadcast(numbers), "term")
+    return found.groupBy(key, *by).agg(*[F.max(v).alias(v) for v in keep], F.count(F.lit(1)).alias("c"))
+
+
+def term_totals(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(term, tot) of all terms, staged."""
+    return stage(occurrences(df, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("tot")), "term_totals")
+
+
+def counted_terms(
+    df: DataFrame, key: str = "row_id", text: str = "text", max_terms: int = MAX_TERMS, totals: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(idx, term, tot, df) of the `max_terms` most frequent terms, and (key, idx, c) of the texts, both staged.
+
+    The totals alone tell which terms are the most frequent. Only for those, and by their
+    numbers, texts are counted term by term. `totals`, the `term_totals` of the texts if
+    they are at hand, save cutting the texts once more.
+    """
+    totals = term_totals(df, key, text) if totals is None else totals
+    top = top_of_staged(totals, max_terms, "tot", F.col("term").asc())
+    top = stage(top.select((F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), "term", "tot"), "top_terms")
+    counts = stage(known_counts(df, top, key, text), "term_counts")
+    texts = counts.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
+    return stage(top.join(texts, "idx"), "counted_terms"), counts
 
 
 def top_terms(counts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -29,9 +84,13 @@ def top_terms(counts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
 
 def numbered_terms(terms: DataFrame, n_docs: int) -> DataFrame:
     """(idx, term, idf): column numbers in term order; at most `max_terms` rows."""
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     idx = F.row_number().over(Window.orderBy("term")) - 1
-    return terms.select(idx.alias("idx"), "term", idf.alias("idf"))
+    return with_idf(terms.select(idx.alias("idx"), "term", "df"), n_docs)
+
+
+def with_idf(terms: DataFrame, n_docs: int) -> DataFrame:
+    """(idx, term, idf) of terms that have their numbers."""
+    return terms.select("idx", "term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def raw_weight() -> Column:
@@ -44,23 +103,29 @@ def weigh(
 ) -> DataFrame:
     """(key, idx, term, weight, ...keep) for the terms of a fitted table.
 
-    A table of up to a million terms is broadcast, a larger one joined by term.
+    `counts` has a term's number (`known_counts`) or the term itself (`term_counts`). A
+    table of up to a million terms is broadcast, a larger one joined.
     """
-    raw = counts.join(broadcast_if_small(terms), "term").withColumn("_w", raw_weight())
+    on = "term" if "term" in counts.columns else "idx"
+    raw = counts.join(broadcast_if_small(terms), on).withColumn("_w", raw_weight())
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "idx", "term", (F.col("_w") / norm).alias("weight"), *keep)
 
 
-def term_sums(counts: DataFrame, terms: DataFrame, key: str, coefs: Column, width: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ...by, sums): for each of `width` coefficients of a term, its sum over a text's unit vector.
+def term_sums(
+    docs: DataFrame, terms: DataFrame, key: str, coefs: list[Column], text: str = "text", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, ...by, sums): for each of a term's coefficients, its sum over a text's unit vector.
 
-    `coefs` is an array column of `terms`, `by` are columns of `terms` that name the model
+    `coefs` are over columns of `terms`, `by` are columns of `terms` that name the model
     of a row. Length and all sums come from one aggregation over rows spread by key; no
     vector and no window is needed. A text without known terms has no row.
     """
-    raw = counts.join(broadcast_if_small(terms), "term")
-    rows = raw.select(key, *by, raw_weight().alias("_w"), coefs.alias("_coefs"))
-    sums = [F.sum(F.col("_w") * F.col("_coefs")[k]).alias(f"_s{k}") for k in range(width)]
+    names = [f"_c{k}" for k in range(len(coefs))]
+    table = terms.select("term", "idx", *by, "idf", *[c.alias(n) for c, n in zip(coefs, names)])
+    raw = known_counts(docs, table, key, text, ("idx", *by), ("idf", *names))
+    rows = raw.select(key, *by, raw_weight().alias("_w"), *names)
+    sums = [F.sum(F.col("_w") * F.col(n)).alias(f"_s{k}") for k, n in enumerate(names)]
     found = rows.groupBy(key, *by).agg(F.sum(F.col("_w") * F.col("_w")).alias("_squares"), *sums)
-    scaled = F.array(*[F.col(f"_s{k}") / F.sqrt("_squares") for k in range(width)])
+    scaled = F.array(*[F.col(f"_s{k}") / F.sqrt("_squares") for k in range(len(names))])
     return found.select(key, *by, scaled.alias("sums"))

@@ -15,7 +15,7 @@ from civitext.operators.augmentation import augment
 from civitext.operators.classifier import TextClassifier, fit_text_classifier, score_together
 from civitext.operators.labels import class_weights
 from civitext.operators.metrics import METRICS, binary_metrics, compare
-from civitext.operators.tfidf import term_counts
+from civitext.operators.tfidf import term_totals
 from civitext.session import stage
 
 log = logging.getLogger(__name__)
@@ -42,20 +42,21 @@ def fit_settings(
     `candidates` is (key, text); its keys must not occur in `train`.
     """
     base = stage(train.select(key, "text", F.col("label").cast("int").alias("label")), "train")
-    # The base texts are staged and cut into terms once; the augmented set reads them and the added ones.
+    # Terms of the base texts are added up once; the augmented set takes these totals and those of the added texts.
     added = stage(candidates.select(key, "text"), "added")
     augmented = augment(base, added, key=key)
     weights = class_weights(base) if shared_weights else None
     sets = {"baseline": base, "augmented": augmented}
-    counts: dict[str, DataFrame] = {}
+    totals: dict[str, DataFrame] = {}
     if fit_text_classifier in (models or MODELS).values():
-        counts["baseline"] = stage(term_counts(base, key), "term_counts")
-        counts["augmented"] = counts["baseline"].unionByName(stage(term_counts(added, key), "term_counts"))
+        totals["baseline"] = term_totals(base, key)
+        both = totals["baseline"].unionByName(term_totals(added, key))
+        totals["augmented"] = stage(both.groupBy("term").agg(F.sum("tot").alias("tot")), "term_totals")
     # The fits do not depend on each other, so their jobs share the cluster.
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         running = {
             (name, setting): pool.submit(
-                fit, rows, key=key, weights=weights, **({"counts": counts[setting]} if fit is fit_text_classifier else {})
+                fit, rows, key=key, weights=weights, **({"totals": totals[setting]} if fit is fit_text_classifier else {})
             )
             for name, fit in (models or MODELS).items()
             for setting, rows in sets.items()

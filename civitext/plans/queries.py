@@ -443,20 +443,19 @@ def mean_score(spark, sf):
     return metrics.mean_score(missed, "label").select(big("label"), r6(F.col("mean_score"), "mean_score"))
 
 
-def _term_counts(spark, sf):
-    return stage(tfidf.term_counts(src.labelled(spark, sf), "doc_id"), "term_counts")
+def _counted_terms(spark, sf):
+    return tfidf.counted_terms(stage(src.labelled(spark, sf).select("doc_id", "text"), "labelled"), "doc_id")
 
 
 @query
 def tfidf_terms(spark, sf):
-    return tfidf.top_terms(_term_counts(spark, sf))
+    return _counted_terms(spark, sf)[0].select("term", "tot", "df")
 
 
 @query
 def tfidf_weights(spark, sf):
-    counts = _term_counts(spark, sf)
-    n_docs = src.label_rows(spark, sf).count()
-    terms = tfidf.numbered_terms(tfidf.top_terms(counts), n_docs)
+    terms, counts = _counted_terms(spark, sf)
+    terms = tfidf.with_idf(terms, src.label_rows(spark, sf).count())
     weights = tfidf.weigh(counts, terms, "doc_id")
     return weights.select("doc_id", "term", r6(F.col("weight"), "weight"))
 
@@ -737,8 +736,7 @@ def cross_dataset_fixed(spark, sf):
 
 def _fixed_terms(spark, sf):
     """(idx, term, idf) of all labelled texts."""
-    counts = _term_counts(spark, sf)
-    return stage(tfidf.numbered_terms(tfidf.top_terms(counts), src.label_rows(spark, sf).count()), "terms")
+    return stage(tfidf.with_idf(_counted_terms(spark, sf)[0], src.label_rows(spark, sf).count()), "terms")
 
 
 def _fixed_models(spark, sf):

@@ -35,6 +35,16 @@ def test_top_terms_ties_by_term(docs):
     assert top == ["bad", "awful", "day", "nice"]
 
 
+def test_terms_are_cut_in_tasks_of_bounded_text_and_counted_by_number(spark, monkeypatch):
+    """A task's share of the texts is bounded by bytes; repeated and null keys are one text."""
+    monkeypatch.setattr(tfidf, "BYTES_PER_TASK", 400)
+    rows = spark.createDataFrame([(i % 50 or None, "one two two three") for i in range(100)], "row_id bigint, text string")
+    assert tfidf.term_counts(rows).rdd.getNumPartitions() == math.ceil(100 * (17 + tfidf.ROW_BYTES) / 400)
+    terms, counts = tfidf.counted_terms(rows, max_terms=3)
+    assert [tuple(r) for r in terms.orderBy("idx").collect()] == [(0, "one", 100, 50), (1, "one two", 100, 50), (2, "two", 200, 50)]
+    assert {(r.row_id, r.idx): r.c for r in counts.collect()} == {(k or None, i): (2, 2, 4)[i] for k in range(50) for i in range(3)}
+
+
 def matrix(docs, terms, rows=len(DOCS)):
     """Dense unit vectors of the texts by row number, from the long form."""
     x = np.zeros((rows, terms.count()))
