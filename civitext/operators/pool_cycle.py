@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from civitext.functions.text import wordpunct
 from civitext.operators.classifier import ClassScorer
+from civitext.operators.common import compute_once
 from civitext.operators.encoding import sample_length
 from civitext.operators.neutral_pool import EVOLVE_RATE, K_SHOTS, surviving
 from civitext.schemas import MAX_SEQ_LENGTH
-from civitext.session import staging
+from civitext.session import stage, staging
 from civitext.sources.paths import path_exists
 
 # A model: (rows with a `row_id` and a text) -> (row_id, score).
@@ -40,12 +41,18 @@ def class_model(scorer: ClassScorer, class_idx: int = 0, digits: int | None = No
 def scored_rows(rows: DataFrame, model: Model, max_len: int = MAX_SEQ_LENGTH) -> DataFrame:
     """The columns of `rows` with `score`: the model's, 0 for a text of too few or too many tokens.
 
-    Only texts that have a length to be scored reach the model. `row_id` names a row.
+    Only texts that have a length to be scored reach the model, and only they meet its
+    scores: these texts are short, and staged. All others stay where they are. `row_id`
+    names a row.
     """
-    fits = sample_length(wordpunct(F.col("text")), max_len)
-    scores = model(rows.filter(fits).select("row_id", "text")).select("row_id", F.col("score").alias("_score"))
-    joined = rows.drop("score").join(scores, "row_id", "left")
-    return joined.withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_score")
+    rows = rows.drop("score")
+    marked = compute_once(rows, "_tokens", wordpunct(F.col("text")))
+    fits = F.coalesce(sample_length(F.col("_tokens"), max_len), F.lit(False))
+    short = stage(marked.filter(fits).drop("_tokens"), "short_texts")
+    scores = model(short.select("row_id", "text")).select("row_id", F.col("score").alias("_score"))
+    joined = short.join(scores, "row_id", "left").withColumn("score", F.coalesce("_score", F.lit(0.0)))
+    others = marked.filter(~fits).drop("_tokens").withColumn("score", F.lit(0.0))
+    return joined.select(*rows.columns, "score").unionByName(others)
 
 
 class PoolCycle:

@@ -162,3 +162,22 @@ def test_fallback(spark):
     assert [r.text for r in P.fallback_pool(neutrals, examples, 10).collect()] == ["a fine day today"]
     # All neutrals are examples: they are drawn anyway, and the filter drops them.
     assert P.fallback_pool(neutrals, neutrals, 10).collect() == []
+
+
+def test_texts_that_are_not_scored_are_not_moved(spark, tmp_path):
+    """Only texts of a fitting length meet the scores; the others stay in the task that reads them."""
+    texts = [(str(i), "one two three four" if i % 4 else "word " * 200) for i in range(40)] + [("null", None), ("short", "one")]
+    spark.createDataFrame(texts, "row_id string, text string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        scored = pool_cycle.scored_rows(rows, lambda r: r.select("row_id", F.lit(0.5).alias("score")))
+        found = scored.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.row_id: r.score for r in found} == {k: 0.5 if t and t.startswith("one two") else 0.0 for k, t in texts}
+    assert len({r.task for r in found if r.score == 0.0}) == 1 and len(found) == len(texts)
