@@ -639,14 +639,14 @@ def _outside_candidates(spark, sf):
 
 
 def _fitted(spark, sf):
-    """Split texts and the fitted baseline and augmented models."""
+    """Split texts, the fitted baseline and augmented models, and the candidates of the latter."""
     rows = stage(
         src.split_texts(spark, sf).withColumn("row_id", F.col("doc_id").cast("string")), "split_texts"
     )
     added = _outside_candidates(spark, sf)
-    added = added.select(F.concat_ws(":", F.lit("added"), *LINE_KEYS).alias("row_id"), "text")
+    added = stage(added.select(F.concat_ws(":", F.lit("added"), *LINE_KEYS).alias("row_id"), "text"), "outside")
     fitted = experiment.fit_settings(rows.filter(F.col("split") == "train"), added)
-    return rows, fitted
+    return rows, fitted, added
 
 
 @query
@@ -660,11 +660,11 @@ def tfidf_lr_predict(spark, sf):
 
 @query
 def predictions_table(spark, sf):
-    rows, fitted = _fitted(spark, sf)
+    rows, fitted, _ = _fitted(spark, sf)
     test = rows.filter(F.col("split") == "test").select("row_id", "text", "label")
-    table_ = reports.prediction_table(
-        fitted["tfidf_lr", "baseline"].score(test), fitted["tfidf_lr", "augmented"].score(test)
-    )
+    scored = stage(experiment.score_all(fitted, test), "scored")
+    base, augmented = (scored.filter(F.col("setting") == s) for s in ("baseline", "augmented"))
+    table_ = reports.prediction_table(base, augmented)
     path = stage_path(spark, "predictions")
     reports.write_predictions(table_, path)
     read = spark.read.schema(table_.schema).parquet(path)
@@ -678,10 +678,10 @@ def predictions_table(spark, sf):
 
 @query
 def experiment_report(spark, sf):
-    rows, fitted = _fitted(spark, sf)
+    rows, fitted, added = _fitted(spark, sf)
     test = rows.filter(F.col("split") == "test").select("row_id", "text", "label")
     train = rows.filter(F.col("split") == "train")
-    report = experiment.report(train, _outside_candidates(spark, sf), test, experiment.evaluate(fitted, test))
+    report = experiment.report(train, added, test, experiment.evaluate(fitted, test))
     path = stage_path(spark, "report")
     reports.write_report(report, path)
     read = spark.read.schema(report.schema).json(path)
@@ -723,7 +723,7 @@ def _cross_dataset(spark, sf, rows, fitted, **options):
 
 @query
 def cross_dataset(spark, sf):
-    rows, fitted = _fitted(spark, sf)
+    rows, fitted, _ = _fitted(spark, sf)
     return _cross_dataset(spark, sf, rows, fitted).drop("setting")
 
 
