@@ -88,27 +88,30 @@ def score_together(
 ) -> DataFrame:
     """(model, ...docs without text, prob, prediction): all texts by all models.
 
-    Texts are cut into terms once. The models' term tables, each with its own idf, are one
-    table with the model's number; a text's sums come back as one row per key. `key` names
-    a row. With `digits` scores are rounded before the prediction, so that equal texts tie
+    Texts are cut into terms once. The models' term tables are one table with a row for
+    each different term, and beside it each model's idf and coefficient, null where a model
+    does not know the term. A text's sums come back as one row per key. `key` names a row.
+    With `digits` scores are rounded before the prediction, so that equal texts tie
     whatever the order of their sums.
     """
-    names = list(models)
-    tables = [
-        m.terms.select(F.lit(no).alias("_no"), "idx", "term", "idf", "coef") for no, m in enumerate(models.values())
-    ]
-    # Models times terms: the vocabularies are bounded, the broadcast is checked by its rows.
-    terms = stage(reduce(DataFrame.unionByName, tables), "model_terms") if len(tables) > 1 else tables[0]
-    sums = term_sums(docs, terms, key, [F.col("coef")], text, ("_no",))
-    by_key = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_no", F.col("sums")[0]))).alias("_sums"))
+    tables = [m.terms.select(F.lit(no).alias("_no"), "term", "idf", "coef") for no, m in enumerate(models.values())]
+    if len(models) > 1:
+        # Models times terms: the vocabularies are bounded, the broadcast is checked by its rows.
+        own = [F.max(F.when(F.col("_no") == no, F.col(c))).alias(f"_{c}{no}") for no in range(len(models)) for c in ("idf", "coef")]
+        joint = reduce(DataFrame.unionByName, tables).groupBy("term").agg(*own)
+        terms = stage(joint.withColumn("idx", F.monotonically_increasing_id()), "model_terms")
+    else:
+        terms = next(iter(models.values())).terms.select("idx", "term", F.col("idf").alias("_idf0"), F.col("coef").alias("_coef0"))
+    sums = term_sums(docs, terms, key, [(f"_idf{no}", [F.col(f"_coef{no}")]) for no in range(len(models))], text)
+    by_key = sums.select(key, F.col("sums").alias("_sums"))
     each = F.array(
         *[
             F.struct(F.lit(no).alias("no"), F.lit(name).alias("model"), F.lit(m.intercept).alias("intercept"), F.lit(m.threshold).alias("cut"))
-            for no, (name, m) in enumerate(zip(names, models.values()))
+            for no, (name, m) in enumerate(models.items())
         ]
     )
     rows = docs.drop(text).join(by_key, key, "left").withColumn("_model", F.explode(each))
-    margin = F.coalesce(F.col("_sums")[F.col("_model.no")], F.lit(0.0)) + F.col("_model.intercept")
+    margin = F.coalesce(F.col("_sums")[F.col("_model.no")][0], F.lit(0.0)) + F.col("_model.intercept")
     prob = 1.0 / (1.0 + F.exp(-margin))
     rows = rows.withColumn("prob", prob if digits is None else F.round(prob, digits))
     rows = rows.withColumn("prediction", (F.col("prob") > F.col("_model.cut")).cast("int"))
@@ -184,7 +187,8 @@ class ClassScorer:
         lists = self.coefs.groupBy("idx").agg(by_class.alias("_by"))
         filled = F.array(*[F.coalesce(F.col("_by")[i], F.lit(0.0)) for i in range(k)])
         terms = stage(self.terms.join(lists, "idx", "left").select("idx", "term", "idf", filled.alias("_coefs")), "class_terms")
-        return term_sums(docs, terms, self.key, [F.col("_coefs")[i] for i in range(k)], text)
+        sums = term_sums(docs, terms, self.key, [("idf", [F.col("_coefs")[i] for i in range(k)])], text)
+        return sums.select(self.key, F.col("sums")[0].alias("sums"))
 
     def score(self, docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
         """The columns of `docs` (the text only with `keep_text`), `probs` of all classes, `prediction`.

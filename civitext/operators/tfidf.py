@@ -38,20 +38,19 @@ def term_counts(df: DataFrame, key: str = "row_id", text: str = "text") -> DataF
     return occurrences(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def known_counts(
-    df: DataFrame, terms: DataFrame, key: str = "row_id", text: str = "text", by: tuple[str, ...] = ("idx",), keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """(key, ...by, ...keep, c): how often a text holds each term of `terms`.
+def known_counts(df: DataFrame, terms: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(key, idx, c): how often a text holds each term of `terms`.
 
-    `by` are whole-number columns of `terms` that name a row of it, `keep` further numbers.
-    Terms outside the table leave before anything is counted, and counting goes by numbers.
+    Terms outside the table leave before anything is counted, and counting goes by their
+    numbers `idx`. Whatever else is known of a term is joined to the counts by number:
+    what a task keeps for a term of a text is its key and two numbers.
     """
-    numbers = terms.select("term", *by, *keep)
+    numbers = terms.select("term", "idx")
     if numbers.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         # Too many terms to send: they are counted first, so that a frequent one is a row per text.
-        return term_counts(df, key, text).join(numbers, "term").select(key, *by, *keep, "c")
+        return term_counts(df, key, text).join(numbers, "term").select(key, "idx", "c")
     found = occurrences(df, key, text).join(F.broadcast(numbers), "term")
-    return found.groupBy(key, *by).agg(*[F.max(v).alias(v) for v in keep], F.count(F.lit(1)).alias("c"))
+    return found.groupBy(key, "idx").agg(F.count(F.lit(1)).alias("c"))
 
 
 def term_totals(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
@@ -93,9 +92,9 @@ def with_idf(terms: DataFrame, n_docs: int) -> DataFrame:
     return terms.select("idx", "term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def raw_weight() -> Column:
+def raw_weight(idf: str = "idf") -> Column:
     """Weight of a term in a text before the text's vector gets unit length."""
-    return (1.0 + F.log(F.col("c").cast("double"))) * F.col("idf")
+    return (1.0 + F.log(F.col("c").cast("double"))) * F.col(idf)
 
 
 def weigh(
@@ -113,19 +112,28 @@ def weigh(
 
 
 def term_sums(
-    docs: DataFrame, terms: DataFrame, key: str, coefs: list[Column], text: str = "text", by: tuple[str, ...] = ()
+    docs: DataFrame, terms: DataFrame, key: str, models: list[tuple[str, list[Column]]], text: str = "text"
 ) -> DataFrame:
-    """(key, ...by, sums): for each of a term's coefficients, its sum over a text's unit vector.
+    """(key, sums): for each model an array with, for each of its coefficients, the sum over a text's unit vector.
 
-    `coefs` are over columns of `terms`, `by` are columns of `terms` that name the model
-    of a row. Length and all sums come from one aggregation over rows spread by key; no
-    vector and no window is needed. A text without known terms has no row.
+    A model is the idf column of `terms` that it goes by, null for a term it does not know,
+    and its coefficients over columns of `terms`. `terms` has one row per `idx` for all
+    models, so that a text's terms are counted once. Lengths and all sums come from one
+    aggregation over rows spread by key; no vector and no window is needed. A text without
+    known terms has no row, a model that knows none of its terms has null sums.
     """
-    names = [f"_c{k}" for k in range(len(coefs))]
-    table = terms.select("term", "idx", *by, "idf", *[c.alias(n) for c, n in zip(coefs, names)])
-    raw = known_counts(docs, table, key, text, ("idx", *by), ("idf", *names))
-    rows = raw.select(key, *by, raw_weight().alias("_w"), *names)
-    sums = [F.sum(F.col("_w") * F.col(n)).alias(f"_s{k}") for k, n in enumerate(names)]
-    found = rows.groupBy(key, *by).agg(F.sum(F.col("_w") * F.col("_w")).alias("_squares"), *sums)
-    scaled = F.array(*[F.col(f"_s{k}") / F.sqrt("_squares") for k in range(len(names))])
-    return found.select(key, *by, scaled.alias("sums"))
+    idfs = [F.col(idf).alias(f"_f{m}") for m, (idf, _) in enumerate(models)]
+    coefs = [c.alias(f"_c{m}_{k}") for m, (_, each) in enumerate(models) for k, c in enumerate(each)]
+    counts = known_counts(docs, terms, key, text)
+    raw = counts.join(broadcast_if_small(terms.select("idx", *idfs, *coefs)), "idx")
+    weights = [raw_weight(f"_f{m}").alias(f"_w{m}") for m in range(len(models))]
+    rows = raw.select(key, *weights, *[f"_c{m}_{k}" for m, (_, each) in enumerate(models) for k in range(len(each))])
+    squares = [F.sum(F.col(f"_w{m}") * F.col(f"_w{m}")).alias(f"_squares{m}") for m in range(len(models))]
+    sums = [
+        F.sum(F.col(f"_w{m}") * F.col(f"_c{m}_{k}")).alias(f"_s{m}_{k}") for m, (_, each) in enumerate(models) for k in range(len(each))
+    ]
+    found = rows.groupBy(key).agg(*squares, *sums)
+    scaled = [
+        F.array(*[F.col(f"_s{m}_{k}") / F.sqrt(f"_squares{m}") for k in range(len(each))]) for m, (_, each) in enumerate(models)
+    ]
+    return found.select(key, F.array(*scaled).alias("sums"))

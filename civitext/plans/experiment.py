@@ -121,7 +121,9 @@ def cross_dataset(
         parts.append(rows.select(named.alias("row_id"), F.lit(name).alias("dataset"), "text", F.col("label").cast("int").alias("label")))
     if not parts:
         raise ValueError("no outside set could be read")
-    scored = stage(score_all(chosen, reduce(DataFrame.unionByName, parts), digits=digits), "scored")
+    # Scoring reads the rows three times: to size its tasks, to cut the texts, and for the labels.
+    rows = stage(reduce(DataFrame.unionByName, parts), "outside")
+    scored = stage(score_all(chosen, rows, digits=digits), "scored")
     return binary_metrics(scored, ["model", "setting", "dataset"])
 
 

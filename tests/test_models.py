@@ -1,5 +1,6 @@
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -141,6 +142,29 @@ def test_models_score_together_as_alone(spark, docs):
     assert both._jdf.queryExecution().executedPlan().toString().count("RepartitionByExpression") <= 1
 
 
+def test_terms_of_a_text_are_counted_once_for_all_models(spark, docs):
+    """What a task keeps for a term of a text is its key and two numbers, however many models there are."""
+    one = classifier.fit_text_classifier(docs)
+    other = classifier.fit_text_classifier(docs.filter("row_id < 6"))
+    plan = classifier.score_together({"one": one, "other": other}, docs)._jdf.queryExecution().executedPlan().toString()
+    keys = {tuple(re.sub(r"#\d+L?", "", k).split(", ")) for k in re.findall(r"HashAggregate\(keys=\[([^]]*)\]", plan)}
+    assert keys == {("row_id", "idx"), ("row_id",)}
+
+
+def test_outside_sets_are_read_once(spark, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    fitted = {("m", "augmented"): classifier.fit_text_classifier(docs)}
+    rows = docs.withColumn("text", read("text"))
+    experiment.cross_dataset(fitted, {"a": lambda: rows}).collect()
+    assert seen.value == len(DOCS)
+
+
 def test_experiment_report_and_skipped_sets(spark, docs):
     added = spark.createDataFrame([(101, "awful bad thing"), (102, "bad thing")], "row_id bigint, text string")
     fitted = experiment.fit_settings(docs, added, shared_weights=True)
