@@ -27,7 +27,11 @@ from civitext.session import stage, stage_path
 MAX_ITER = 1000
 # Least relative progress of the fit: the gradient at the end is small beside the loss.
 TOLERANCE = 1e-8
-ENTRIES_PER_TASK = 4_000_000
+# Entries (12 bytes each) of the vectors that one task keeps through the iterations: every task of an
+# iteration sends a gradient, a number per term and class, so there are as few tasks as memory allows.
+ENTRIES_PER_TASK = 32_000_000
+# Counted terms that one task sorts into vectors.
+ENTRIES_PER_SORT = 1_000_000
 
 
 def training_vectors(weights: DataFrame, rows: DataFrame, size: int, key: str = "row_id") -> DataFrame:
@@ -50,6 +54,15 @@ def training_vectors(weights: DataFrame, rows: DataFrame, size: int, key: str =
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
+def _bounded_by_key(counts: DataFrame, entries: int, key: str) -> DataFrame:
+    """Counts of many texts dealt by key, so that what a task sorts does not grow with the input.
+
+    Left to the size of the shuffle, more input makes larger tasks, and from some size on these spill.
+    """
+    tasks = ceil(entries / ENTRIES_PER_SORT)
+    return counts.repartition(tasks, F.col(key)) if tasks > counts.sparkSession.sparkContext.defaultParallelism else counts
+
+
 def _few_partitions(vectors: DataFrame, entries: int) -> DataFrame:
     """Every iteration visits all partitions: entries for a few tasks go into a few of them."""
     wanted = max(1, ceil(entries / ENTRIES_PER_TASK))
@@ -133,9 +146,11 @@ def _prepared(
     balance = stage(balance_of(train, label, weights), "class_weights").withColumnRenamed("label", "_label")
     rows = train.select(key, F.col(label).cast("int").alias("label"))
     rows = rows.join(F.broadcast(balance), F.col("label") == F.col("_label")).select(key, "label", "weight")
-    vectors = training_vectors(weigh(counts, terms, key), rows, max(terms.count(), 1), key)
+    entries = counts.count()
+    weights = weigh(_bounded_by_key(counts, entries, key), terms, key)
+    vectors = training_vectors(weights, rows, max(terms.count(), 1), key)
     total = vectors.agg(F.sum("weight")).first()[0] or 1.0
-    return terms, _few_partitions(vectors, counts.count()), total
+    return terms, _few_partitions(vectors, entries), total
 
 
 def balance_of(train: DataFrame, label: str = "label", weights: DataFrame | None = None) -> DataFrame:

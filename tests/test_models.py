@@ -165,6 +165,22 @@ def test_outside_sets_are_read_once(spark, docs):
     assert seen.value == len(DOCS)
 
 
+def test_iterations_of_a_fit_visit_few_partitions(spark):
+    vectors = spark.range(0, 100, numPartitions=20)
+    assert classifier._few_partitions(vectors, 20_000_000).rdd.getNumPartitions() == 1
+    assert classifier._few_partitions(vectors, 300_000_000).rdd.getNumPartitions() == 10
+
+
+def test_counts_are_sorted_in_tasks_of_bounded_size(spark, docs, monkeypatch):
+    before = classifier.fit_text_classifier(docs).score(docs).orderBy("row_id").collect()
+    counts = tfidf.counted_terms(docs)[1]
+    assert classifier._bounded_by_key(counts, 4_000_000, "row_id") is counts
+    assert classifier._bounded_by_key(counts, 40_000_000, "row_id").rdd.getNumPartitions() == 40
+    monkeypatch.setattr(classifier, "ENTRIES_PER_SORT", 2)
+    after = classifier.fit_text_classifier(docs).score(docs).orderBy("row_id").collect()
+    assert [r.prob for r in after] == pytest.approx([r.prob for r in before], abs=1e-4)
+
+
 def test_experiment_report_and_skipped_sets(spark, docs):
     added = spark.createDataFrame([(101, "awful bad thing"), (102, "bad thing")], "row_id bigint, text string")
     fitted = experiment.fit_settings(docs, added, shared_weights=True)
