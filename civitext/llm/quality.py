@@ -89,8 +89,8 @@ def _bucket(value: Column) -> Column:
     return F.pmod(value, F.lit(BUCKETS)).cast("int")
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
-    """log(trusted share / corpus share) by bucket; BUCKETS numbers whatever the corpus.
+def bucket_counts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(bucket, n, own): n-grams of all texts and of the trusted ones, by bucket.
 
     `trusted` has the keys of the trusted texts. Texts with a null key count for the
     corpus only.
@@ -100,11 +100,17 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", tex
     read = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     read = read.join(marked.hint("merge"), "_key", "left")
     read = compute_once(read.select("_trusted", "_text"), "_hashed", token_hashes(F.col("_text")))
-    buckets = F.concat(
-        F.transform("_hashed", _bucket), _pairs_of(F.col("_hashed"), lambda a, b: _bucket(F.xxhash64(a, b)))
-    )
-    counted = read.select("_trusted", F.explode(buckets).alias("bucket")).groupBy("bucket")
-    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.count("_trusted").alias("own")).collect()
+    # Lambdas end with the array, so that its rows are made, put into buckets and counted in one compiled loop.
+    grams = F.concat("_hashed", _pairs_of(F.col("_hashed"), lambda a, b: F.xxhash64(a, b)))
+    read = compute_once(read.select("_trusted", "_hashed"), "_grams", grams)
+    read = read.select("_trusted", F.explode("_grams").alias("_gram"))
+    counted = read.groupBy(_bucket(F.col("_gram")).alias("bucket"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.count("_trusted").alias("own"))
+
+
+def bucket_weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
+    """log(trusted share / corpus share) by bucket; BUCKETS numbers whatever the corpus."""
+    counted = bucket_counts(docs, trusted, key, text).collect()
     raw = {r["bucket"]: r["n"] for r in counted}
     own = {r["bucket"]: r["own"] for r in counted}
     all_raw, all_own = sum(raw.values()) + BUCKETS, sum(own.values()) + BUCKETS
